@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, shingle_hashes, slices, stored, utf8
@@ -280,3 +280,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     labels = components(edges.unionByName(same))
     out = rows.join(labels, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of df whose id is the smallest of its component, one per id; rows with a null id stay."""
+    kept = near_duplicates(df, id_col, text_col, size, percent).filter("kept").select(F.col(id_col).alias("_kept")).distinct()
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    owned = df.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    return owned.unionByName(df.filter(F.col(id_col).isNull()))

@@ -84,10 +84,11 @@ class Ledger:
         self.fresh = False
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
-    """One row per row of df: id, blob, findings. Only (id, blob) pairs and the texts of unseen blobs are shuffled.
+def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
+    """(blob, findings) of the ledger's blobs with findings, after it has taken in the unseen blobs of df.
 
-    Each unseen blob is read through the smallest id that holds it, so a blob in a third of all rows costs one text."""
+    Only (id, blob) pairs and the texts of unseen blobs are shuffled. Each unseen blob is read through the smallest id
+    that holds it, so a blob in a third of all rows costs one text."""
     spark = df.sparkSession
     ledger, version = ledger or Ledger(spark), rule_version(rules)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -109,7 +110,14 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger:
     found = scan_blobs(named.unionByName(nameless), rules).dropDuplicates(["blob"])
     ledger.append(found.withColumn("rules", F.lit(version)))
     # a blob may be in the ledger twice after a concurrent scan; with any one of its rows the result is the same
-    known = ledger.read().filter(F.col("rules") == version).dropDuplicates(["blob"]).filter(F.size("findings") > 0).select("blob", "findings")
+    return ledger.read().filter(F.col("rules") == version).dropDuplicates(["blob"]).filter(F.size("findings") > 0).select("blob", "findings")
+
+
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
+    """One row per row of df: id, blob, findings."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    paths = df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"))
+    known = findings(df, id_col, text_col, ledger, rules)
     # most blobs hold nothing: only those with findings meet the paths again
     out = paths.join(known, "blob", "left").select("id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
     return out.withColumnRenamed("id", id_col)
@@ -121,12 +129,26 @@ def joined(findings, kinds=None):
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def redact(text: str, findings) -> str:
+def redact(text: str, found) -> str:
     """The text with each finding replaced by [kind]; overlapping findings become one, named after the first."""
     out, at = [], 0
-    for f in findings or []:
+    for f in found or []:
         kind, start, end = f["kind"], f["start"], f["end"]
         if start >= at:
             out += [text[at:start], f"[{kind}]"]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
+    """df with the findings in its texts replaced; all rows and other columns stay."""
+    known = findings(df, id_col, text_col, ledger, rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = batch.schema.get_field_index(text_col)
+            texts = [redact(x, f) if f else x for x, f in zip(batch.column(k).to_pylist(), batch.column("_findings").to_pylist(), strict=True)]
+            yield batch.set_column(k, text_col, pa.array(texts, batch.column(k).type)).drop_columns(["_findings"])
+
+    named = df.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return named.join(known, "_blob", "left").drop("_blob").mapInArrow(work, df.schema)
