@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, neardup, packing, quality, secrets, substring, urls
+from . import audio, bpe, html, neardup, packing, quality, secrets, substring, urls, warc
 
 
 def _vocab() -> str:
@@ -26,6 +26,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), _vocab(), with_ids=False).drop("ids")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), warc.archive_folder(spark))
+    return warc.read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.audio_features(_table(spark, sf_dir, "documents"), with_media=False).drop("media", "spans", "patches")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcome of a page is the quality label under its id."""
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -41,6 +50,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, base, secrets.joined(F.col("findings")).alias("spans"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("score")
 
@@ -53,7 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocab()).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op5_url_filter, op6_secrets, op8_quality, op9_near_dedup, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_audio, op5_url_filter, op6_secrets, op7_html_extract, op8_quality, op9_near_dedup, op10_packing)}
 
 #: DuckDB SQL by query.
 ORACLE_SQL: dict[str, str] = {}
