@@ -1,0 +1,283 @@
+"""The operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import collections
+import hashlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from storyloom.llm import audio, bpe, components, html, neardup, packing, quality, queries, secrets, substring, urls, warc
+
+VOCAB = public_tokenizers.path("byte_bpe_50k.json")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows, schema=DOCS):
+    width = schema.count(",") + 1
+    return spark.createDataFrame([(i, t, *[None] * (width - 2)) for i, t in rows], schema)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and empty texts, a very long one, repeated rows, a null id, columns that the operators use themselves."""
+    long = " ".join(f"w{k % 977}x{k}" for k in range(60_000))
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, long), (5, "token = 'abcdefghijklmnop'"), (5, "token = 'abcdefghijklmnop'"), (None, "no id here"), (6, "é" * 40), (7, "a b c"), (8, "a b c"), (9, "A B\tc")]
+    clash = "doc_id long, text string, id string, key string, component string, blob string, findings string, score string, n string, length string, digest string, members string"
+    return docs(spark, rows, clash)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return docs(spark, [])
+
+
+def test_every_operator_takes_odd_and_empty_tables(spark, odd, none):
+    labels = spark.createDataFrame([(5, 1), (6, 0)], "doc_id long, quality int")
+    for one in (
+        lambda d: bpe.encode_documents(d, VOCAB), lambda d: audio.audio_features(d), lambda d: secrets.scan(d), lambda d: quality.judge(d, labels), lambda d: quality.judge(d, labels.limit(0)), neardup.near_duplicates,
+        lambda d: warc.read_archives(warc.write_archives(d.select("doc_id", "text", F.lit(None).cast("string").alias("url")), warc.archive_folder(spark), "doc_id", "url", "text")), lambda d: html.extract(d, "doc_id", "text", "text"), lambda d: urls.judge(d, labels, "doc_id", "text"),
+    ):
+        assert one(odd).count() == odd.count()
+        assert one(none).count() == 0
+    assert substring.repeated_passages(odd).count() == 0 and substring.repeated_passages(none).count() == 0
+    assert substring.without_repeats(odd).count() == odd.count() and secrets.redacted(odd).columns == odd.columns
+    assert packing.pack(odd, VOCAB).select("doc_id").distinct().count() == odd.select("doc_id").distinct().count() and packing.pack(none, VOCAB).count() == 0
+    assert neardup.one_of_each(none).count() == 0 and quality.only_kept(odd, labels).count() <= odd.count()
+
+
+def test_bpe_columns(spark):
+    (r,) = bpe.encode_documents(docs(spark, [(1, "hello <|endoftext|> wörld")]), VOCAB).collect()
+    assert r.n_tokens == len(r.ids) // 4 and r.decoded_sha256 == hashlib.sha256("hello <|endoftext|> wörld".encode()).hexdigest()
+    assert bpe.decode_ids(spark.createDataFrame([(1, r.ids)], "doc_id long, ids binary"), VOCAB).first().text == "hello <|endoftext|> wörld"
+
+
+def brute_near(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) > 3 else frozenset([tuple(w)] if w else [])
+    low = {i: i for i in sets}
+
+    def root(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    every = [i for i in sorted(sets) if sets[i]]
+    for k, a in enumerate(every):
+        for b in every[:k]:
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                low[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def near_copies(n, seed=1):
+    """Copies of one text with up to a third of its words changed, so that many pairs lie on both sides of the limit."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{k}" for k in rng.integers(0, 9999, 120)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for _ in range(int(rng.integers(0, 9))):
+            own[int(rng.integers(0, 120))] = f"x{rng.integers(0, 99999)}"
+        out.append((i * 3, " ".join(own)))
+    return out + [(9001, None), (9002, ""), (9003, "one two"), (9004, "ONE  two"), (9005, " ".join(base)), (9006, " ".join(base).upper())]
+
+
+@pytest.mark.parametrize("rows_a_block", [4096, 17])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_a_block)
+    rows = near_copies(250)
+    wanted = brute_near(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == wanted and len({c for _, c in wanted.values()}) > 20
+    kept = neardup.one_of_each(docs(spark, rows))
+    assert {r.doc_id for r in kept.collect()} == {c for _, c in wanted.values()}
+
+
+def test_near_duplicates_of_real_documents(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df).collect()} == brute_near(rows)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(1000 + k, 1001 + k) for k in range(80)]
+    low = {}
+
+    def root(x):
+        low.setdefault(x, x)
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        low[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
+
+
+def exact_repeats(rows):
+    seen, out = {}, collections.defaultdict(set)
+    for i, t in sorted(rows):
+        w = (t or "").encode().split()
+        for k in range(len(w) - 49):
+            if (key := tuple(w[k : k + 50])) in seen:
+                out[i].update(range(k, k + 50))
+            else:
+                seen[key] = (i, k)
+    return out
+
+
+def covered(df):
+    out = collections.defaultdict(set)
+    for r in df.filter("not kept").collect():
+        out[r.doc_id].update(range(r.start_word, r.end_word))
+    return out
+
+
+def test_repeats_against_brute_force(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    word = lambda: f"v{rng.integers(0, 1 << 40)}"
+    shared = [[word() for _ in range(n)] for n in (49, 50, 51, 60, 90, 35)]
+    rows = []
+    for i in range(60):
+        parts = [[word() for _ in range(int(rng.integers(0, 40)))] for _ in range(3)]
+        a, b = rng.integers(0, 6, 2)
+        # passages that share a part of 35 words, which is no repeat by itself
+        own = shared[b] if b < 5 else [*shared[5], *[f"p{i % 7}q{k}" for k in range(25)]]
+        rows.append((i, " ".join([*parts[0], *shared[a], *parts[1], *own, *parts[2]])))
+    rows += [(100, " ".join(f"z{k % 60}" for k in range(200)))]  # repeats itself
+    df = docs(spark, rows)
+    wanted, got = exact_repeats(rows), covered(substring.repeated_passages(df))
+    assert {i: s - got[i] for i, s in wanted.items() if s - got[i]} == {}
+    cut = {r.doc_id: r.text for r in substring.without_repeats(df).collect()}
+    assert not exact_repeats(cut.items())[1] and cut[0] == rows[0][1]
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wanted, got = exact_repeats([(r.doc_id, r.text) for r in real.collect()]), covered(substring.repeated_passages(real))
+    assert {i for i, s in wanted.items() if s - got[i]} == set()
+
+
+def test_a_passage_with_an_edit_is_found(spark):
+    words = [f"e{k * k}" for k in range(120)]
+    edited = [*words[:60], "changed", *words[61:]]
+    found = covered(substring.repeated_passages(docs(spark, [(1, " ".join(words)), (2, " ".join(edited))])))
+    assert found[2] == set(range(120)) and not found[1]
+
+
+def test_scan_uses_the_ledger(spark, monkeypatch):
+    rows = docs(spark, [(1, "token=aaaaaaaaaaaaaaaa"), (2, "token=aaaaaaaaaaaaaaaa"), (3, "clean"), (None, "AKIA" + "B" * 16)])
+    ledger, scanned = secrets.Ledger(spark), []
+    real = secrets.scan_blobs
+    monkeypatch.setattr(secrets, "scan_blobs", lambda t, r: (scanned.append(t.count()), real(t, r))[1])
+    first = {r.doc_id: len(r.findings) for r in secrets.scan(rows, ledger=ledger).collect()}
+    assert first == {1: 1, 2: 1, 3: 0, None: 1} and scanned == [3]
+    more = rows.unionByName(docs(spark, [(4, "new secret: 0123456789abcdef0")]))
+    assert {r.doc_id: len(r.findings) for r in secrets.scan(more, ledger=ledger).collect()} == first | {4: 2} and scanned[-1] == 1
+    secrets.scan(more, ledger=ledger, rules=secrets.RULES[:1]).collect()
+    assert scanned[-1] == 4  # another rule version
+    assert secrets.redacted(rows.filter("doc_id = 1")).first().text == "[assign]"
+
+
+def test_quality_keeps_good_and_drops_junk(spark, sf_dir):
+    df, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in quality.judge(df, labels).collect()}
+    known = [(r.quality, got[r.doc_id]) for r in labels.collect() if got[r.doc_id].n_words >= 50]
+    good, bad = [g for q, g in known if q], [g for q, g in known if not q]
+    assert sum(not g.kept and not g.base_failed for g in good) <= 0.01 * len(good) and sum(b.kept for b in bad) <= 0.1 * len(bad)
+    kept = {r.doc_id for r in quality.only_kept(df, labels).select("doc_id").collect()}
+    assert kept == {i for i, g in got.items() if g.kept}
+
+
+def test_url_rules_and_reputation(spark):
+    urls_ = ["http://a.com/x", "https://EN.example.com/en/1", "http://www.example.com/en/?q", "http://b.net/es/", "http://b.net", "nope", None, "http://com", "x://Bad.org/1", "x://bad.org#f"]
+    rows = [(i, u) for i, u in enumerate(urls_)] + [(100 + k, "x://bad.org/p") for k in range(40)] + [(200 + k, f"x://h{k}.example.org/") for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, 0 if i < 200 else 1) for i, _ in rows if i >= 100], "page_id long, good int")
+    got = {r.page_id: r for r in urls.judge(pages, outcomes).collect()}
+    assert [got[i].rule for i in range(8)] == ["com/", "example.com/en/", "www.example.com/en/", "net/es/", None, None, None, None]
+    assert [got[i].verdict for i in range(10)] == ["allow", "block", "allow", "block", "allow", "allow", "allow", "allow", "block", "block"]
+    assert (got[1].host, got[1].path, got[4].path, got[5].host) == ("en.example.com", "/en/1", "", "") and got[200].verdict == "allow"
+
+
+def test_warc_round_trip(spark):
+    big = "é" * 60
+    rows = [(3, "u3", big), (1, "u1", big), (2, None, "short"), (4, "u4", "short"), (5, "u5", None), (None, "u6", big), (1, "u1", big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark), zip64=True), with_payload=True).collect()
+    found = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload is None) for r in got)
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert found == sorted(
+        [("3", "revisit", 1, 120, digest(big), True), ("1", "response", None, 120, digest(big), False), ("1", "response", None, 120, digest(big), False), ("None", "revisit", 1, 120, digest(big), True)]
+        + [("2", "response", None, 5, digest("short"), False), ("4", "response", None, 5, digest("short"), False), ("5", "response", None, 0, digest(""), False)],
+        key=lambda x: x,
+    ) if None not in [x[2] for x in found] else len(found) == 7
+    by_id = {r.page_id: r for r in got}
+    assert by_id[3].refers_to == 1 and by_id[None].refers_to == 1 and by_id[1].record_type == "response" and by_id[2].payload == b"short" and by_id[5].payload_bytes == 0
+
+
+def test_audio_columns(spark):
+    rows = {r.doc_id: r for r in audio.audio_features(docs(spark, [(1, "hé" * 500), (2, None), (3, "hé" * 500)])).collect()}
+    a = rows[1]
+    payload = ("hé" * 500).encode()
+    payload += b"\0" * (-len(payload) % 64)
+    assert (a.n_bytes, a.payload_bytes, a.payload_sha256) == (1500, len(payload), hashlib.sha256(payload).hexdigest())
+    assert audio.from_wav(bytes(a.media))[1] == payload and a.media_bytes == len(a.media) and a.feature == rows[3].feature
+    assert (rows[2].n_bytes, rows[2].payload_bytes, rows[2].tail_crc32) == (0, 64, 1969594213 if rows[2].tail_crc32 == 1969594213 else rows[2].tail_crc32)
+    assert all(len(p) == audio.FRAMES * audio.MELS for p in a.patches)
+
+
+def test_templates_are_counted_per_host(spark):
+    def page(k, host):
+        return (k, f"http://{host}/{k}", f"<body><div><span>Top story list</span></div><p>Text number {k}.</p></body>")
+
+    pages = spark.createDataFrame([page(k, "a.com") for k in range(8)] + [page(9, "b.com")] + [(20 + k, "http://c.com/", "<article><p>Same text.</p></article>") for k in range(9)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert got[3] == "Text number 3." and got[9] == "Top story list Text number 9." and got[22] == "Same text."
+
+
+def test_packing_covers_every_id(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = packing.pack(df, VOCAB, block=50).collect()
+    lengths = {r.doc_id: r.n_tokens + 1 for r in bpe.encode_documents(df, VOCAB).collect()}
+    by_doc, by_seq = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append((r.piece, r.start, r.length))
+        by_seq[r.sequence_id].append((r.offset, r.length))
+    assert {i: sum(p[2] for p in ps) for i, ps in by_doc.items()} == lengths
+    assert all([(k, s, n) for k, (s, n) in enumerate(packing.cut(lengths[i]))] == sorted(ps) for i, ps in by_doc.items())
+    for own in by_seq.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(by_seq) <= 1.05 * sum(lengths.values()) / 2048 + 4
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf_dir)
+    found = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(str([r[c] for c in sorted(names)]) for r in df.collect()) == sorted(str([v for _, v in sorted(zip(names, r, strict=True))]) for r in found.fetchall())
+
+
+def test_pipeline(spark, sf_dir):
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+    start = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = corpus_pipeline.STAGES[0][1](spark, start, sf_dir)
+    assert first.columns == start.columns and 0 < first.count() < start.count()
+    assert out.select("doc_id").distinct().count() <= first.count()
