@@ -22,6 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import slices
 
@@ -206,7 +207,7 @@ def encode_documents(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col
 
 def decode_ids(df: DataFrame, vocab: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
     """df with the text of its packed ids added (null ids: null)."""
-    schema = df.schema.add(out_col, "string")
+    schema = StructType([*df.schema.fields, StructField(out_col, StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocab)

@@ -68,5 +68,48 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_audio, op5_url_filter, op6_secrets, op7_html_extract, op8_quality, op9_near_dedup, op10_packing)}
 
-#: DuckDB SQL by query.
-ORACLE_SQL: dict[str, str] = {}
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+
+
+def _rules_sql() -> tuple[str, str]:
+    cases = [(f"(host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%'", h + p, v) for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
+    return tuple("CASE " + " ".join(f"WHEN {test} THEN '{x[k]}'" for test, *x in cases) + " END" for k in (0, 1))
+
+
+def _level_sql(name: str, counts: str, key: str, parent: str, parent_key: str) -> str:
+    """One level of shrinkage as two CTEs."""
+    return f"""{name}_p AS (SELECT c.{key} AS key, c.n, c.good, p.mean AS prior FROM {counts} c JOIN {parent} p ON p.key = c.{parent_key}),
+{name}_m AS (SELECT sum(n * pow(good / n - prior, 2)) AS spread, sum(prior * (1 - prior)) AS noise, sum((n - 1) * prior * (1 - prior)) AS room FROM {name}_p WHERE n > 1),
+{name}_s AS (SELECT CASE WHEN room > 0 THEN least({urls.MOST}, greatest({urls.LEAST}, (1 - greatest(1e-9, (spread - noise) / room)) / greatest(1e-9, (spread - noise) / room))) ELSE {urls.MOST} END AS strength FROM {name}_m),
+{name} AS (SELECT key, good + strength * prior AS a, n - good + strength * (1 - prior) AS b, (good + strength * prior) / (n + strength) AS mean FROM {name}_p, {name}_s)"""
+
+
+def _urls_sql() -> str:
+    rule, verdict = _rules_sql()
+    return f"""WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
+m AS (SELECT doc_id AS page_id, count(*) AS n, sum(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p LEFT JOIN m USING (page_id) GROUP BY 1),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY 1, 2),
+suffixes AS (SELECT suffix, '' AS root, sum(n) AS n, sum(good) AS good FROM domains GROUP BY 1),
+root AS (SELECT '' AS key, (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM suffixes),
+{_level_sql("by_suffix", "suffixes", "suffix", "root", "root")}, {_level_sql("by_domain", "domains", "domain", "by_suffix", "suffix")}, {_level_sql("by_host", "hosts", "host", "by_domain", "domain")}
+SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN host <> '' AND mean + {urls.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < {urls.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN by_host h ON h.key = p.host"""
+
+
+#: DuckDB SQL by query. The others rest on hashes, merges, signals or packing that SQL cannot express; tests/llm compares
+#: those with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""SELECT page_id, bytes AS payload_bytes, digest AS payload_digest, CASE WHEN bytes >= {warc.LEAST} AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN bytes >= {warc.LEAST} AND page_id <> first THEN first END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages) x""",
+    "op5_url_filter": _urls_sql(),
+    "op9_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {neardup.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {neardup.SHINGLE - 2}), lambda i: array_to_string(w[i : i + {neardup.SHINGLE - 1}], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
+GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {neardup.PERCENT} * (any_value(len(sa.sh)) + any_value(len(sb.sh)) - count(*))),
+r AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON p.a = r.b)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS kept FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.sh)""",
+}

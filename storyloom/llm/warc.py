@@ -114,7 +114,7 @@ class ZipDirectory:
         tail_at = max(0, file.size - 22 - BIG16)
         tail = file.read(tail_at, file.size - tail_at)
         k = tail.rfind(END)
-        while k >= 0 and k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail):
+        while k >= 0 and (k + 22 > len(tail) or k + 22 + struct.unpack_from("<H", tail, k + 20)[0] != len(tail)):
             k = tail.rfind(END, 0, k)
         if k < 0:
             raise ValueError("no ZIP end record")
