@@ -9,8 +9,9 @@ similarity 0.8 have 10 of 50 wrong symbols on average (deviation 2.8); beyond MO
 still only about 2e-6.
 
 Documents that share a key are first linked to one member (a star); links are confirmed on the full sets, and components
-are formed. Then all pairs of a key whose documents are in different components are compared by signature, until no
-link between two components can be left. Pairs within a component are never needed, so groups of copies cost a star.
+are formed. The documents of keys that still hold several components are then compared across components on their full
+sets, inside tasks that hold a bounded block each; only confirmed links leave a task. Pairs within a component are never
+needed, so groups of copies cost a star, and no pair is emitted that is not a link.
 
 Null text counts as empty; a text without words links with nothing. Rows that repeat, and ids with several texts, are
 resolved per text: an id with several texts takes part with each, and its rows carry the id's one component. Null ids
@@ -35,8 +36,8 @@ SYMBOLS = WIDTH * CHUNKS
 MOST = CHUNKS * (ERRORS + 1) - 1
 #: Link where PERCENT * union <= 100 * intersection.
 SHINGLE, PERCENT = 4, 80
-#: Rounds after the first star: pairs between components with so many hubs of a key; 0 stands for all pairs.
-ROUNDS = (0,)
+#: Whole min-hashes by which open documents meet in the end, and how many of a group a task holds at once.
+COARSE, BLOCK_ROWS = 10, 4096
 #: Bytes kept of each shingle's hash for the confirmation.
 KEPT = 5
 _rng = np.random.default_rng(20240229)
@@ -168,70 +169,41 @@ def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.empty(len(ids), dtype=bool)
         for at in range(0, len(ids), 50_000):
             near[at : at + 50_000] = (sigs[at : at + 50_000] != sigs[hub[at : at + 50_000]]).sum(axis=1) <= MOST
-        out = pa.table({"key": t["key"], "id": t["id"], "signature": t["signature"], "hub": pa.array(ids[hub]), "near": pa.array(near)})
+        out = pa.table({"key": t["key"], "id": t["id"], "hub": pa.array(ids[hub]), "near": pa.array(near)})
         yield from out.combine_chunks().to_batches(max_chunksize=20_000)
 
 
-def crossing(seeds: int):
-    """Pairs of a key in different components under the distance threshold: with seeds, only those with one of so many
-    hubs of each group; with 0, every pair, once, at the first key that it shares. Groups are compared in blocks."""
+def pack(shingles: np.ndarray) -> bytes:
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes()
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches):
-            key, ids, comp = t["key"].to_numpy(), t["id"].to_numpy(), t["component"].to_numpy()
-            bounds = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            sigs = _matrix(t["signature"], SYMBOLS)
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                c = comp[lo:hi]
-                if hi - lo < 2 or (c == c[0]).all():
-                    continue
-                g, s = ids[lo:hi], sigs[lo:hi]
-                if seeds:
-                    left = np.unique([np.argmin(_hub_order(g, 11 + k)) for k in range(seeds)])
-                else:  # every document but those of the group's largest component, against all
-                    names, counts = np.unique(c, return_counts=True)
-                    left = np.flatnonzero(c != names[np.argmax(counts)])
-                for i in left:
-                    for at in range(0, len(g), 20_000):
-                        other = slice(at, at + 20_000)
-                        wrong = s[other] != s[i]
-                        hit = (wrong.sum(axis=1) <= MOST) & (c[other] != c[i])
-                        if not seeds:
-                            chunk = wrong.reshape(-1, CHUNKS, WIDTH)
-                            errors = chunk.sum(axis=2)
-                            fits = errors <= ERRORS
-                            where = np.argmax(fits, axis=1)
-                            at_chunk = np.take_along_axis(chunk, where[:, None, None], axis=1)[:, 0]
-                            mine = where * WIDTH + np.where(at_chunk.any(axis=1), np.argmax(at_chunk, axis=1), 0) == key[lo] >> 40
-                            hit &= mine
-                        found = np.flatnonzero(hit) + at
-                        if len(found):
-                            a, b = np.minimum(g[found], g[i]), np.maximum(g[found], g[i])
-                            yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
-    return work
+def unpack(x: bytes) -> np.ndarray:
+    wide = np.zeros((len(x) // KEPT, 8), dtype=np.uint8)
+    wide[:, :KEPT] = np.frombuffer(x, dtype=np.uint8).reshape(-1, KEPT)
+    return np.unique(wide.view(np.uint64).ravel())
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, percent: int, owners: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets are similar enough. Only the texts of their ids are read."""
+def member_sets(df: DataFrame, id_col: str, text_col: str, size: int, owners: DataFrame) -> DataFrame:
+    """id, members (packed hashes) of the owners (id, digest), from their texts."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, found, seen = [], [], []
+                ids, found = [], []
                 for i, wanted, raw in zip(part.column("id").to_pylist(), part.column("digest").to_pylist(), utf8(part.column("text")), strict=True):
                     s = shingle_set(raw, words, size)
                     if xxhash.xxh3_128_digest(s.tobytes()) == wanted:  # an id may have other texts
                         ids.append(i)
-                        found.append(s.view(np.uint8).reshape(-1, 8)[:, :KEPT].tobytes())
-                        seen.append(wanted)
+                        found.append(pack(s))
                 yield pa.record_batch({"id": pa.array(ids, pa.int64()), "members": pa.array(found, pa.binary())})
 
-    def unpack(x: bytes) -> np.ndarray:
-        wide = np.zeros((len(x) // KEPT, 8), dtype=np.uint8)
-        wide[:, :KEPT] = np.frombuffer(x, dtype=np.uint8).reshape(-1, KEPT)
-        return np.unique(wide.view(np.uint64).ravel())
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(owners, "id")
+    return stored(texts.select("id", "digest", "text").mapInArrow(sets, "id long, members binary").dropDuplicates(["id"]), "members")
+
+
+def confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last = None, None
@@ -247,14 +219,129 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str, size:
                     keep.append(k)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    # a group's hub is on one side of many pairs: the pair's longer side stays put, texts are read once
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted.join(owners, "id"), "id")
-    members = stored(texts.select("id", "digest", "text").mapInArrow(sets, "id long, members binary").dropDuplicates(["id"]), "members")
     full = pairs.join(members.select(F.col("id").alias("a"), F.col("members").alias("of_a")), "a").join(members.select(F.col("id").alias("b"), F.col("members").alias("of_b")), "b")
     return full.select("a", "b", "of_a", "of_b").mapInArrow(verify, "a long, b long")
 
 
+def coarse_keys(members: DataFrame) -> DataFrame:
+    """(id, component, members) to COARSE rows per document: key, id, component, members. A key is one whole min-hash,
+    so that sets of similarity 0.8 share none of them with a chance of 0.2 ** COARSE."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                keys = np.array([[mix64(s, 300 + k).min() for k in range(COARSE)] for s in map(unpack, part.column("members").to_pylist())], dtype=np.uint64)
+                keys ^= mix64(np.arange(COARSE, dtype=np.uint64), 299)
+                rows = pa.array(np.repeat(np.arange(len(keys)), COARSE))
+                yield pa.record_batch([pa.array(keys.ravel().view(np.int64)), *(part.column(k).take(rows) for k in ("id", "component", "members"))], names=["key", "id", "component", "members"])
+
+    return members.select("id", "component", "members").mapInArrow(work, "key long, id long, component long, members binary")
+
+
+class Held:
+    """Documents of a block: ids, components, and their sets one after another."""
+
+    def __init__(self, ids: list[int], components_: list[int], sets: list[np.ndarray]):
+        self.ids, self.components, self.sets = np.array(ids, dtype=np.int64), np.array(components_, dtype=np.int64), sets
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+
+    def part(self, rows: np.ndarray) -> Held:
+        return Held(self.ids[rows], self.components[rows], [self.sets[k] for k in rows])
+
+    @staticmethod
+    def of(parts: list[Held]) -> Held:
+        return parts[0] if len(parts) == 1 else Held(np.concatenate([p.ids for p in parts]), np.concatenate([p.components for p in parts]), [s for p in parts for s in p.sets])
+
+
+def cross_links(probes: Held, targets: Held, percent: int) -> list[tuple[int, int]]:
+    """For each probe one confirmed link to every other component that has a target similar enough."""
+    out = []
+    for lo in range(0, len(probes.ids), 64):
+        own = probes.part(np.arange(lo, min(lo + 64, len(probes.ids))))
+        words = np.unique(np.concatenate(own.sets))
+        has = np.zeros((len(words) + 1, len(own.ids)), dtype=np.uint16)
+        for k, s in enumerate(own.sets):
+            has[np.searchsorted(words, s), k] = 1
+        for at in range(0, len(targets.ids), 512):
+            rows = slice(at, at + 512)
+            every, doc = np.concatenate(targets.sets[rows]), np.repeat(np.arange(len(targets.sizes[rows])), targets.sizes[rows])
+            place = np.searchsorted(words, every)
+            place[place == len(words)] = 0
+            hit = words[place] == every
+            if not hit.any():
+                continue
+            doc, place = doc[hit], place[hit]
+            first = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
+            both = np.add.reduceat(has[place], first, axis=0, dtype=np.int64)
+            which = doc[first] + at
+            near = 100 * both >= percent * (targets.sizes[which][:, None] + own.sizes[None, :] - both)
+            near &= targets.components[which][:, None] != own.components[None, :]
+            seen = set()
+            for t, p in np.argwhere(near):
+                if (p, c := targets.components[which[t]]) not in seen:
+                    seen.add((p, c))
+                    out.append((int(min(own.ids[p], targets.ids[which[t]])), int(max(own.ids[p], targets.ids[which[t]]))))
+    return out
+
+
+def crossing(percent: int):
+    """Links between components within blocks sorted by block, probe. A block's targets are held, at most about
+    BLOCK_ROWS; probes of larger groups stream past them, else the targets outside the main component are the probes."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, streamed = None, [], False
+
+        def finished() -> list[tuple[int, int]]:
+            if streamed or not held:
+                return []
+            every, main = Held.of([h for h, _ in held]), held[0][1]
+            probes = np.flatnonzero(every.components != main)
+            return cross_links(every.part(probes), every, percent) if len(probes) and len(every.ids) > 1 else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, probe = batch.column("block").to_numpy(), batch.column("probe").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (probe[1:] != probe[:-1])) + 1).tolist(), len(block)]
+            found = []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if block[lo] != now:
+                    found += finished()
+                    now, held, streamed = block[lo], [], False
+                part = batch.slice(lo, hi - lo)
+                own = Held(part.column("id").to_pylist(), part.column("component").to_pylist(), [unpack(x) for x in part.column("members").to_pylist()])
+                if not probe[lo]:
+                    held.append((own, part.column("main")[0].as_py()))
+                    streamed = streamed or part.column("blocks")[0].as_py() > 1
+                elif held:
+                    found += cross_links(own, Held.of([h for h, _ in held]), percent)
+            if found:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        if found := finished():
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return work
+
+
+def remaining_links(links: DataFrame, labels: DataFrame, df: DataFrame, id_col: str, text_col: str, size: int, percent: int, owners: DataFrame) -> DataFrame:
+    """Links (a, b) between different components of documents that share a key. The open documents, those of keys with
+    several components, carry their full sets to a few coarse keys and are compared there; only confirmed links come out."""
+    named = links.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
+    open_ = stored(named.join(mixed, "key", "left_semi").select("id", "component").distinct(), "open")
+    members = member_sets(df, id_col, text_col, size, owners.join(open_.select("id"), "id", "left_semi"))
+    keys = coarse_keys(members.join(open_, "id"))
+    counted = keys.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    groups = counted.filter(F.col("n") > F.col("most")).select("key", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = keys.join(groups, "key")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    targets = rows.withColumn("probe", F.lit(False)).withColumn("at", own)
+    probes = rows.filter((F.col("blocks") > 1) & (F.col("component") != F.col("main"))).withColumn("probe", F.lit(True)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = targets.unionByName(probes).withColumn("block", F.xxhash64("key", "at")).select("block", "probe", "id", "component", "main", "blocks", "members")
+    return dealt.repartition("block").sortWithinPartitions("block", "probe").mapInArrow(crossing(percent), "a long, b long").distinct()
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of df: id, n_shingles, component_id, kept."""
     rows = stored(features(df, id_col, text_col, size), "features")
@@ -262,19 +349,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = stored(owned.groupBy("digest").agg(F.min("id").alias("id"), F.first("signature").alias("signature")), "reps")
     # an id with several texts stands for several sets; it is one node all the same
     links = stored(
-        keyed(reps).repartition("key").sortWithinPartitions("key").mapInArrow(starred, "key long, id long, signature binary, hub long, near boolean"), "keys"
+        keyed(reps).repartition("key").sortWithinPartitions("key").mapInArrow(starred, "key long, id long, hub long, near boolean"), "keys"
     )
     owners = reps.select("id", "digest")
     star = links.filter(F.col("near") & (F.col("id") != F.col("hub"))).select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    edges = stored(confirmed(stored(star, "pairs"), df, id_col, text_col, size, percent, owners), "links")
-    for seeds in ROUNDS:
-        labels = components(edges)
-        named = links.select("key", "id", "signature").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-        open_ = named.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-        pairs = stored(open_.mapInArrow(crossing(seeds), "a long, b long").distinct(), "pairs")
-        more = stored(confirmed(pairs, df, id_col, text_col, size, percent, owners), "links")
-        edges = edges.unionByName(more)
+    pairs = stored(star, "pairs")
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    edges = stored(confirmed(pairs, member_sets(df, id_col, text_col, size, owners.join(ends, "id", "left_semi")), percent), "links")
+    more = stored(remaining_links(links, components(edges), df, id_col, text_col, size, percent, owners), "links")
+    edges = edges.unionByName(more)
     # ids that share a set, or texts that share an id, belong together too
     same = owned.join(reps.select("digest", F.col("id").alias("rep")), "digest").filter(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     labels = components(edges.unionByName(same))
