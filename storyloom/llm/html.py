@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, stored
 
 #: A subtree is template from so many different pages of its host on, and from this share of the host's pages on.
 LEAST_PAGES, LEAST_SHARE = 5, 0.001
@@ -211,48 +211,62 @@ def _rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFra
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), host.alias("host"), F.xxhash64(host, html).alias("page"))
 
 
+def deletable(root: Node) -> set[int]:
+    """The hashes of the subtrees that would go if they recur: those outside the article, and link lists in it."""
+    out, work = set(), [(root, False)]
+    while work:
+        node, inside = work.pop()
+        inside = inside or node.tag in ("article", "main") or node.attributes.get("role", "").lower() == "main"
+        if node.chars and node.tag not in ("html", "head", "title", "body", "article", "main") and (not inside or node.linked >= LINK_SHARE * node.chars):
+            out.add(node.hash)
+        work += [(c, inside) for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def host_mask(host: str) -> int:
+    """Makes a subtree's hash one of its host's."""
+    return xxhash.xxh3_64_intdigest(host.encode()) - (1 << 63)
+
+
 def subtrees(rows: DataFrame) -> DataFrame:
-    """host, page, hash: the distinct subtree hashes of each page's body."""
+    """host, page, hashes: the distinct deletable subtrees of each page's body, as one array."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                at, found = [], []
-                for k, text in enumerate(part.column("html").to_pylist()):
-                    order = nodes(parse(text))
-                    hash_subtrees(order)
-                    own = {x.hash for x in order if x.chars and x.tag not in ("html", "head", "title", "body", "article", "main")}
-                    found += own
-                    at += [k] * len(own)
-                rows_ = pa.array(at, pa.int64())
-                yield pa.record_batch({"host": part.column("host").take(rows_), "page": part.column("page").take(rows_), "hash": pa.array(found, pa.int64())})
+                found = []
+                for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                    root, mask = parse(text), host_mask(host)
+                    hash_subtrees(nodes(root))
+                    found.append([h ^ mask for h in deletable(root)])
+                yield pa.record_batch({"host": part.column("host"), "page": part.column("page"), "hashes": pa.array(found, pa.list_(pa.int64()))})
 
-    return rows.select("host", "page", "html").mapInArrow(work, "host string, page long, hash long")
+    return rows.select("host", "page", "html").mapInArrow(work, "host string, page long, hashes array<long>")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
     """id, url, text, n_chars of every row of pages.
 
     Hashes are counted per host with map-side sums, so a hot host's menu is one counter per task. A page meets only its
-    own template hashes; html is shuffled once, by page."""
+    own template hashes; html is shuffled once, by page. The hashes of a page travel as one array."""
     rows = _rows(pages, id_col, url_col, html_col)
-    found = subtrees(rows).distinct()
-    sizes = rows.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counted = found.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    template = counted.join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages")).select("host", "hash")
-    lists = found.join(template, ["host", "hash"]).groupBy("page").agg(F.collect_set("hash").alias("template"))  # at most a page's subtrees
+    found = stored(subtrees(rows).dropDuplicates(["page"]), "subtrees")
+    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
+    counted = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
+    template = counted.join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages")).select("hash")
+    lists = found.select("page", F.explode("hashes").alias("hash")).join(template, "hash").groupBy("page").agg(F.collect_set("hash").alias("template"))  # at most a page's subtrees
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
                 texts = []
-                for page, template in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
-                    root = parse(page)
+                for host, page, template in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
+                    root, mask = parse(page), host_mask(host)
                     order = nodes(root)
                     hash_subtrees(order)
-                    texts.append(main_text(root, order, frozenset(template or ())))
+                    texts.append(main_text(root, order, frozenset(h ^ mask for h in template or ())))
                 yield pa.record_batch([part.column("id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    joined = rows.join(lists, "page", "left").select(F.col("page_id").alias("id"), "url", "html", "template")
+    joined = rows.join(lists, "page", "left").select(F.col("page_id").alias("id"), "url", "host", "html", "template")
     return joined.mapInArrow(work, f"id {kind}, url string, text string, n_chars long").withColumnRenamed("id", id_col)
