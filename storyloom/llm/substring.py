@@ -7,8 +7,9 @@ bounds. Two occurrences of a passage share a window's min-hash and, as it lies i
 side: HALF words that start or end with the shingle. Windows are grouped by these, each group linked to its first
 occurrence where the windows' intervals overlap in a passage's length, and links are verified by extending them word by
 word; nearby blocks of a pair join to a near-duplicate passage while its 5-shingles keep a Jaccard similarity of 0.8.
-Members of a group in which a link failed are compared once more, by all windows of WORDS words around them. So every
-repeated run of WORDS words is found; with edits, what HASHES functions find.
+Two members can share more than their first occurrence has: their runs against it then end at the same place, before the
+same word. Where so, and in groups with windows that overlap too little, members are compared once more, by all windows
+of WORDS words there. So every repeated run of WORDS words is found; with edits, what HASHES functions find.
 
 A passage counts as repeated where an earlier (id, position) holds it. Null text counts as empty; texts under WORDS
 words have no passage. Null ids take no part. Rows that repeat with id and text count once; an id with several texts
@@ -33,6 +34,8 @@ HALF = WORDS // 2
 GAP, SIMILARITY = 8, 0.8
 #: Bits of a packed window: position, words to the left, words to the right.
 POS, SIDE = 24, 20
+#: Stand in place of a span's end in the rows of runs' ends.
+LEFT, RIGHT = -1, -2
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -152,11 +155,9 @@ def equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return most
 
 
-def blocks_of(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], same: bool) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """Maximal equal runs (start in a, start in b, length) through the anchors (first words of an equal shingle), and the
-    anchors whose runs are shorter than WORDS."""
+def blocks_of(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], same: bool) -> list[tuple[int, int, int]]:
+    """Maximal equal runs (start in a, start in b, length) through the anchors (first words of an equal shingle)."""
     out: dict[int, list[tuple[int, int, int]]] = {}
-    short = []
     for x, y in anchors:
         if x + SHINGLE > len(a) or y + SHINGLE > len(b) or (a[x : x + SHINGLE] != b[y : y + SHINGLE]).any():
             continue  # of another text under the same id
@@ -166,9 +167,13 @@ def blocks_of(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], same
             ahead, behind = equal_run(a[x:], b[y:]), equal_run(a[:x][::-1], b[:y][::-1])
             hit = (x - behind, y - behind, behind + ahead)
             seen.append(hit)
-        if hit[2] < WORDS:
-            short.append((x, y))
-    return sorted({s for found in out.values() for s in found if not same or s[0] > s[1]}), short
+    return sorted({s for found in out.values() for s in found if not same or s[0] > s[1]})
+
+
+def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(place in a, LEFT or RIGHT, place in b, a's next word) of the runs' ends within a."""
+    left = [(x, LEFT, y, int(a[x - 1])) for x, y, _ in runs_ if x > 0]
+    return left + [(x + n, RIGHT, y + n, int(a[x + n])) for x, y, n in runs_ if x + n < len(a)]
 
 
 def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -241,15 +246,12 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, failed = [], []
+            every = []
             cols = [batch.column(k).to_pylist() for k in ("id", "to_id", "anchors", "words", "to_words")]
             for i, j, anchors, x, y in zip(*cols, strict=True):
                 a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                own, short = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
-                spans = passages(a, b, own)
-                found += [(i, j, *s) for s in spans]
-                failed += [(i, j, c, -1, d, -1) for c, d in short if not any(s[0] <= c < s[1] for s in spans)]
-            every = found + failed
+                own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
+                every += [(i, j, *s) for s in passages(a, b, own) + edges(a, own)]
             if every:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end"])
 
@@ -257,11 +259,14 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = grouped.join(words, "id").join(words.select(F.col("id").alias("to_id"), F.col("words").alias("to_words")), "to_id")
     checked = stored(both.select("id", "to_id", "anchors", "words", "to_words").mapInArrow(verify, "id long, to_id long, start long, end long, to_start long, to_end long"), "checked")
 
-    # groups with a failed link: all windows of WORDS words around each of their members
-    failed = checked.filter(F.col("end") < 0).select("id", "to_id", F.col("start").alias("c"), F.col("to_start").alias("to_c"))
-    bad = links.join(failed, ["id", "to_id", "c", "to_c"], "left_semi").select("key").unionByName(links.filter(~F.col("ok")).select("key")).distinct()
-    members = links.join(bad, "key", "left_semi")
-    members = members.select("id", "c").unionByName(members.select(F.col("to_id").alias("id"), F.col("to_c").alias("c"))).distinct()
+    # places where several members go on alike beyond their first occurrence, and groups with windows that overlap too
+    # little: all windows of WORDS words around each member
+    place = ["to_id", "end", "to_start", "to_end"]
+    ends = checked.filter(F.col("end") < 0)
+    shared = ends.groupBy(place).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).filter("least <> most")
+    open_ = ends.join(shared.select(place), place, "left_semi").select("id", F.explode(F.array(F.col("start") - 1, F.col("start") - SHINGLE + 1)).alias("c"))
+    members = links.join(links.filter(~F.col("ok")).select("key").distinct(), "key", "left_semi")
+    members = members.select("id", "c").unionByName(members.select(F.col("to_id").alias("id"), F.col("to_c").alias("c"))).unionByName(open_).distinct()
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -165,6 +165,20 @@ def test_repeats_against_brute_force(spark, sf_dir):
     assert {i for i, s in wanted.items() if s - got[i]} == set()
 
 
+def test_nested_passages_against_brute_force(spark):
+    """The earliest document holds a part of a passage, later ones all of it."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"n{rng.integers(0, 1 << 40)}"
+    rows = []
+    for i in range(60):
+        whole = [word() for _ in range(70 + 30 * (i % 2))]
+        cut = (5, 10, 15)[i % 3]
+        for k, part in enumerate((whole[cut:] if i % 4 < 2 else whole[:-cut], whole, whole)):
+            rows.append((k * 100 + i, " ".join([*[word() for _ in range(30)], *part, *[word() for _ in range(30)]])))
+    wanted, got = exact_repeats(rows), covered(substring.repeated_passages(docs(spark, rows)))
+    assert {i: s - got[i] for i, s in wanted.items() if s - got[i]} == {}
+
+
 def test_a_passage_with_an_edit_is_found(spark):
     words = [f"e{k * k}" for k in range(120)]
     edited = [*words[:60], "changed", *words[61:]]
