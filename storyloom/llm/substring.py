@@ -4,9 +4,10 @@ A text is its sequence of word 5-shingles. Under a hash function the subsequence
 compact windows (l, c, r): all that start in [l, c] and end in [c, r] have their min-hash at c. They are the nodes of
 width T or more of the Cartesian tree over the hashes; a sliding minimum finds these nodes, a stack over them alone the
 bounds. Two occurrences of a passage share a window's min-hash and, as it lies in the passage, the words on its longer
-side: HALF words that start or end with the shingle. Windows are grouped by these, each group linked to its first
-occurrence where the windows' intervals overlap in a passage's length, and links are verified by extending them word by
-word; nearby blocks of a pair join to a near-duplicate passage while its 5-shingles keep a Jaccard similarity of 0.8.
+side: HALF words that start or end with the shingle; QUARTER words where an edit is near. Windows are grouped by these,
+each group linked to its first occurrence where the windows' intervals overlap in a passage's length. Links are verified
+by extending them word by word and, past gaps of up to GAP words, from one equal run to the next; the longest row of such
+runs whose 5-shingles have a Jaccard similarity of 0.8 is a near-duplicate passage.
 Two members can share more than their first occurrence has: their runs against it then end at the same place, before the
 same word. Where so, and in groups with windows that overlap too little, members are compared once more, by all windows
 of WORDS words there. So every repeated run of WORDS words is found; with edits, what HASHES functions find.
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix64, shingle_hashes, slices, stored, utf8
 
 SHINGLE, WORDS, HASHES = 5, 50, 2
-HALF = WORDS // 2
-#: Blocks of a pair join over at most so many words on either side, while the similarity is at least SIMILARITY.
+#: Words of the two kinds of keys; the longest equal run of a passage with SIMILARITY has 24 words or more.
+HALF, QUARTER = WORDS // 2, 15
+#: Equal runs of a pair join over at most so many words on either side, while the similarity is at least SIMILARITY.
 GAP, SIMILARITY = 8, 0.8
 #: Bits of a packed window: position, words to the left, words to the right.
 POS, SIDE = 24, 20
@@ -81,7 +83,7 @@ def long_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(df: DataFrame) -> DataFrame:
-    """(id, text) to rows key, id, at: two keys per compact window and hash function; at packs c, c - l, r - c."""
+    """(id, text) to rows key, id, at: four keys per compact window and hash function; at packs c, c - l, r - c."""
     least = WORDS - SHINGLE + 1
     widest = (1 << SIDE) - 1
 
@@ -94,15 +96,16 @@ def windows(df: DataFrame) -> DataFrame:
                     words = hashes.of(raw.split())
                     if len(words) < WORDS:
                         continue
-                    short, half = shingle_hashes(words, SHINGLE), long_hashes(words, HALF)
+                    short, longer = shingle_hashes(words, SHINGLE), [(size, long_hashes(words, size)) for size in (HALF, QUARTER)]
                     for f in range(HASHES):
                         left, c, right = compact_windows(mix64(short, 100 + f), least)
                         packed = (c << (2 * SIDE)) | (np.minimum(c - left, widest) << SIDE) | np.minimum(right - c, widest)
-                        for side, start in ((0, c), (1, c + SHINGLE - HALF)):
-                            fits = (start >= 0) & (start < len(half))
-                            keys.append(mix64(half[start[fits]], 10 + 2 * f + side))
-                            at.append(packed[fits])
-                            ids.append(np.full(int(fits.sum()), i, dtype=np.int64))
+                        for size, runs_ in longer:
+                            for side, start in ((0, c), (1, c + SHINGLE - size)):
+                                fits = (start >= 0) & (start < len(runs_))
+                                keys.append(mix64(runs_[start[fits]], 10 * size + 2 * f + side))
+                                at.append(packed[fits])
+                                ids.append(np.full(int(fits.sum()), i, dtype=np.int64))
                 if keys:
                     yield pa.record_batch({"key": pa.array(np.concatenate(keys).view(np.int64)), "id": pa.array(np.concatenate(ids)), "at": pa.array(np.concatenate(at))})
 
@@ -176,26 +179,81 @@ def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, i
     return left + [(x + n, RIGHT, y + n, int(a[x + n])) for x, y, n in runs_ if x + n < len(a)]
 
 
-def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, start in b, end in b) of the repeated passages that the equal runs form."""
-
-    def alike(s: tuple[int, int, int, int]) -> bool:
-        x, y = np.unique(shingle_hashes(a[s[0] : s[1]], SHINGLE)), np.unique(shingle_hashes(b[s[2] : s[3]], SHINGLE))
+def next_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+    """The nearest places within GAP words, first in a, where SHINGLE equal words of a and b start."""
+    a, b = a[: GAP + SHINGLE], b[: GAP + SHINGLE]
+    n, m = len(a) - SHINGLE + 1, len(b) - SHINGLE + 1
+    if n < 1 or m < 1:
+        return None
+    same = a[:, None] == b[None, :]
+    starts = same[:n, :m].copy()
+    for k in range(1, SHINGLE):
+        starts &= same[k : n + k, k : m + k]
+    found = np.argwhere(starts)
+    return tuple(found[found.sum(axis=1).argmin()].tolist()) if len(found) else None
+
+
+def onward(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """The equal runs that follow each other in a and b, each after a gap of up to GAP words."""
+    x = y = 0
+    while step := next_run(a[x:], b[y:]):
+        x, y = x + step[0], y + step[1]
+        yield x, y, (n := equal_run(a[x:], b[y:]))
+        x, y = x + n, y + n
+
+
+def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]], same: bool) -> list[tuple[int, int, int, int]]:
+    """(start, end, start in b, end in b) of the repeated passages around the equal runs. same: a is b, and a passage's
+    runs stand behind their sources."""
+
+    def span(row: list[tuple[int, int, int]]) -> tuple[int, int, int, int]:
+        return row[0][0], row[-1][0] + row[-1][2], row[0][1], row[-1][1] + row[-1][2]
+
+    def alike(row: list[tuple[int, int, int]]) -> bool:
+        if len(row) == 1:
+            return True
+        s = span(row)
+        x, y = np.unique(shingle_hashes(a[s[0] : s[1]].astype(np.uint64), SHINGLE)), np.unique(shingle_hashes(b[s[2] : s[3]].astype(np.uint64), SHINGLE))
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= SIMILARITY * (len(x) + len(y) - both)
 
-    out: list[tuple[int, int, int, int]] = []
-    now: tuple[int, int, int, int] | None = None
-    for x, y, n in runs_:
-        if now and 0 <= x - now[1] <= GAP and 0 <= y - now[3] <= GAP and alike(longer := (now[0], x + n, now[2], y + n)):
-            now = longer
-        else:
-            if now:
-                out.append(now)
-            now = (x, x + n, y, y + n)
-    if now:
-        out.append(now)
-    return [s for s in out if min(s[1] - s[0], s[3] - s[2]) >= WORDS]
+    def longest(row: list[tuple[int, int, int]]) -> tuple[int, int]:
+        """The longest stretch of runs with SIMILARITY, taken by counts: shared - SIMILARITY * union, summed, is positive."""
+        x, y, n = np.array(row).T
+        own = (1 + SIMILARITY) * np.cumsum(n - SHINGLE + 1)
+        low = np.minimum.accumulate(np.concatenate([[0.0], own[:-1]]) - SIMILARITY * (x + y))
+        gain = own - SIMILARITY * (x + y + 2 * n - 2 * SHINGLE + 2)
+        # the earliest start for each end: low never rises
+        start = np.searchsorted(-low, -gain - 1e-9)
+        size = np.arange(1, len(row) + 1) - start
+        end = int(size.argmax())
+        return (int(start[end]), end + 1) if size[end] > 0 else (int(n.argmax()), int(n.argmax()) + 1)
+
+    out: set[tuple[int, int, int, int]] = set()
+    done: set[tuple[int, int, int]] = set()
+    for run in runs_:
+        if run in done:
+            continue
+        x, y, n = run
+        behind = [(x - u - m, y - v - m, m) for u, v, m in onward(a[:x][::-1], b[:y][::-1])]
+        ahead = [(x + n + u, y + n + v, m) for u, v, m in onward(a[x + n :], b[y + n :])]
+        whole = [*behind[::-1], run, *ahead]
+        done.update(whole)
+        if same and any(u <= v for u, v, _ in whole):
+            whole = [r for r in whole if r[0] > r[1]]
+        rows = [whole]
+        while rows:
+            row = rows.pop()
+            if not row or min((s := span(row))[1] - s[0], s[3] - s[2]) < WORDS:
+                continue
+            first, last = (0, len(row)) if alike(row) else longest(row)
+            while not alike(row[first:last]):
+                first, last = (first + 1, last) if row[first][2] < row[last - 1][2] else (first, last - 1)
+            s = span(row[first:last])
+            if min(s[1] - s[0], s[3] - s[2]) >= WORDS:
+                out.add(s)
+            rows += [row[:first], row[last:]]
+    return sorted(out)
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +309,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for i, j, anchors, x, y in zip(*cols, strict=True):
                 a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
                 own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
-                every += [(i, j, *s) for s in passages(a, b, own) + edges(a, own)]
+                every += [(i, j, *s) for s in passages(a, b, own, i == j) + edges(a, own)]
             if every:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end"])
 

@@ -186,6 +186,23 @@ def test_a_passage_with_an_edit_is_found(spark):
     assert found[2] == set(range(120)) and not found[1]
 
 
+def test_short_passages_with_edits_are_found(spark):
+    """50 to 110 words in unrelated contexts, with edits near the middle and a Jaccard similarity of 0.8 or more."""
+    rng = np.random.default_rng(13)
+    word = lambda: f"m{rng.integers(0, 1 << 40)}"
+    shingles = lambda x: {tuple(x[k : k + 5]) for k in range(len(x) - 4)}
+    rows, where = [], {}
+    for i in range(200):
+        size, places = [(52, [26]), (56, [28]), (64, [31]), (76, [38]), (110, [36, 72])][i % 5]
+        old = [word() for _ in range(size)]
+        new = [x for k, w in enumerate(old) for x in ([w] if k not in places else [[word()], [], [word(), w]][i // 5 % 3])]
+        assert (j := len(shingles(old) & shingles(new))) >= 0.8 * (len(shingles(old)) + len(shingles(new)) - j)
+        rows += [(i, " ".join([*[word() for _ in range(40)], *old, *[word() for _ in range(40)]])), (1000 + i, " ".join([*[word() for _ in range(50)], *new, *[word() for _ in range(30)]]))]
+        where[1000 + i] = set(range(50, 50 + len(new)))
+    got = covered(substring.repeated_passages(docs(spark, rows)))
+    assert sum(got[i] == s for i, s in where.items()) >= 0.95 * len(where) and all(got[i] <= s for i, s in where.items())
+
+
 def test_scan_uses_the_ledger(spark, monkeypatch):
     rows = docs(spark, [(1, "token=zzzzzzzzzzzzzzzz"), (2, "token=zzzzzzzzzzzzzzzz"), (3, "clean"), (None, "AKIA" + "B" * 16)])
     ledger, scanned = secrets.Ledger(spark), []
