@@ -90,7 +90,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     named = outcomes.select(F.col(outcomes.columns[0]).alias("page_id"), F.col(outcomes.columns[1]).alias("good"))
     rep = reputations(base.select("page_id", "host"), named).withColumn("bound", F.col("mean") + z * F.col("deviation"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("host") != "") & (F.col("n") > 0) & (F.col("bound") < threshold), "block").otherwise("allow")
+    own = F.when((F.col("host") != "") & (F.col("bound") < threshold), "block").otherwise("allow")
     out = base.join(rep, "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.col("n").alias("host_labels"),
         F.round("mean", 6).alias("host_rate"), F.round("bound", 6).alias("host_bound"),

@@ -239,6 +239,14 @@ def test_url_rules_and_reputation(spark):
     assert (got[1].host, got[1].path, got[4].path, got[5].host) == ("en.example.com", "/en/1", "", "") and got[200].verdict == "allow"
 
 
+def test_a_host_without_labels_inherits_from_its_domain(spark):
+    rows = [(k, f"x://h{k % 8}.bad.org/p") for k in range(400)] + [(1000 + k, f"x://h{k % 8}.good.org/p") for k in range(400)] + [(2000, "x://new.bad.org/p"), (2001, "x://new.good.org/p")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows if i < 2000], "page_id long, good int")
+    got = {r.page_id: r for r in urls.judge(pages, outcomes).collect()}
+    assert [(got[i].host_labels, got[i].verdict) for i in (2000, 2001)] == [(0, "block"), (0, "allow")]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 60
     rows = [(3, "u3", big), (1, "u1", big), (2, None, "short"), (4, "u4", "short"), (5, "u5", None), (None, "u6", big), (1, "u1", big)]
