@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 
-#: A subtree is template from so many different pages of its host on, and from this share of the host's pages on.
-LEAST_PAGES, LEAST_SHARE = 5, 0.001
+#: A subtree is template from so many different pages of its host on, however many pages the host has.
+LEAST_PAGES = 5
 #: Within the article, a recurring subtree goes if links hold at least this share of its text.
 LINK_SHARE = 0.5
 
@@ -244,16 +244,15 @@ def subtrees(rows: DataFrame) -> DataFrame:
     return rows.select("host", "page", "html").mapInArrow(work, "host string, page long, hashes array<long>")
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
     """id, url, text, n_chars of every row of pages.
 
     Hashes are counted per host with map-side sums, so a hot host's menu is one counter per task. A page meets only its
     own template hashes; html is shuffled once, by page. The hashes of a page travel as one array."""
     rows = _rows(pages, id_col, url_col, html_col)
     found = stored(subtrees(rows).dropDuplicates(["page"]), "subtrees")
-    sizes = found.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least_pages)
-    template = counted.join(sizes, "host").filter(F.col("n") >= least_share * F.col("pages")).select("hash")
+    counted = found.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
+    template = counted.filter(F.col("n") >= least_pages).select("hash")
     lists = found.select("page", F.explode("hashes").alias("hash")).join(template, "hash").groupBy("page").agg(F.collect_set("hash").alias("template"))  # at most a page's subtrees
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

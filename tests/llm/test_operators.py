@@ -283,6 +283,14 @@ def test_templates_are_counted_per_host(spark):
     assert got[3] == "Text number 3." and got[9] == "Top story list Text number 9." and got[22] == "Same text."
 
 
+def test_templates_go_on_hosts_of_every_size(spark):
+    for size in (20, 7000):
+        box = F.when(F.col("id") < 6, "<div><span>Seasonal opening hours</span></div>").otherwise("")
+        page = F.concat(F.lit("<body>"), box, F.lit("<div><p>Text number "), F.col("id").cast("string"), F.lit(".</p></div></body>"))
+        pages = spark.range(size).select(F.col("id").alias("page_id"), F.lit("http://a.com/").alias("url"), page.alias("html"))
+        assert {r.text for r in html.extract(pages).filter("page_id < 6").collect()} == {f"Text number {k}." for k in range(6)}
+
+
 def test_packing_covers_every_id(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = packing.pack(df, VOCAB, block=50).collect()
