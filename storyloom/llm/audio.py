@@ -99,9 +99,9 @@ def mel_bank(rate: int, frame: int = FRAME, mels: int = MELS) -> np.ndarray:
 
 
 def log_mel(y: np.ndarray, rate: int) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, MELS) log energies and each frame's energy in decibels; a short signal is padded to one frame."""
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y), np.float32)])
+    """(frames, MELS) log energies and each frame's energy in decibels; silence fills the last frame, so that it covers the end."""
+    if rest := FRAME - len(y) if len(y) < FRAME else -(len(y) - FRAME) % HOP:
+        y = np.concatenate([y, np.zeros(rest, np.float32)])
     frames = sliding_window_view(y, FRAME)[::HOP]
     window, bank = np.hanning(FRAME).astype(np.float32), mel_bank(rate)
     mel, level = np.empty((len(frames), MELS), np.float32), np.empty(len(frames), np.float32)
@@ -138,7 +138,7 @@ def analysed(samples: bytes, rate: int) -> tuple[list[tuple[int, int]], np.ndarr
     mel, level = log_mel(y, own_rate)
     middle, spread = float(level.mean(dtype=np.float64)), float(level.std(dtype=np.float64))
     runs = hysteresis(level, middle + OPEN_AT * spread, middle + CLOSE_AT * spread)
-    spans = [(a * HOP * 1000 // own_rate, ((b - 1) * HOP + FRAME) * 1000 // own_rate) for a, b in runs]
+    spans = [(a * HOP * 1000 // own_rate, min((b - 1) * HOP + FRAME, len(y)) * 1000 // own_rate) for a, b in runs]
     patches = np.stack([pooled(mel[a:b]) for a, b in runs]) if runs else np.empty((0, FRAMES, MELS), np.float32)
     return spans, patches, mel
 

@@ -189,6 +189,16 @@ def test_segments_and_tensors():
     assert audio.tensors(patches).to_numpy_ndarray().shape == patches.shape
 
 
+@pytest.mark.parametrize("size", [64, 511, 512, 513, 767, 768, 832, 6400])
+def test_frames_cover_the_end(size):
+    quiet = np.full(size, 128, np.uint8)
+    loud = quiet.copy()
+    loud[-40:] = np.arange(40) % 7 * 36
+    (_, _, a), (spans, _, b) = (audio.analysed(x.tobytes(), audio.RATE) for x in (quiet, loud))
+    assert len(b) == max(1, -(-(-(-size // 2) - audio.FRAME) // audio.HOP) + 1)
+    assert (a[-1] != b[-1]).any() and (len(b) < 3 or spans[-1][1] == (-(-size // 2)) * 1000 // (audio.RATE // 2))
+
+
 def text_of(x, template=frozenset()):
     root = pages.parse(x)
     order = pages.nodes(root)
