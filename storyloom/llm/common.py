@@ -17,27 +17,48 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 4 << 20
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path and its file system, as Spark itself resolves them."""
+    jvm = spark.sparkContext._jvm
+    own = jvm.org.apache.hadoop.fs.Path(path)
+    return own, own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), one under the temp folder."""
+    """The folder in spark.checkpoint.dir, as a full URI. Where that is unset, a local master (tests, one machine) gets
+    one under the temp folder; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    path, store = _hadoop_path(spark, found)
+    return store.makeQualified(path).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/storyloom-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: later steps neither recompute it nor need the executors
-    that made it."""
+    that made it. drop: stored tables that nothing reads from then on; they are deleted."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    for old in drop:
+        discard(old)
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that stored() wrote."""
+    path, store = _hadoop_path(table.sparkSession, table.stored_path)
+    store.delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES, rows: int = 2000) -> Iterator[pa.RecordBatch]:
@@ -106,3 +127,8 @@ def local_path(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
     return uri if uri.startswith(os.sep) else None
+
+
+def arrow_uri(uri: str) -> str:
+    """A URI as Arrow's file systems name it."""
+    return "s3://" + uri.split("://", 1)[1] if uri.startswith(("s3a://", "s3n://")) else uri

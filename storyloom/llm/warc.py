@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import local_path, new_path, slices, stored
+from .common import arrow_uri, local_path, new_path, slices, stored
 
 LEAST, ARCHIVE_BYTES, READ_BYTES = 100, 16 << 20, 1 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -51,7 +51,7 @@ def write_file(uri: str, data: bytes) -> None:
             f.write(data)
         os.replace(part, path)
         return
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = fs.FileSystem.from_uri(arrow_uri(uri))
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(path) as f:
         f.write(data)
@@ -65,7 +65,7 @@ class RangeFile:
         if path:
             self.file = pa.OSFile(path, "rb")
         else:
-            store, path = fs.FileSystem.from_uri(uri)
+            store, path = fs.FileSystem.from_uri(arrow_uri(uri))
             self.file = store.open_input_file(path)
         self.size, self.reads = self.file.size(), 0
 

@@ -100,6 +100,17 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, rows_a_block):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in wanted.values()}
 
 
+def test_an_id_with_several_texts_keeps_the_links_of_each(spark):
+    rng = np.random.default_rng(4)
+    a, b, c = ([f"q{x}" for x in rng.integers(0, 99_999, 200)] for _ in range(3))
+    edit = lambda x: " ".join([*x[:-1], "end"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, edit(a)), (3, edit(b)), (4, " ".join(c)), (4, " ".join(c)), (7, edit(c)), (7, None), (None, " ".join(c))]
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in neardup.near_duplicates(docs(spark, rows)).collect())
+    assert got == sorted([(5, 2, False), (5, 2, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (7, 4, False), (7, 7, True), (0, 0, True)])
+    kept = [(r.doc_id, r.text) for r in neardup.one_of_each(docs(spark, rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(2, edit(a)), (3, edit(b)), (4, " ".join(c)), (7, None), (None, " ".join(c))], key=str)
+
+
 def test_near_duplicates_of_real_documents(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in df.collect()]
