@@ -3,39 +3,48 @@
 A text is its sequence of word 5-shingles. Under a hash function the subsequences of at least T shingles fall into
 compact windows (l, c, r): all that start in [l, c] and end in [c, r] have their min-hash at c. They are the nodes of
 width T or more of the Cartesian tree over the hashes; a sliding minimum finds these nodes, a stack over them alone the
-bounds. Two occurrences of a passage share a window's min-hash and, as it lies in the passage, the words on its longer
-side: HALF words that start or end with the shingle; QUARTER words where an edit is near. Windows are grouped by these,
-each group linked to its first occurrence where the windows' intervals overlap in a passage's length. Links are verified
-by extending them word by word and, past gaps of up to GAP words, from one equal run to the next; the longest row of such
-runs whose 5-shingles have a Jaccard similarity of 0.8 is a near-duplicate passage.
-Two members can share more than their first occurrence has: their runs against it then end at the same place, before the
-same word. Where so, and in groups with windows that overlap too little, members are compared once more, by all windows
-of WORDS words there. So every repeated run of WORDS words is found; with edits, what HASHES functions find.
+bounds. Two occurrences of a passage share a window's min-hash and, unless edits are on both sides of it, KEY words that
+start or end with that shingle. Windows are grouped by these words; each slice of a task links its own windows of a key
+to the first of them and sends that one alone, so that a hot key is a row per slice, and the first ones meet by key.
+
+Each window is thus linked to the first occurrence of its key. Per pair of texts the intervals of all hash functions are
+collected: where one overlaps its partner's in a passage's length, the pair is verified by extending the equal words
+around the anchors and, past gaps of up to GAP words, from one equal run to the next; the longest row of such runs whose
+5-shingles have a Jaccard similarity of 0.8 is a near-duplicate passage. Texts that equal their first occurrence as a whole
+are one span and are not compared further.
+
+Two members can share more than their first occurrence has: their equal runs with it then end at the same place, before
+the same word. There the members are compared once more, by all windows of WORDS words and by AGAIN words across that
+place. So every repeated run of WORDS words is found; with edits, what HASHES functions find.
 
 A passage counts as repeated where an earlier (id, position) holds it. Null text counts as empty; texts under WORDS
 words have no passage. Null ids take no part. Rows that repeat with id and text count once; an id with several texts
-gets the spans of each. Extra columns stay out of the result.
+gets the spans of each. Extra columns stay out of the result. Texts may have up to 2**51 words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, shingle_hashes, slices, stored, utf8
 
 SHINGLE, WORDS, HASHES = 5, 50, 2
-#: Words of the two kinds of keys; the longest equal run of a passage with SIMILARITY has 24 words or more.
-HALF, QUARTER = WORDS // 2, 15
+#: The least width of a window in shingles.
+LEAST = WORDS - SHINGLE + 1
+#: Words of a window's key, and of the keys across a place where members go on alike.
+KEY, AGAIN = 15, 20
 #: Equal runs of a pair join over at most so many words on either side, while the similarity is at least SIMILARITY.
 GAP, SIMILARITY = 8, 0.8
-#: Bits of a packed window: position, words to the left, words to the right.
-POS, SIDE = 24, 20
+#: Bits of a window's sides, each cut at LEAST, below its centre.
+SIDE = 6
 #: Stand in place of a span's end in the rows of runs' ends.
 LEFT, RIGHT = -1, -2
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -46,7 +55,7 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     n = len(hashes)
     if n < least:
         return (np.empty(0, dtype=np.int64),) * 3
-    mask = np.uint64((1 << POS) - 1)
+    mask = np.uint64((1 << max(20, n.bit_length())) - 1)
     keys = (hashes & ~mask) | (np.arange(n, dtype=np.uint64) & mask)
     blocks = np.full(-(-n // least) * least, np.iinfo(np.uint64).max, dtype=np.uint64)
     blocks[:n] = keys
@@ -82,69 +91,91 @@ def long_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out, 5)
 
 
+class Keyed:
+    """Collects (key, id, at) of a slice; batch() has them with each key's first one alone, the others as its members."""
+
+    def __init__(self):
+        self.keys: list[np.ndarray] = []
+        self.ids: list[np.ndarray] = []
+        self.at: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, i: int, at: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.ids.append(np.full(len(keys), i, dtype=np.int64))
+        self.at.append(at.astype(np.int64))
+
+    def batch(self) -> pa.RecordBatch:
+        none = [np.empty(0, np.int64)]
+        key, ids, at = (np.concatenate(x or none) for x in ([k.view(np.int64) for k in self.keys], self.ids, self.at))
+        order = np.lexsort((at, ids, key))
+        key, ids, at = key[order], ids[order], at[order]
+        first = np.ones(len(key), dtype=bool)
+        first[1:] = key[1:] != key[:-1]
+        lead = np.flatnonzero(first)[np.cumsum(first) - 1]
+        new = first | (ids != ids[lead]) | (at != at[lead])
+        cols = {"key": key[new], "id": ids[new], "at": at[new]} | {name: pa.array(x[lead][new], mask=first[new]) for name, x in (("to_id", ids), ("to_at", at))}
+        return pa.record_batch({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in cols.items()})
+
+
+KEYED = "key long, id long, at long, to_id long, to_at long"
+
+
 def windows(df: DataFrame) -> DataFrame:
-    """(id, text) to rows key, id, at: four keys per compact window and hash function; at packs c, c - l, r - c."""
-    least = WORDS - SHINGLE + 1
-    widest = (1 << SIDE) - 1
+    """(id, text) to KEYED rows: two keys per compact window and hash function; at packs c, c - l and r - c."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, ids, at = [], [], []
+                found = Keyed()
                 for i, raw in zip(part.column("id").to_pylist(), utf8(part.column("text")), strict=True):
                     words = hashes.of(raw.split())
                     if len(words) < WORDS:
                         continue
-                    short, longer = shingle_hashes(words, SHINGLE), [(size, long_hashes(words, size)) for size in (HALF, QUARTER)]
+                    short, longer = shingle_hashes(words, SHINGLE), long_hashes(words, KEY)
                     for f in range(HASHES):
-                        left, c, right = compact_windows(mix64(short, 100 + f), least)
-                        packed = (c << (2 * SIDE)) | (np.minimum(c - left, widest) << SIDE) | np.minimum(right - c, widest)
-                        for size, runs_ in longer:
-                            for side, start in ((0, c), (1, c + SHINGLE - size)):
-                                fits = (start >= 0) & (start < len(runs_))
-                                keys.append(mix64(runs_[start[fits]], 10 * size + 2 * f + side))
-                                at.append(packed[fits])
-                                ids.append(np.full(int(fits.sum()), i, dtype=np.int64))
-                if keys:
-                    yield pa.record_batch({"key": pa.array(np.concatenate(keys).view(np.int64)), "id": pa.array(np.concatenate(ids)), "at": pa.array(np.concatenate(at))})
-
-    return df.mapInArrow(work, "key long, id long, at long")
+                        left, c, right = compact_windows(mix64(short, 100 + f), LEAST)
+                        packed = (c << (2 * SIDE)) | (np.minimum(c - left, LEAST) << SIDE) | np.minimum(right - c, LEAST)
+                        for side, start in ((0, c), (1, c + SHINGLE - KEY)):
+                            fits = (start >= 0) & (start < len(longer))
+                            found.add(mix64(longer[start[fits]], 2 * f + side), i, packed[fits])
+                yield found.batch()
 
+    return df.mapInArrow(work, KEYED)
 
-def linked(exact: bool):
-    """Groups of windows, sorted by key, id, at: each window with the first of its group. exact: `at` is a word's place,
-    and equal keys are equal passages; else windows whose intervals overlap too little are marked as failed."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = (1 << SIDE) - 1
-        lead: tuple[int, int, int] | None = None
-        for batch in batches:
-            key, ids, at = (batch.column(k).to_numpy() for k in ("key", "id", "at"))
-            if not len(key):
-                continue
-            start = np.concatenate([[lead is None or key[0] != lead[0]], key[1:] != key[:-1]])
-            group = np.cumsum(start) - (1 if start[0] else 0)
-            heads = np.flatnonzero(start)
-            head_id, head_at = ids[heads], at[heads]
-            if not start[0]:
-                head_id, head_at = np.concatenate([[lead[1]], head_id]), np.concatenate([[lead[2]], head_at])
-            to_id, to_at = head_id[group], head_at[group]
-            other = (ids != to_id) | (at != to_at)
-            if exact:
-                c, to_c, ok = at, to_at, np.ones(len(at), dtype=bool)
-            else:
-                c, to_c = at >> (2 * SIDE), to_at >> (2 * SIDE)
-                other &= (ids != to_id) | (c != to_c)
-                ok = np.minimum((at >> SIDE) & low, (to_at >> SIDE) & low) + np.minimum(at & low, to_at & low) + 1 >= WORDS - SHINGLE + 1
-            lead = (key[-1], to_id[-1], to_at[-1])
-            if other.any():
-                yield pa.record_batch({"key": pa.array(key[other]), "id": pa.array(ids[other]), "c": pa.array(c[other]), "to_id": pa.array(to_id[other]), "to_c": pa.array(to_c[other]), "ok": pa.array(ok[other])})
-
-    return work
-
-
-LINK = "key long, id long, c long, to_id long, to_c long, ok boolean"
+def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """KEYED rows sorted by key, id, at: the first ones of the slices with the first of all; members pass as they are."""
+    lead: tuple[int, int, int] | None = None
+    for batch in batches:
+        member = batch.column("to_id").is_valid().to_numpy(zero_copy_only=False)
+        if member.any():
+            yield batch.filter(pa.array(member)).append_column("member", pa.array(np.ones(int(member.sum()), dtype=bool)))
+        key, ids, at = (batch.column(k).to_numpy()[~member] for k in ("key", "id", "at"))
+        if not len(key):
+            continue
+        start = np.concatenate([[lead is None or key[0] != lead[0]], key[1:] != key[:-1]])
+        heads = np.flatnonzero(start)
+        head_id, head_at = ids[heads], at[heads]
+        if not start[0]:
+            head_id, head_at = np.concatenate([[lead[1]], head_id]), np.concatenate([[lead[2]], head_at])
+        group = np.cumsum(start) - (1 if start[0] else 0)
+        to_id, to_at = head_id[group], head_at[group]
+        lead = (key[-1], to_id[-1], to_at[-1])
+        other = (ids != to_id) | (at != to_at)
+        if other.any():
+            cols = [pa.array(x[other]) for x in (key, ids, at, to_id, to_at)]
+            yield pa.record_batch([*cols, pa.array(np.zeros(int(other.sum()), dtype=bool))], names=["key", "id", "at", "to_id", "to_at", "member"])
+
+
+def links_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """KEYED rows to (id, at, to_id, to_at): each with the first of its key; and the stored table that this reads."""
+    spread = F.when(F.col("to_id").isNull(), F.col("key")).otherwise(F.xxhash64("key", "to_id", "id"))
+    met = stored(rows.repartition(spread).sortWithinPartitions("key", "id", "at").mapInArrow(linked, f"{KEYED}, member boolean"), "windows")
+    firsts = met.filter(~F.col("member"))
+    whole = firsts.select("key", F.col("id").alias("to_id"), F.col("at").alias("to_at"), F.col("to_id").alias("_id"), F.col("to_at").alias("_at"))
+    members = met.filter("member").join(whole, ["key", "to_id", "to_at"], "left").select("id", "at", F.coalesce("_id", "to_id").alias("to_id"), F.coalesce("_at", "to_at").alias("to_at"))
+    return firsts.select("id", "at", "to_id", "to_at").unionByName(members), met
 
 
 def equal_run(a: np.ndarray, b: np.ndarray) -> int:
@@ -158,19 +189,35 @@ def equal_run(a: np.ndarray, b: np.ndarray) -> int:
     return most
 
 
-def blocks_of(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]], same: bool) -> list[tuple[int, int, int]]:
+class Text:
+    """A text's words (32 bits of each one's hash) and the hashes of its shingles; before() reads it backwards from a place."""
+
+    def __init__(self, words: np.ndarray, shingles: np.ndarray | None = None):
+        self.words = words
+        self.shingles = shingle_hashes(words.astype(np.uint64), SHINGLE) if shingles is None else shingles
+
+    def after(self, place: int) -> Text:
+        return Text(self.words[place:], self.shingles[place:])
+
+    def before(self, place: int) -> Text:
+        return Text(self.words[:place][::-1], self.shingles[: max(0, place - SHINGLE + 1)][::-1])
+
+
+def blocks_of(a: Text, b: Text, anchors: list[tuple[int, int]], same: bool) -> list[tuple[int, int, int]]:
     """Maximal equal runs (start in a, start in b, length) through the anchors (first words of an equal shingle)."""
-    out: dict[int, list[tuple[int, int, int]]] = {}
-    for x, y in anchors:
-        if x + SHINGLE > len(a) or y + SHINGLE > len(b) or (a[x : x + SHINGLE] != b[y : y + SHINGLE]).any():
-            continue  # of another text under the same id
-        seen = out.setdefault(x - y, [])
-        hit = next((s for s in reversed(seen) if s[0] <= x < s[0] + s[2]), None)
-        if hit is None:
-            ahead, behind = equal_run(a[x:], b[y:]), equal_run(a[:x][::-1], b[:y][::-1])
-            hit = (x - behind, y - behind, behind + ahead)
-            seen.append(hit)
-    return sorted({s for found in out.values() for s in found if not same or s[0] > s[1]})
+    at = np.array(anchors, dtype=np.int64).reshape(-1, 2)
+    at = at[(at[:, 0] < len(a.shingles)) & (at[:, 1] < len(b.shingles))]
+    at = at[a.shingles[at[:, 0]] == b.shingles[at[:, 1]]]  # the others are of another text under the same id
+    at = at[np.lexsort((at[:, 0], at[:, 0] - at[:, 1]))]
+    out, offset, end = [], None, 0
+    for x, y in at.tolist():
+        if x - y == offset and x < end:
+            continue
+        ahead, behind = equal_run(a.words[x:], b.words[y:]), equal_run(a.words[:x][::-1], b.words[:y][::-1])
+        offset, end = x - y, x + ahead
+        if not same or x > y:
+            out.append((x - behind, y - behind, behind + ahead))
+    return sorted(out)
 
 
 def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
@@ -179,30 +226,26 @@ def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, i
     return left + [(x + n, RIGHT, y + n, int(a[x + n])) for x, y, n in runs_ if x + n < len(a)]
 
 
-def next_run(a: np.ndarray, b: np.ndarray) -> tuple[int, int] | None:
+def next_run(a: Text, b: Text) -> tuple[int, int] | None:
     """The nearest places within GAP words, first in a, where SHINGLE equal words of a and b start."""
-    a, b = a[: GAP + SHINGLE], b[: GAP + SHINGLE]
-    n, m = len(a) - SHINGLE + 1, len(b) - SHINGLE + 1
-    if n < 1 or m < 1:
+    same = a.shingles[: GAP + 1, None] == b.shingles[None, : GAP + 1]
+    if not same.any():
         return None
-    same = a[:, None] == b[None, :]
-    starts = same[:n, :m].copy()
-    for k in range(1, SHINGLE):
-        starts &= same[k : n + k, k : m + k]
-    found = np.argwhere(starts)
-    return tuple(found[found.sum(axis=1).argmin()].tolist()) if len(found) else None
+    x, y = np.nonzero(same)
+    k = (x + y).argmin()
+    return int(x[k]), int(y[k])
 
 
-def onward(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def onward(a: Text, b: Text) -> Iterator[tuple[int, int, int]]:
     """The equal runs that follow each other in a and b, each after a gap of up to GAP words."""
     x = y = 0
-    while step := next_run(a[x:], b[y:]):
+    while step := next_run(a.after(x), b.after(y)):
         x, y = x + step[0], y + step[1]
-        yield x, y, (n := equal_run(a[x:], b[y:]))
+        yield x, y, (n := equal_run(a.words[x:], b.words[y:]))
         x, y = x + n, y + n
 
 
-def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]], same: bool) -> list[tuple[int, int, int, int]]:
+def passages(a: Text, b: Text, runs_: list[tuple[int, int, int]], same: bool) -> list[tuple[int, int, int, int]]:
     """(start, end, start in b, end in b) of the repeated passages around the equal runs. same: a is b, and a passage's
     runs stand behind their sources."""
 
@@ -213,7 +256,7 @@ def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]], sa
         if len(row) == 1:
             return True
         s = span(row)
-        x, y = np.unique(shingle_hashes(a[s[0] : s[1]].astype(np.uint64), SHINGLE)), np.unique(shingle_hashes(b[s[2] : s[3]].astype(np.uint64), SHINGLE))
+        x, y = np.unique(a.shingles[s[0] : s[1] - SHINGLE + 1]), np.unique(b.shingles[s[2] : s[3] - SHINGLE + 1])
         both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= SIMILARITY * (len(x) + len(y) - both)
 
@@ -235,8 +278,8 @@ def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]], sa
         if run in done:
             continue
         x, y, n = run
-        behind = [(x - u - m, y - v - m, m) for u, v, m in onward(a[:x][::-1], b[:y][::-1])]
-        ahead = [(x + n + u, y + n + v, m) for u, v, m in onward(a[x + n :], b[y + n :])]
+        behind = [(x - u - m, y - v - m, m) for u, v, m in onward(a.before(x), b.before(y))]
+        ahead = [(x + n + u, y + n + v, m) for u, v, m in onward(a.after(x + n), b.after(y + n))]
         whole = [*behind[::-1], run, *ahead]
         done.update(whole)
         if same and any(u <= v for u, v, _ in whole):
@@ -257,89 +300,132 @@ def passages(a: np.ndarray, b: np.ndarray, runs_: list[tuple[int, int, int]], sa
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans sorted by id, kept, start: overlapping ones of an id become one, with the first source."""
-    held: list | None = None
-    out: list[list] = []
+    """Spans sorted by id, kept, start: overlapping ones of an id become one, with the first source. First occurrences
+    that lie within a later one go."""
+    now, spans = None, []
+    out: list[tuple] = []
+
+    def closed() -> Iterator[tuple]:
+        later: list[list] = []
+        for row in spans:
+            if row[1]:
+                k = bisect_right(later, row[2], key=lambda x: x[2]) - 1
+                if k >= 0 and row[3] <= later[k][3]:
+                    continue
+            else:
+                later.append(row)
+            yield tuple(row)
 
-    def batch_of(rows: list[list]) -> pa.RecordBatch:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True))
         return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["id", "kept", "start_word", "end_word", "source_id", "source_word"])
 
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in ("id", "kept", "start", "end", "to_id", "to_start")), strict=True):
-            if held and held[0] == row[0] and held[1] == row[1] and row[2] <= held[3]:
+            if row[0] != now:
+                out += closed()
+                now, spans = row[0], []
+            held = spans[-1] if spans else None
+            if held and held[1] == row[1] and row[2] <= held[3]:
                 held[3] = max(held[3], row[3])
                 if (row[4], row[5]) < (held[4], held[5]):
                     held[4:6] = row[4:6]
             else:
-                if held:
-                    out.append(held)
-                held = list(row)
+                spans.append(list(row))
         if len(out) > 5000:
             yield batch_of(out)
             out = []
-    if held:
-        out.append(held)
+    out += closed()
     if out:
         yield batch_of(out)
 
 
+def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to id, digest, n, words (32 bits of each word's hash)."""
+    hashes = WordHashes()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            own = [hashes.of(raw.split()) for raw in utf8(part.column("text"))]
+            digests = [xxhash.xxh3_128_digest(w.tobytes()) for w in own]
+            yield pa.record_batch({"id": part.column("id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(map(len, own), pa.int64()), "words": pa.array([w.astype(np.uint32).tobytes() for w in own], pa.binary())})
+
+
+SPAN = "id long, to_id long, start long, end long, to_start long, to_end long"
+
+
+def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with their anchors and words to the repeated passages, and to the ends of the equal runs."""
+    for batch in batches:
+        every = []
+        cols = [batch.column(k).to_pylist() for k in ("id", "to_id", "anchors", "near", "words", "to_words")]
+        for i, j, anchors, near, x, y in zip(*cols, strict=True):
+            a, b = (Text(np.frombuffer(w, dtype=np.uint32)) for w in (x, y))
+            own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
+            every += [(i, j, *s) for s in (passages(a, b, own, i == j) if near else []) + edges(a.words, own)]
+        if every:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end"])
+
+
+def verified(anchors: DataFrame, words: DataFrame) -> DataFrame:
+    """anchors (id, c, to_id, to_c, near) per pair, against both texts; SPAN rows, those of runs' ends with a negative end."""
+    pairs = anchors.groupBy("id", "to_id").agg(F.collect_set(F.struct("c", "to_c")).alias("anchors"), F.max("near").alias("near"))  # at most a text's windows
+    both = pairs.join(words.select("id", "words"), "id").join(words.select(F.col("id").alias("to_id"), F.col("words").alias("to_words")), "to_id")
+    return both.select("id", "to_id", "anchors", "near", "words", "to_words").mapInArrow(verify, SPAN)
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, places, words) to KEYED rows: all windows of WORDS words across each place (at is even) and AGAIN words of
+    which KEY lie on the side of the run that ends there (at is odd)."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 500):
+            part, found = batch.slice(k, 500), Keyed()
+            for i, places, x in zip(*(part.column(c).to_pylist() for c in ("id", "places", "words")), strict=True):
+                words = np.frombuffer(x, dtype=np.uint32).astype(np.uint64)
+                whole, few = long_hashes(words, WORDS), long_hashes(words, AGAIN)
+                at = np.array([p["start"] for p in places], dtype=np.int64)
+                right = np.array([p["end"] for p in places]) == RIGHT
+                starts = np.unique((at[:, None] - np.arange(1, WORDS)).ravel())
+                starts = starts[(starts >= 0) & (starts < len(whole))]
+                found.add(mix64(whole[starts], 11), i, starts * 2)
+                starts = np.unique(np.where(right, at - KEY, at - (AGAIN - KEY)))
+                starts = starts[(starts >= 0) & (starts < len(few))]
+                found.add(mix64(few[starts], 12), i, starts * 2 + 1)
+            yield found.batch()
+
+
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span: id, kept (true for the first occurrence), start_word, end_word, source_id, source_word.
 
     Words are numbered from 0, ends are exclusive. A first occurrence is its own source."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull() & F.col("text").isNotNull())
-    links = stored(windows(rows).repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(linked(False), LINK), "windows")
-    pairs = links.filter("ok").select("id", "to_id", "c", "to_c").distinct()
-
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for part in slices(batch, "text"):
-                own = [hashes.of(raw.split()).astype(np.uint32).tobytes() for raw in utf8(part.column("text"))]
-                yield pa.record_batch({"id": part.column("id"), "words": pa.array(own, pa.binary())})
-
-    wanted = links.select("id").unionByName(links.select(F.col("to_id").alias("id"))).distinct()
-    words = stored(rows.join(wanted, "id", "left_semi").mapInArrow(tokens, "id long, words binary").distinct(), "words")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = []
-            cols = [batch.column(k).to_pylist() for k in ("id", "to_id", "anchors", "words", "to_words")]
-            for i, j, anchors, x, y in zip(*cols, strict=True):
-                a, b = np.frombuffer(x, dtype=np.uint32), np.frombuffer(y, dtype=np.uint32)
-                own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
-                every += [(i, j, *s) for s in passages(a, b, own, i == j) + edges(a, own)]
-            if every:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end"])
-
-    grouped = pairs.groupBy("id", "to_id").agg(F.collect_list(F.struct("c", "to_c")).alias("anchors"))  # at most a text's windows
-    both = grouped.join(words, "id").join(words.select(F.col("id").alias("to_id"), F.col("words").alias("to_words")), "to_id")
-    checked = stored(both.select("id", "to_id", "anchors", "words", "to_words").mapInArrow(verify, "id long, to_id long, start long, end long, to_start long, to_end long"), "checked")
-
-    # places where several members go on alike beyond their first occurrence, and groups with windows that overlap too
-    # little: all windows of WORDS words around each member
+    links, met = links_of(windows(rows))
+    side = (1 << SIDE) - 1
+    l, r = (F.least(F.shiftright("at", k).bitwiseAND(side), F.shiftright("to_at", k).bitwiseAND(side)) for k in (SIDE, 0))
+    anchors = links.select("id", F.shiftright("at", 2 * SIDE).alias("c"), "to_id", F.shiftright("to_at", 2 * SIDE).alias("to_c"), (l + r + 1 >= LEAST).alias("near"))
+    anchors = stored(anchors.filter((F.col("id") != F.col("to_id")) | (F.col("c") != F.col("to_c"))).distinct(), "anchors", drop=(met,))
+    wanted = anchors.select(F.explode(F.array("id", "to_id")).alias("id")).distinct()
+    words = stored(rows.join(wanted, "id", "left_semi").mapInArrow(tokens, "id long, digest binary, n long, words binary").dropDuplicates(["id", "digest"]), "words")
+
+    # texts that equal their first occurrence: one span, no comparison
+    single = words.groupBy("id").agg(F.count("*").alias("texts"), F.min("digest").alias("digest"), F.min("n").alias("n")).filter("texts = 1")
+    ends = anchors.filter(F.col("id") != F.col("to_id")).select("id", "to_id").distinct()
+    equal = ends.join(single.select("id", "digest", "n"), "id").join(single.select(F.col("id").alias("to_id"), F.col("digest").alias("to_digest")), "to_id").filter(F.col("digest") == F.col("to_digest"))
+    copies = stored(equal.groupBy("id").agg(F.min("to_id").alias("to_id"), F.min("n").alias("n")), "copies")
+    whole = copies.select("id", "to_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.lit(0).cast("long").alias("to_start"), F.col("n").alias("to_end"))
+    checked = stored(verified(anchors.join(copies.select("id"), "id", "left_anti"), words), "checked")
+
+    # where several members go on alike beyond their first occurrence
     place = ["to_id", "end", "to_start", "to_end"]
     ends = checked.filter(F.col("end") < 0)
     shared = ends.groupBy(place).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).filter("least <> most")
-    open_ = ends.join(shared.select(place), place, "left_semi").select("id", F.explode(F.array(F.col("start") - 1, F.col("start") - SHINGLE + 1)).alias("c"))
-    members = links.join(links.filter(~F.col("ok")).select("key").distinct(), "key", "left_semi")
-    members = members.select("id", "c").unionByName(members.select(F.col("to_id").alias("id"), F.col("to_c").alias("c"))).unionByName(open_).distinct()
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, centres, x in zip(*(batch.column(k).to_pylist() for k in ("id", "centres", "words")), strict=True):
-                whole = long_hashes(np.frombuffer(x, dtype=np.uint32).astype(np.uint64), WORDS)
-                starts = np.unique((np.array(centres)[:, None] - np.arange(WORDS - SHINGLE + 1)).ravel())
-                starts = starts[(starts >= 0) & (starts < len(whole))]
-                if len(starts):
-                    yield pa.record_batch({"key": pa.array(whole[starts].view(np.int64)), "id": pa.array(np.full(len(starts), i)), "at": pa.array(starts)})
-
-    again = members.groupBy("id").agg(F.collect_list("c").alias("centres")).join(words, "id").select("id", "centres", "words")
-    again = again.mapInArrow(around, "key long, id long, at long").repartition("key").sortWithinPartitions("key", "id", "at").mapInArrow(linked(True), LINK)
-    exact = again.select("id", "to_id", F.col("c").alias("start"), (F.col("c") + WORDS).alias("end"), F.col("to_c").alias("to_start"), (F.col("to_c") + WORDS).alias("to_end"))
-
-    spans = checked.filter(F.col("end") >= 0).unionByName(exact)
+    places = ends.join(shared.select(place), place, "left_semi").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # at most a text's words
+    more, met = links_of(places.join(words, "id").select("id", "places", "words").mapInArrow(across, KEYED))
+    exact = more.filter(F.col("at") % 2 == 0).select("id", "to_id", F.shiftright("at", 1).alias("start"), F.shiftright("to_at", 1).alias("to_start"))
+    exact = exact.select("id", "to_id", "start", (F.col("start") + WORDS).alias("end"), "to_start", (F.col("to_start") + WORDS).alias("to_end"))
+    again = more.filter(F.col("at") % 2 == 1).select("id", F.shiftright("at", 1).alias("c"), "to_id", F.shiftright("to_at", 1).alias("to_c"), F.lit(True).alias("near"))
+
+    spans = checked.unionByName(verified(again, words)).filter(F.col("end") >= 0).unionByName(exact).unionByName(whole)
+    spans = stored(spans.distinct(), "spans", drop=(checked, anchors, words, copies, met))
     later = spans.select("id", F.lit(False).alias("kept"), "start", "end", "to_id", "to_start")
     first = spans.select(F.col("to_id").alias("id"), F.lit(True).alias("kept"), F.col("to_start").alias("start"), F.col("to_end").alias("end"), "to_id", "to_start").distinct()
     out = later.unionByName(first).repartition("id").sortWithinPartitions("id", "kept", "start", "end").mapInArrow(merged, "id long, kept boolean, start_word long, end_word long, source_id long, source_word long")

@@ -214,6 +214,54 @@ def test_short_passages_with_edits_are_found(spark):
     assert sum(got[i] == s for i, s in where.items()) >= 0.95 * len(where) and all(got[i] <= s for i, s in where.items())
 
 
+def test_whole_passages_with_edits_and_nothing_else(spark):
+    """200 words with two to four edits and a Jaccard similarity of 0.8 or more are found from end to end; unrelated
+    words are not."""
+    rng = np.random.default_rng(21)
+    word = lambda: f"k{rng.integers(0, 1 << 40)}"
+    rows, where = [], {}
+    for i in range(100):
+        old = [word() for _ in range(200)]
+        new = list(old)
+        for at in rng.choice(np.arange(12, 188), int(rng.integers(2, 5)), replace=False):
+            new[at] = word()
+        rows += [(i, " ".join([*[word() for _ in range(60)], *old])), (1000 + i, " ".join([*[word() for _ in range(30)], *new, *[word() for _ in range(80)]]))]
+        where[1000 + i] = set(range(30, 230))
+    got = covered(substring.repeated_passages(docs(spark, rows)))
+    assert sum(got[i] == s for i, s in where.items()) >= 0.95 * len(where)
+    assert all(got[i] <= s for i, s in where.items()) and set(got) <= set(where)
+
+
+def test_exact_repeats_are_all_and_only_those(spark, monkeypatch):
+    """Passages that many texts share, hot ones, whole copies, and parts of 20 to 49 words that are no repeat."""
+    monkeypatch.setattr(substring, "slices", lambda part, column: (part.slice(k, 7) for k in range(0, part.num_rows, 7)))
+    rng = np.random.default_rng(22)
+    word = lambda: f"h{rng.integers(0, 1 << 40)}"
+    some = lambda n: [word() for _ in range(n)]
+    hot, shared = some(120), [some(n) for n in (20, 30, 49, 50, 55, 80, 200)]
+    rows = []
+    for i in range(150):
+        parts = [some(int(rng.integers(20, 50)))]
+        for k in rng.choice(len(shared), 2, replace=False):
+            parts += [shared[k], some(int(rng.integers(20, 50)))]
+        if i % 3 == 0:
+            a = int(rng.integers(0, 60))
+            parts += [hot[a : a + int(rng.integers(50, 70))], some(30)]
+        rows.append((i, " ".join(x for p in parts for x in p)))
+    rows += [(500 + i, rows[i % 5][1]) for i in range(40)]
+    found = substring.repeated_passages(docs(spark, rows))
+    wanted = exact_repeats(rows)
+    assert covered(found) == wanted
+    for r in found.collect():
+        assert (r.source_id, r.source_word) <= (r.doc_id, r.start_word) and r.kept == ((r.source_id, r.source_word) == (r.doc_id, r.start_word))
+
+
+def test_long_texts_keep_their_places():
+    words = np.arange(1 << 10, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    left, c, right = substring.compact_windows(np.resize(words, 17_000_000), 1 << 11)
+    assert (c[1:] > c[:-1]).all() and c[-1] > 1 << 24 and ((left <= c) & (c <= right)).all()
+
+
 def test_scan_uses_the_ledger(spark, monkeypatch):
     rows = docs(spark, [(1, "token=zzzzzzzzzzzzzzzz"), (2, "token=zzzzzzzzzzzzzzzz"), (3, "clean"), (None, "AKIA" + "B" * 16)])
     ledger, scanned = secrets.Ledger(spark), []
