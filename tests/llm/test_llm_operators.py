@@ -342,6 +342,25 @@ def test_templates_are_counted_per_host(spark):
     assert got[3] == "Text number 3." and got[9] == "Top story list Text number 9." and got[22] == "Same text."
 
 
+def test_templates_inside_articles(spark):
+    """A notice of every article goes; a passage that a third shares stays, as do articles that are served often."""
+
+    def page(k, host, boxed):
+        shared = "<p>A passage that many share.</p>" if k % 3 == 0 else ""
+        return (k, f"http://{host}/{k}", f"<body><i>{k}</i><article><p>Words of {k // 2}.</p>{shared}{'<p>Read our <b>terms</b>.</p>' if boxed else ''}</article></body>")
+
+    rows = [page(k, "a.com", True) for k in range(60)] + [page(100 + k, "b.com", k < 20) for k in range(60)] + [(300 + k, "http://c.com/", f"<i>{k}</i><article><p>One text.</p></article>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages).collect()}
+    shared = lambda k: " A passage that many share." if k % 3 == 0 else ""
+    for k in range(60):
+        assert got[k] == f"Words of {k // 2}.{shared(k)}"
+        assert got[100 + k] == f"Words of {(100 + k) // 2}.{shared(100 + k)}{' Read our terms.' if k < 20 else ''}"
+    assert {got[300 + k] for k in range(40)} == {"One text."}
+    none = {r.page_id: r.text for r in html.extract(pages, share=2.0).collect()}
+    assert none[0].endswith("terms.")
+
+
 def test_templates_go_on_hosts_of_every_size(spark):
     for size in (20, 7000):
         box = F.when(F.col("id") < 6, "<div><span>Seasonal opening hours</span></div>").otherwise("")
