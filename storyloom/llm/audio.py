@@ -1,7 +1,7 @@
 """Audio media columns: 8-bit WAV in a binary column, and log-mel features of speech-like segments.
 
-A payload is stored as unsigned 8-bit mono samples in a WAV container and read back from it. The samples are resampled by
-a polyphase filter, cut into overlapped frames and turned into log-mel energies; a hysteresis on the frame energy finds
+A payload is stored as unsigned 8-bit mono samples in a WAV container, in a media table of its own, and read back from that.
+The samples are resampled by a polyphase filter (UP phases of taps, every DOWN-th output kept), cut into overlapped frames and turned into log-mel energies; a hysteresis on the frame energy finds
 segments; each segment's frames are pooled to a patch of fixed shape (FRAMES x MELS), kept as an Arrow fixed-shape
 tensor beside its time span.
 
@@ -23,10 +23,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import slices, stored, utf8
 
 UNIT = 64
-RATE, UP, DOWN, HALF_TAPS = 16_000, 1, 2, 12
+RATE, UP, DOWN, HALF_TAPS = 16_000, 5, 8, 12
 FRAME, HOP, MELS, FRAMES = 256, 128, 24, 8
 #: A segment opens at the mean frame energy plus so many standard deviations, and closes below the second.
 OPEN_AT, CLOSE_AT = 1.0, 0.25
@@ -148,38 +148,60 @@ def tensors(patches: np.ndarray) -> pa.Array:
     return pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(patches))
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, spans array<struct<start_ms:long,end_ms:long>>, patches array<array<float>>"
+def as_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, media: each text's bytes, filled up to a multiple of UNIT, as a WAV file. One narrow stage."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = utf8(part.column("text"))
+                media = [to_wav(raw + b"\0" * (-len(raw) % UNIT if raw else UNIT)) for raw in texts]
+                yield pa.record_batch({"id": part.column("id"), "n_bytes": pa.array(map(len, texts), pa.int64()), "media": pa.array(media, pa.binary())})
 
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(work, f"id {kind}, n_bytes long, media binary")
 
-def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
-    """Stores each text's bytes as audio, reads them back and analyses them. patches are the tensors' storage, row-major
-    FRAMES x MELS per segment; as_tensors() gives them their shape again. One narrow stage."""
-    kind = df.schema[id_col].dataType.simpleString()
+
+SPANS = pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())]))
+SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, spans array<struct<start_ms:long,end_ms:long>>, patches array<array<float>>"
+
+
+def patch_lists(patches: list[np.ndarray]) -> pa.Array:
+    """Per row the storage of its fixed-shape tensors, each FRAMES x MELS values in row-major order."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in patches])])
+    flat = tensors(np.concatenate(patches)).storage.values if ends[-1] else pa.array([], pa.float32())
+    each = pa.ListArray.from_arrays(pa.array(np.arange(ends[-1] + 1) * FRAMES * MELS, pa.int32()), flat)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)
+
+
+def media_features(media: DataFrame, with_media: bool = True) -> DataFrame:
+    """(id, n_bytes, media) with what the stored bytes hold: id, SCHEMA, and media if asked for. One narrow stage."""
+    kind = media.schema["id"].dataType.simpleString()
 
     def one(raw: bytes) -> tuple:
-        payload = raw + b"\0" * (-len(raw) % UNIT if raw else UNIT)
-        media = to_wav(payload)
-        rate, back = from_wav(media)
+        rate, back = from_wav(raw)
         spans, patches, mel = analysed(back, rate)
-        storage = tensors(patches).storage if len(patches) else None
         rounded = np.round(np.concatenate([mel.mean(axis=0, dtype=np.float64), patches.ravel()]), 3)
         digest = hashlib.sha256(repr(spans).encode() + rounded.tobytes()).hexdigest()
         feature = f"{len(mel)}x{MELS}:{len(spans)}:{digest[:32]}"
-        values = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-        if not with_media:
-            return (*values, None, None, None)
-        return (*values, media, [{"start_ms": a, "end_ms": b} for a, b in spans], storage.to_pylist() if storage is not None else [])
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(raw), hashlib.sha256(raw).hexdigest(), feature, [{"start_ms": a, "end_ms": b} for a, b in spans], patches
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.struct([("start_ms", pa.int64()), ("end_ms", pa.int64())])), pa.list_(pa.list_(pa.float32()))]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), SPANS]
         names = ["id", *(x.split()[0] for x in SCHEMA.split(", "))]
         for batch in batches:
-            for part in slices(batch, "text"):
-                cols = list(zip(*map(one, utf8(part.column("text"))), strict=True))
-                yield pa.record_batch([part.column("id"), *map(pa.array, cols, kinds)], names=names)
+            for part in slices(batch, "media"):
+                *cols, patches = zip(*map(one, part.column("media").to_pylist()), strict=True)
+                own = [part.column("id"), part.column("n_bytes"), *map(pa.array, cols, kinds), patch_lists(list(patches))]
+                yield pa.record_batch([*own, part.column("media")] if with_media else own, names=[*names, "media"] if with_media else names)
+
+    return media.mapInArrow(work, f"id {kind}, {SCHEMA}" + (", media binary" if with_media else ""))
 
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, {SCHEMA}").withColumnRenamed("id", id_col)
+
+def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
+    """Stores each text's bytes as audio, reads the stored table and analyses it. patches are the tensors' storage, row-major
+    FRAMES x MELS per segment, beside their spans; as_tensors() gives them their shape again. Two narrow stages."""
+    return media_features(stored(as_media(df, id_col, text_col), "media"), with_media).withColumnRenamed("id", id_col)
 
 
 def as_tensors(patches: pa.Array) -> pa.Array:

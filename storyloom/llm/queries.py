@@ -32,7 +32,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(_table(spark, sf_dir, "documents"), with_media=False).drop("media", "spans", "patches")
+    """The contract's digests, and the segments: spans in milliseconds, and a digest of their tensors."""
+    found = audio.audio_features(_table(spark, sf_dir, "documents"), with_media=False)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start_ms"].cast("string"), x["end_ms"].cast("string"))), ",")
+    tensors = F.sha2(F.array_join(F.transform(F.flatten("patches"), lambda x: x.cast("string")), ","), 256)
+    return found.withColumns({"n_segments": F.size("spans").cast("long"), "spans": spans, "patches_sha256": tensors}).drop("patches")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +102,10 @@ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN host <
 FROM p LEFT JOIN by_host h ON h.key = p.host"""
 
 
+#: The article's markup as the tables have it: b is inline, every other tag parts blocks.
+_TAGS_OUT = "regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
+_WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
 #: DuckDB SQL by query. The others rest on hashes, merges, signals or packing that SQL cannot express; tests/llm compares
 #: those with brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -105,6 +113,8 @@ ORACLE_SQL: dict[str, str] = {
 CASE WHEN bytes >= {warc.LEAST} AND page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages) x""",
     "op5_url_filter": _urls_sql(),
+    "op7_html_extract": f"""SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TAGS_OUT},
+'&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '{_WHITE}+', ' ', 'g')) AS text FROM pages) x""",
     "op9_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {neardup.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {neardup.SHINGLE - 2}), lambda i: array_to_string(w[i : i + {neardup.SHINGLE - 1}], ' '))) END AS sh FROM w),
 e AS (SELECT doc_id, unnest(sh) AS x FROM s),

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import zlib
 
 import duckdb
 import numpy as np
@@ -311,13 +312,12 @@ def test_warc_round_trip(spark):
     rows = [(3, "u3", big), (1, "u1", big), (2, None, "short"), (4, "u4", "short"), (5, "u5", None), (None, "u6", big), (1, "u1", big)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark), zip64=True), with_payload=True).collect()
-    found = sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload is None) for r in got)
+    found = collections.Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, r.payload is None) for r in got)
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    assert found == sorted(
-        [("3", "revisit", 1, 120, digest(big), True), ("1", "response", None, 120, digest(big), False), ("1", "response", None, 120, digest(big), False), ("None", "revisit", 1, 120, digest(big), True)]
-        + [("2", "response", None, 5, digest("short"), False), ("4", "response", None, 5, digest("short"), False), ("5", "response", None, 0, digest(""), False)],
-        key=lambda x: x,
-    ) if None not in [x[2] for x in found] else len(found) == 7
+    assert found == collections.Counter(
+        [(i, "revisit", 1, 120, digest(big), True) for i in (3, None)] + [(1, "response", None, 120, digest(big), False)] * 2
+        + [(i, "response", None, 5, digest("short"), False) for i in (2, 4)] + [(5, "response", None, 0, digest(""), False)]
+    )
     by_id = {r.page_id: r for r in got}
     assert by_id[3].refers_to == 1 and by_id[None].refers_to == 1 and by_id[1].record_type == "response" and by_id[2].payload == b"short" and by_id[5].payload_bytes == 0
 
@@ -329,8 +329,10 @@ def test_audio_columns(spark):
     payload += b"\0" * (-len(payload) % 64)
     assert (a.n_bytes, a.payload_bytes, a.payload_sha256) == (1500, len(payload), hashlib.sha256(payload).hexdigest())
     assert audio.from_wav(bytes(a.media))[1] == payload and a.media_bytes == len(a.media) and a.feature == rows[3].feature
-    assert (rows[2].n_bytes, rows[2].payload_bytes, rows[2].tail_crc32) == (0, 64, 1969594213 if rows[2].tail_crc32 == 1969594213 else rows[2].tail_crc32)
-    assert all(len(p) == audio.FRAMES * audio.MELS for p in a.patches)
+    assert (rows[2].n_bytes, rows[2].payload_bytes, rows[2].tail_crc32, a.tail_crc32) == (0, 64, zlib.crc32(b"\0" * 64), zlib.crc32(payload[-64:]))
+    spans, patches, _ = audio.analysed(payload, audio.RATE)
+    assert [(x.start_ms, x.end_ms) for x in a.spans] == spans and np.array_equal(np.array(a.patches, np.float32), patches.reshape(len(patches), -1))
+    assert rows[2].patches == [] and hashlib.sha256(a.media).hexdigest() == a.media_sha256
 
 
 def test_templates_are_counted_per_host(spark):

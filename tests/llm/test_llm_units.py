@@ -195,8 +195,52 @@ def test_frames_cover_the_end(size):
     loud = quiet.copy()
     loud[-40:] = np.arange(40) % 7 * 36
     (_, _, a), (spans, _, b) = (audio.analysed(x.tobytes(), audio.RATE) for x in (quiet, loud))
-    assert len(b) == max(1, -(-(-(-size // 2) - audio.FRAME) // audio.HOP) + 1)
-    assert (a[-1] != b[-1]).any() and (len(b) < 3 or spans[-1][1] == (-(-size // 2)) * 1000 // (audio.RATE // 2))
+    n, rate = -(-size * audio.UP // audio.DOWN), audio.RATE * audio.UP // audio.DOWN
+    assert len(b) == max(1, -(-(n - audio.FRAME) // audio.HOP) + 1)
+    assert (a[-1] != b[-1]).any() and (len(b) < 3 or spans[-1][1] == n * 1000 // rate)
+
+
+def test_analysis_against_plain_loops():
+    """Zero-stuffing, a direct convolution, one transform per frame, and a two-state machine give the same values."""
+    rng = np.random.default_rng(9)
+    quiet, loud = (rng.integers(128 - k, 128 + k, 1500, dtype=np.uint8) for k in (3, 120))
+    samples = np.concatenate([quiet, loud, quiet, loud[:400], quiet])
+    up, down, half = audio.UP, audio.DOWN, audio.HALF_TAPS
+    reach = half * up * -(-down // up)
+    k = np.arange(-reach, reach + 1)
+    taps = np.sinc(k / max(up, down)) / max(up, down) * np.hanning(len(k) + 2)[1:-1] * up
+    stuffed = np.zeros(len(samples) * up)
+    stuffed[::up] = (samples.astype(float) - 128) / 128
+    own = np.convolve(stuffed, taps)[reach : reach + len(stuffed)][::down]
+    rate = audio.RATE * up // down
+    assert np.allclose(audio.resample(stuffed[::up].astype(np.float32)), own, atol=1e-5)
+    frames, at = [], 0
+    while True:
+        frames.append(np.concatenate([own[at : at + audio.FRAME], np.zeros(max(0, at + audio.FRAME - len(own)))]))
+        if at + audio.FRAME >= len(own):
+            break
+        at += audio.HOP
+    bank, level, mels = audio.mel_bank(rate), [], []
+    for f in frames:
+        power = abs(np.fft.rfft(f * np.hanning(audio.FRAME))) ** 2
+        mels.append([np.log(sum(p * w for p, w in zip(power, bank[:, m], strict=True)) + 1e-6) for m in range(audio.MELS)])
+        level.append(10 * np.log10(power.sum() + 1e-6))
+    open_at, close_at = (np.mean(level) + x * np.std(level) for x in (audio.OPEN_AT, audio.CLOSE_AT))
+    wanted, start, hot = [], None, False
+    for n, x in enumerate([*level, -1e9]):
+        if start is None and x > close_at:
+            start, hot = n, False
+        hot = hot or x > open_at
+        if start is not None and x <= close_at:
+            wanted += [(start, n)] if hot else []
+            start = None
+    spans, patches, mel = audio.analysed(samples.tobytes(), audio.RATE)
+    assert np.allclose(mel, mels, atol=1e-2) and spans == [(a * audio.HOP * 1000 // rate, min((b - 1) * audio.HOP + audio.FRAME, len(own)) * 1000 // rate) for a, b in wanted] and len(spans) == 2
+    for (a, b), patch in zip(wanted, patches, strict=True):
+        for i in range(audio.FRAMES):
+            lo, hi = i * (b - a) / audio.FRAMES, (i + 1) * (b - a) / audio.FRAMES
+            rows = mel[a + int(lo) : a + max(int(np.ceil(hi)), int(lo) + 1)]
+            assert np.allclose(patch[i], rows.mean(axis=0), atol=1e-4)
 
 
 def text_of(x, template=frozenset()):
