@@ -76,6 +76,9 @@ _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
 _PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 
 
+_TWO = f"regexp_matches(host, '{urls.TWO_LEVELS}')"
+
+
 def _rules_sql() -> tuple[str, str]:
     cases = [(f"(host = '{h}' OR host LIKE '%.{h}') AND path LIKE '{p}%'", h + p, v) for v, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))]
     return tuple("CASE " + " ".join(f"WHEN {test} THEN '{x[k]}'" for test, *x in cases) + " END" for k in (0, 1))
@@ -93,7 +96,7 @@ def _urls_sql() -> str:
     rule, verdict = _rules_sql()
     return f"""WITH p AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM pages),
 m AS (SELECT doc_id AS page_id, count(*) AS n, sum(quality) AS good FROM labels WHERE quality IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p LEFT JOIN m USING (page_id) GROUP BY 1),
+hosts AS (SELECT host, array_to_string(string_split(host, '.')[CASE WHEN {_TWO} THEN -3 ELSE -2 END:], '.') AS domain, array_to_string(string_split(host, '.')[CASE WHEN {_TWO} THEN -2 ELSE -1 END:], '.') AS suffix, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(good), 0)::DOUBLE AS good FROM p LEFT JOIN m USING (page_id) GROUP BY 1),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, '' AS root, sum(n) AS n, sum(good) AS good FROM domains GROUP BY 1),
 root AS (SELECT '' AS key, (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) AS mean FROM suffixes),

@@ -14,11 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path): fits the host and its subdomains where the url's path starts with the rule's.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: A host is blocked when mean + Z * deviation of its posterior is below THRESHOLD.
 Z, THRESHOLD = 1.645, 0.5
+#: Second-level labels below which countries register domains (no public suffix list is at hand).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ne", "net", "or", "org")
+TWO_LEVELS = rf"(^|\.)({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$"
 #: The prior's strength (pseudo pages) stays within these bounds.
 LEAST, MOST = 1.0, 1000.0
 
@@ -41,13 +46,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels (no public suffix list is at hand)."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column) -> Column:
+    """The last label, or the last two where the first of them is one of SECOND_LEVEL below a country's code."""
+    return F.when(host.rlike(TWO_LEVELS), F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column) -> Column:
+    """The registered domain: the suffix and the label before it."""
+    return F.when(host.rlike(TWO_LEVELS), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def shrunk(counts: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -67,19 +73,21 @@ def shrunk(counts: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return with_prior.crossJoin(F.broadcast(fitted)).select(F.col(key).alias("key"), "n", "good", "prior", "strength", a.alias("alpha"), b.alias("beta"), (a / (a + b)).alias("mean"))
 
 
-def reputations(pages: DataFrame, outcomes: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """One row per host: host, n, good, mean, deviation. pages: (page_id, host); outcomes: (page_id, good 0/1).
 
-    The labels are counted per host before any level meets another, so a hot host is one row from there on."""
+    The labels are counted per host before any level meets another, so a hot host is one row from there on. Each level is a
+    stored table with a row per group, as the next one reads it twice."""
     marks = outcomes.filter(F.col("good").isNotNull()).groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("good"))
     counted = pages.join(marks, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    counted = stored(counted, "hosts")
     counted = counted.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
     domains = counted.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("root", F.lit(""))
     root = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).select(F.lit("").alias("key"), ((F.coalesce("good", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + 2)).alias("mean"))
-    by_suffix = shrunk(suffixes, "suffix", root, "root")
-    by_domain = shrunk(domains, "domain", by_suffix, "suffix")
-    by_host = shrunk(counted, "host", by_domain, "domain")
+    by_suffix = stored(shrunk(suffixes, "suffix", root, "root"), "suffixes")
+    by_domain = stored(shrunk(domains, "domain", by_suffix, "suffix"), "domains")
+    by_host = stored(shrunk(counted, "host", by_domain, "domain"), "hosts")
     a, b = F.col("alpha"), F.col("beta")
     return by_host.select(F.col("key").alias("host"), "n", "good", "mean", F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("deviation"))
 
