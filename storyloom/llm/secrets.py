@@ -1,8 +1,13 @@
 """Secret scan with an incremental blob ledger.
 
-Every version of a text is a blob, named by its SHA-256. The ledger is a table of (blob, rule version, findings). A scan
-reads the texts only of blobs that the ledger lacks under the present rule version, each once, appends what it finds,
-and joins the findings back to all paths that hold the blob.
+Every version of a text is a blob, named by its SHA-256. The ledger holds each blob with its findings under a rule
+version, and each (path, blob) that a scan has ever seen. A scan takes only blobs that the ledger lacks under the present
+rule version, appends what it finds, and joins the findings back to the paths: of the present table, or, by history(),
+of every version of every path.
+
+Where the ledger has nothing under the rule version yet, every blob is unseen and rows are scanned where they lie, in one
+narrow pass. Else the (id, blob) pairs meet the ledger first, and only texts of unseen blobs are read on: by a broadcast
+of their names where these are few (SMALL, counted), beyond that by a join.
 
 Null text counts as empty; an empty text has a blob and no findings. Rows that repeat share a blob, and each gets its
 findings. Extra columns stay out of the result. Spans are code points, end exclusive.
@@ -15,10 +20,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import new_path, slices
+from .common import discard, new_path, slices, stored
 
 #: (kind, pattern, group whose length counts, least length). A match that is too short is dropped but takes its text.
 #: The first three are the base rules; the others are added by this scanner.
@@ -31,6 +38,8 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
+#: Up to so many names of unseen blobs (about 100 bytes each) are broadcast to the texts.
+SMALL = 200_000
 
 
 def rule_version(rules=RULES) -> str:
@@ -52,75 +61,106 @@ def _compiled(rules) -> list:
     return [(k, re.compile(p), g, n) for k, p, g, n in rules]
 
 
+KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def found_in(blobs: list[str], texts: list[str | None], rules: list) -> list[list[dict]]:
+    """The findings of each text; equal blobs are scanned once."""
+    known: dict[str, list[dict]] = {}
+    for blob, text in zip(blobs, texts, strict=True):
+        if blob not in known:
+            known[blob] = [{"kind": k, "start": s, "end": e} for k, s, e in find(text or "", rules)]
+    return [known[b] for b in blobs]
+
+
 def scan_blobs(texts: DataFrame, rules=RULES) -> DataFrame:
-    """(blob, text) rows to (blob, findings)."""
+    """(id, blob, text) rows to (id, blob, findings), where they lie."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _compiled(rules)
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [[{"kind": k, "start": s, "end": e} for k, s, e in find(x or "", own)] for x in part.column("text").to_pylist()]
-                yield pa.record_batch({"blob": part.column("blob"), "findings": pa.array(found, kind)})
+                found = found_in(part.column("blob").to_pylist(), part.column("text").to_pylist(), own)
+                yield pa.record_batch({"id": part.column("id"), "blob": part.column("blob"), "findings": pa.array(found, KIND)})
 
-    return texts.select("blob", "text").mapInArrow(work, f"blob string, findings {FINDINGS}")
+    return texts.select("id", "blob", "text").mapInArrow(work, f"id {kind}, blob string, findings {FINDINGS}")
 
 
 class Ledger:
-    """An append-only Parquet table of scanned blobs; each append is one atomic Spark write below the root."""
+    """Two append-only Parquet tables below the root: scanned blobs, and the versions of paths. Each append is one atomic
+    Spark write; a blob that concurrent scans append twice has the same findings twice."""
 
-    SCHEMA = f"blob string, rules string, findings {FINDINGS}"
+    BLOBS = f"blob string, rules string, findings {FINDINGS}"
+    PATHS = "path string, blob string"
 
     def __init__(self, spark, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "ledger")
-        self.fresh = path is None
 
-    def read(self) -> DataFrame:
-        reader = self.spark.read.schema(self.SCHEMA)
-        return self.spark.createDataFrame([], self.SCHEMA) if self.fresh else reader.parquet(self.path)
+    def _table(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
 
-    def append(self, rows: DataFrame) -> None:
-        rows.select("blob", "rules", "findings").write.mode("append").parquet(self.path)
-        self.fresh = False
+    def blobs(self, version: str) -> DataFrame:
+        """blob, findings under a rule version."""
+        return self._table("blobs", self.BLOBS).filter(F.col("rules") == version).select("blob", "findings")
 
+    def paths(self) -> DataFrame:
+        """Every (path, blob) that was ever seen."""
+        return self._table("paths", self.PATHS)
 
-def findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
-    """(blob, findings) of the ledger's blobs with findings, after it has taken in the unseen blobs of df.
+    def append(self, found: DataFrame, version: str) -> None:
+        once = found.select("blob", "findings").dropDuplicates(["blob"])
+        once.select("blob", F.lit(version).alias("rules"), "findings").write.mode("append").parquet(f"{self.path}/blobs")
 
-    Only (id, blob) pairs and the texts of unseen blobs are shuffled. Each unseen blob is read through the smallest id
-    that holds it, so a blob in a third of all rows costs one text."""
-    spark = df.sparkSession
-    ledger, version = ledger or Ledger(spark), rule_version(rules)
+    def append_paths(self, paths: DataFrame) -> None:
+        new = paths.select(F.col("id").cast("string").alias("path"), "blob").distinct()
+        new.join(self.paths(), ["path", "blob"], "left_anti").write.mode("append").parquet(f"{self.path}/paths")
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    paths = df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"))
-    seen = ledger.read().filter(F.col("rules") == version)
-    owners = paths.groupBy("blob").agg(F.min("id").alias("id"))
-    unseen = owners if ledger.fresh else owners.join(seen.select("blob"), "blob", "left_anti")
-    texts = df.select(F.col(id_col).alias("id"), text.alias("text")).filter(F.col("id").isNotNull())
-    # an id may repeat with other texts: the blob decides; a blob that only null ids hold is read by a plain scan
-    named = texts.join(unseen.filter(F.col("id").isNotNull()).select("id", F.col("blob").alias("wanted")), "id")
-    named = named.withColumn("blob", F.sha2("text", 256)).filter(F.col("blob") == F.col("wanted")).select("blob", "text")
-    nameless = (
-        df.filter(F.col(id_col).isNull())
-        .select(text.alias("text"))
-        .withColumn("blob", F.sha2("text", 256))
-        .join(unseen.filter(F.col("id").isNull()).select("blob"), "blob", "left_semi")
-        .select("blob", "text")
-    )
-    found = scan_blobs(named.unionByName(nameless), rules).dropDuplicates(["blob"])
-    ledger.append(found.withColumn("rules", F.lit(version)))
-    # a blob may be in the ledger twice after a concurrent scan; with any one of its rows the result is the same
-    return ledger.read().filter(F.col("rules") == version).dropDuplicates(["blob"]).filter(F.size("findings") > 0).select("blob", "findings")
+    return df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"), text.alias("text"))
+
+
+def take_in(df: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str = "text", rules=RULES) -> DataFrame:
+    """Scans the blobs of df that the ledger lacks under the rules' version; returns the stored (id, blob) of every row."""
+    version, rows = rule_version(rules), _named(df, id_col, text_col)
+    seen = ledger.blobs(version).select("blob")
+    if seen.isEmpty():
+        found = stored(scan_blobs(rows, rules), "scanned")
+        ledger.append(found, version)
+        paths = found.select("id", "blob")
+    else:
+        paths = stored(rows.select("id", "blob"), "paths")
+        unseen = stored(paths.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+        few = F.broadcast(unseen) if unseen.count() <= SMALL else unseen
+        ledger.append(scan_blobs(rows.join(few, "blob", "left_semi"), rules), version)
+        discard(unseen)
+    ledger.append_paths(paths)
+    return paths
+
+
+def _with_findings(paths: DataFrame, ledger: Ledger, rules) -> DataFrame:
+    # most blobs hold nothing: only those with findings meet the paths again; a stored table, so that a hot blob is split
+    known = stored(ledger.blobs(rule_version(rules)).filter(F.size("findings") > 0).dropDuplicates(["blob"]), "findings")
+    return paths.join(known, "blob", "left").withColumn("findings", F.coalesce("findings", F.array().cast(FINDINGS)))
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
     """One row per row of df: id, blob, findings."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    paths = df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("blob"))
-    known = findings(df, id_col, text_col, ledger, rules)
-    # most blobs hold nothing: only those with findings meet the paths again
-    out = paths.join(known, "blob", "left").select("id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
-    return out.withColumnRenamed("id", id_col)
+    ledger = ledger or Ledger(df.sparkSession)
+    paths = take_in(df, ledger, id_col, text_col, rules)
+    return _with_findings(paths, ledger, rules).select("id", "blob", "findings").withColumnRenamed("id", id_col)
+
+
+def history(ledger: Ledger, rules=RULES) -> DataFrame:
+    """path, blob, findings of every version of every path."""
+    return _with_findings(ledger.paths(), ledger, rules).select("path", "blob", "findings")
 
 
 def joined(findings, kinds=None):
@@ -141,14 +181,31 @@ def redact(text: str, found) -> str:
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: Ledger | None = None, rules=RULES) -> DataFrame:
-    """df with the findings in its texts replaced; all rows and other columns stay."""
-    known = findings(df, id_col, text_col, ledger, rules).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    """df with the findings in its texts replaced; all rows and other columns stay.
+
+    Where the ledger lacks the rules' version, rows are scanned and redacted in one narrow pass, and the ledger takes in
+    what was found; else findings come from the ledger, by blob."""
+    ledger, version = ledger or Ledger(df.sparkSession), rule_version(rules)
+    fresh = ledger.blobs(version).isEmpty()
+    named = df.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    schema = StructType([*named.schema.fields, StructField("_found", ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _compiled(rules)
         for batch in batches:
-            k = batch.schema.get_field_index(text_col)
-            texts = [redact(x, f) if f else x for x, f in zip(batch.column(k).to_pylist(), batch.column("_findings").to_pylist(), strict=True)]
-            yield batch.set_column(k, text_col, pa.array(texts, batch.column(k).type)).drop_columns(["_findings"])
-
-    named = df.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return named.join(known, "_blob", "left").drop("_blob").mapInArrow(work, df.schema)
+            for part in slices(batch, text_col):
+                k = part.schema.get_field_index(text_col)
+                texts = part.column(k).to_pylist()
+                found = found_in(part.column("_blob").to_pylist(), texts, own) if fresh else part.column("_found").to_pylist()
+                texts = [redact(x, f) if f else x for x, f in zip(texts, found, strict=True)]
+                part = part.set_column(k, text_col, pa.array(texts, part.column(k).type))
+                yield part.append_column("_found", pa.array(found, KIND)) if fresh else part
+
+    if fresh:
+        out = stored(named.mapInArrow(work, schema), "redacted")
+        ledger.append(out.select(F.col("_blob").alias("blob"), F.col("_found").alias("findings")), version)
+        ledger.append_paths(out.select(F.col(id_col).alias("id"), F.col("_blob").alias("blob")))
+        return out.select(*df.columns)
+    discard(take_in(df, ledger, id_col, text_col, rules))
+    known = stored(ledger.blobs(version).filter(F.size("findings") > 0).dropDuplicates(["blob"]), "findings").select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
+    return named.join(known, "_blob", "left").select(*named.columns, "_found").mapInArrow(work, schema).select(*df.columns)
