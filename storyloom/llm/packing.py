@@ -161,24 +161,11 @@ def pack(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "tex
         out = rows.drop_columns(["block"]).append_column("sequence_id", pa.array((which + (number << 31)) * 2, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
         yield from out.to_batches()
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, number = [], None  # a partition may hold several blocks, sorted
-        for batch in batches:
-            marks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    if number is not None and marks[a] != number:
-                        yield from work(iter(held))
-                        held = []
-                    number = marks[a]
-                    held.append(batch.slice(a, b - a))
-        yield from work(iter(held))
-
-    key = F.pmod(F.xxhash64("id", "piece"), F.lit(blocks)).cast("long").alias("block")
+    # by the stored row, not by its id, which may repeat or be null; each block is one task's
     light = parts if with_ids else parts.drop("ids")
-    dealt = light.select("*", key).repartition(blocks, "block").sortWithinPartitions("block", "id", "piece")
-    packed = dealt.mapInArrow(grouped, StructType([*light.schema.fields, *schema.fields[-2:]]))
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).alias("block")
+    dealt = light.select("*", key).repartitionById(blocks, F.col("block").cast("int")).sortWithinPartitions("id", "piece", "start", "length", "ids_crc32")
+    packed = dealt.mapInArrow(work, StructType([*light.schema.fields, *schema.fields[-2:]]))
     if not with_ids:
         packed = packed.withColumn("ids", F.lit(None).cast("binary"))
     # full pieces take odd numbers, the packed sequences even ones

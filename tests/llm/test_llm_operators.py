@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from storyloom.llm import audio, bpe, components, html, neardup, packing, quality, queries, secrets, substring, urls, warc
@@ -263,18 +265,86 @@ def test_long_texts_keep_their_places():
     assert (c[1:] > c[:-1]).all() and c[-1] > 1 << 24 and ((left <= c) & (c <= right)).all()
 
 
-def test_scan_uses_the_ledger(spark, monkeypatch):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_scan_uses_the_ledger(spark, monkeypatch, small):
+    monkeypatch.setattr(secrets, "SMALL", small)
     rows = docs(spark, [(1, "token=zzzzzzzzzzzzzzzz"), (2, "token=zzzzzzzzzzzzzzzz"), (3, "clean"), (None, "AKIA" + "B" * 16)])
     ledger, scanned = secrets.Ledger(spark), []
     real = secrets.scan_blobs
-    monkeypatch.setattr(secrets, "scan_blobs", lambda t, r: (scanned.append(t.count()), real(t, r))[1])
+    monkeypatch.setattr(secrets, "scan_blobs", lambda t, r: (scanned.append({x.blob for x in t.collect()}), real(t, r))[1])
     first = {r.doc_id: len(r.findings) for r in secrets.scan(rows, ledger=ledger).collect()}
-    assert first == {1: 1, 2: 1, 3: 0, None: 1} and scanned == [3]
-    more = rows.unionByName(docs(spark, [(4, "new secret: 0123456789abcdef0")]))
-    assert {r.doc_id: len(r.findings) for r in secrets.scan(more, ledger=ledger).collect()} == first | {4: 2} and scanned[-1] == 1
+    assert first == {1: 1, 2: 1, 3: 0, None: 1} and len(scanned[-1]) == 3
+    more = docs(spark, [(1, "token=zzzzzzzzzzzzzzzz"), (2, "token=yyyyyyyyyyyyyyyy"), (3, "clean"), (4, "new secret: 0123456789abcdef0")])
+    assert {r.doc_id: len(r.findings) for r in secrets.scan(more, ledger=ledger).collect()} == {1: 1, 2: 1, 3: 0, 4: 2} and len(scanned[-1]) == 2
+    # both versions of the second path, and the path that is gone
+    versions = collections.Counter(r.path for r in secrets.history(ledger).collect() if r.findings)
+    assert versions == {"1": 1, "2": 2, "4": 1, None: 1}
     secrets.scan(more, ledger=ledger, rules=secrets.RULES[:1]).collect()
-    assert scanned[-1] == 4  # another rule version
+    assert len(scanned[-1]) == 4  # another rule version
+    assert [r.text for r in secrets.redacted(more, ledger=ledger).orderBy("doc_id").collect()] == [r.text for r in secrets.redacted(more).orderBy("doc_id").collect()]
     assert secrets.redacted(rows.filter("doc_id = 1")).first().text == "[assign]"
+    assert secrets.scan(more, ledger=ledger).count() == 4 and not scanned[-1] - {r.blob for r in secrets.scan(more).collect()}
+
+
+PATTERNS = {"assign": (r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16)}
+
+
+def plain_secrets(text):
+    found = sorted((m.start(), n, k, m.end()) for n, (k, (p, g, least)) in enumerate(PATTERNS.items()) for m in re.finditer(p, text) if len(m[g]) >= least)
+    joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in found)
+    return *(sum(x[2] == k for x in found) for k in PATTERNS), hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_contract_columns_against_plain_python(spark, sf_dir):
+    """The fixed columns of op2, op4, op6, op8 and op10 over a whole table."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    theirs = Tokenizer.from_file(VOCAB)
+    ids = {i: np.array(theirs.encode(t, add_special_tokens=False).ids, dtype="<u4") for i, t in texts.items()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    run = lambda name: queries.QUERIES[name](spark, sf_dir).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in run("op2_bpe")} == {i: (len(x), sha(x.tobytes()), sha(theirs.decode(x.tolist(), skip_special_tokens=False).encode())) for i, x in ids.items()}
+    full = {i: (raw := t.encode()) + b"\0" * (-len(raw) % 64 if raw else 64) for i, t in texts.items()}
+    assert {r.doc_id: (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in run("op4_audio")} == {i: (len(texts[i].encode()), len(x), sha(x), zlib.crc32(x[-64:])) for i, x in full.items()}
+    assert {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in run("op6_secrets")} == {i: plain_secrets(t) for i, t in texts.items()}
+    plain = {}
+    for i, t in texts.items():
+        own = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        grams = collections.Counter(tuple(own[k : k + 3]) for k in range(len(own) - 2))
+        twice = {k + j for k in range(len(own) - 2) if grams[tuple(own[k : k + 3])] > 1 for j in range(3)}
+        plain[i] = (len(own), sum(map(len, own)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(twice), len(own) < 50 or 100 * len(twice) > 50 * len(own))
+    assert {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in run("op8_quality")} == plain
+    pieces = collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in run("op10_packing"))
+    own = {i: np.append(x, 0).astype("<u4") for i, x in ids.items()}
+    assert pieces == collections.Counter((i, k, s, n, zlib.crc32(x[s : s + n].tobytes())) for i, x in own.items() for k, (s, n) in enumerate(packing.cut(len(x))))
+
+
+def test_packing_splits_rows_with_one_id(spark):
+    rows = packing.pack(docs(spark, [(None, f"word {k % 7}") for k in range(300)]), VOCAB, block=20).collect()
+    sizes = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 300 and len(sizes) >= 14 and max(sizes.values()) < 45
+
+
+def test_quality_scores_against_plain_counts(spark):
+    rng = np.random.default_rng(5)
+    texts = {i: " ".join(f"w{x}" for x in rng.zipf(1.5, 80) % (50 if i % 2 else 500)) for i in range(60)}
+    labels = [(i, int(i % 2)) for i in range(60)]
+    df, marks = docs(spark, list(texts.items())), spark.createDataFrame(labels, "doc_id long, quality int")
+    sample = quality.sampled_labels(marks, "doc_id", "quality")
+    assert sorted(sample) == labels
+    words = quality.WordHashes()
+    grams = {i: quality.buckets(words.of(t.encode().split())).tolist() for i, t in texts.items()}
+    raw = collections.Counter(g for own in grams.values() for g in own)
+    target = collections.Counter(g for i, good in sample[::2] if good for g in grams[i])
+    n, a = quality.BUCKETS, quality.ALPHA
+    p_raw = lambda g: (raw[g] + a) / (sum(raw.values()) + a * n)
+    p_target = lambda g: (target[g] + a * n * p_raw(g)) / (sum(target.values()) + a * n)
+    score = {i: sum(np.log(p_target(g) / p_raw(g)) for g in own) / len(own) for i, own in grams.items()}
+    got = {r.doc_id: r for r in quality.judge(df, marks).collect()}
+    assert all(abs(got[i].score - s) < 1e-4 for i, s in score.items())
+    held = [(got[i].score, good) for i, good in sample[1::2]]
+    limit = quality.fit_threshold([s for s, _ in held], [g for _, g in held])
+    assert {i: r.kept for i, r in got.items()} == {i: r.score >= limit and not r.base_failed for i, r in got.items()}
 
 
 def test_quality_keeps_good_and_drops_junk(spark, sf_dir):
@@ -303,10 +373,25 @@ def test_a_host_without_labels_inherits_from_its_domain(spark):
     rows = [(k, f"x://h{k % 8}.bad.org/p") for k in range(400)] + [(1000 + k, f"x://h{k % 8}.good.org/p") for k in range(400)] + [(2000, "x://new.bad.org/p"), (2001, "x://new.good.org/p")]
     pages = spark.createDataFrame(rows, "page_id long, url string")
     outcomes = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows if i < 2000], "page_id long, good int")
-    got = {r.page_id: r for r in urls.judge(pages, outcomes).collect()}
+    df = urls.judge(pages, outcomes)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+    got = {r.page_id: r for r in df.collect()}
     assert [(got[i].host_labels, got[i].verdict) for i in (2000, 2001)] == [(0, "block"), (0, "allow")]
 
 
+def test_unlabelled_hosts_and_country_suffixes_equal_the_sql(spark, tmp_path):
+    rows = [(k, f"x://h{k % 8}.bad.org/p") for k in range(400)] + [(1000 + k, f"x://h{k % 8}.good.co.uk/p") for k in range(400)] + [(1500 + k, f"x://h{k % 8}.ill.co.uk/p") for k in range(400)]
+    rows += [(2000, "x://new.bad.org/p"), (2001, "x://new.good.co.uk/p"), (2002, "x://new.ill.co.uk/p"), (2003, "x://co.uk"), (2004, None), (2005, "x://else.net/")]
+    spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'' AS html").write.parquet(f"file://{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(1000 <= i < 1500), 0) for i, _ in rows if i < 2000], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    wanted = sorted(con.execute(queries.ORACLE_SQL["op5_url_filter"]).fetchall())
+    got = sorted(tuple(r) for r in queries.op5_url_filter(spark, f"file://{tmp_path}").collect())
+    assert got == wanted and [r[4] for r in got if r[0] >= 2000] == ["block", "allow", "block", "allow", "allow", "block"]
+
+
 def test_warc_round_trip(spark):
     big = "é" * 60
     rows = [(3, "u3", big), (1, "u1", big), (2, None, "short"), (4, "u4", "short"), (5, "u5", None), (None, "u6", big), (1, "u1", big)]
