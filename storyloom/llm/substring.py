@@ -220,10 +220,36 @@ def blocks_of(a: Text, b: Text, anchors: list[tuple[int, int]], same: bool) -> l
     return sorted(out)
 
 
+def outer(rows: list[tuple[int, ...]], ends) -> list[tuple[int, ...]]:
+    """The rows that do not lie, on both sides, within the widest one before them; ends(row): start and end in a and in b."""
+    out, widest = [], None
+    for row in sorted(rows, key=lambda r: (ends(r)[0], -ends(r)[1])):
+        x, end, y, to_end = ends(row)
+        if widest and end <= widest[1] and widest[2] <= y and to_end <= widest[3]:
+            continue
+        if not widest or end > widest[1]:
+            widest = (x, end, y, to_end)
+        out.append(row)
+    return out
+
+
 def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(place in a, LEFT or RIGHT, place in b, a's next word) of the runs' ends within a."""
-    left = [(x, LEFT, y, int(a[x - 1])) for x, y, _ in runs_ if x > 0]
-    return left + [(x + n, RIGHT, y + n, int(a[x + n])) for x, y, n in runs_ if x + n < len(a)]
+    """(place in a, LEFT or RIGHT, place in b, a's next word) of the runs' ends within a. Where one run holds all WORDS-word
+    windows across such a place, they are repeated anyway, and their earliest occurrence in b has an end of its own."""
+    if not runs_:
+        return []
+    x, y, n = np.array(runs_).T
+    # all runs are sorted by their start
+    reach = np.maximum.accumulate(x + n)
+
+    def open_at(place: np.ndarray) -> np.ndarray:
+        last = np.searchsorted(x, np.maximum(place - WORDS + 1, 0), side="right") - 1
+        return (last < 0) | (reach[last] < np.minimum(place + WORDS - 1, len(a)))
+
+    left, right = (x > 0) & open_at(x), (x + n < len(a)) & open_at(x + n)
+    found = list(zip(x[left].tolist(), [LEFT] * int(left.sum()), y[left].tolist(), a[x[left] - 1].tolist(), strict=True))
+    x, y = (x + n)[right], (y + n)[right]
+    return found + list(zip(x.tolist(), [RIGHT] * len(x), y.tolist(), a[x].tolist(), strict=True))
 
 
 def next_run(a: Text, b: Text) -> tuple[int, int] | None:
@@ -361,7 +387,10 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j, anchors, near, x, y in zip(*cols, strict=True):
             a, b = (Text(np.frombuffer(w, dtype=np.uint32)) for w in (x, y))
             own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
-            every += [(i, j, *s) for s in (passages(a, b, own, i == j) if near else []) + edges(a.words, own)]
+            found = []
+            if near or any(n >= WORDS for _, _, n in own):
+                found = outer(passages(a, b, outer(own, lambda r: (r[0], r[0] + r[2], r[1], r[1] + r[2])), i == j), lambda s: s)
+            every += [(i, j, *s) for s in found + edges(a.words, own)]
         if every:
             yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end"])
 
