@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, mix64, shingle_hashes, slices, stored, utf8
@@ -233,23 +233,27 @@ def outer(rows: list[tuple[int, ...]], ends) -> list[tuple[int, ...]]:
     return out
 
 
-def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(place in a, LEFT or RIGHT, place in b, a's next word) of the runs' ends within a. Where one run holds all WORDS-word
-    windows across such a place, they are repeated anyway, and their earliest occurrence in b has an end of its own."""
+def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(place in a, LEFT or RIGHT, first place in b, a's next word, last place in b) of the runs' ends within a. Where one
+    run holds all WORDS-word windows across such a place, they are repeated anyway, and their earliest occurrence in b has
+    an end of its own."""
     if not runs_:
         return []
     x, y, n = np.array(runs_).T
     # all runs are sorted by their start
     reach = np.maximum.accumulate(x + n)
-
-    def open_at(place: np.ndarray) -> np.ndarray:
+    found = []
+    for kind, place, to_place, step in ((LEFT, x, y, -1), (RIGHT, x + n, y + n, 0)):
         last = np.searchsorted(x, np.maximum(place - WORDS + 1, 0), side="right") - 1
-        return (last < 0) | (reach[last] < np.minimum(place + WORDS - 1, len(a)))
-
-    left, right = (x > 0) & open_at(x), (x + n < len(a)) & open_at(x + n)
-    found = list(zip(x[left].tolist(), [LEFT] * int(left.sum()), y[left].tolist(), a[x[left] - 1].tolist(), strict=True))
-    x, y = (x + n)[right], (y + n)[right]
-    return found + list(zip(x.tolist(), [RIGHT] * len(x), y.tolist(), a[x].tolist(), strict=True))
+        keep = (place > 0) & (place < len(a)) & ((last < 0) | (reach[last] < np.minimum(place + WORDS - 1, len(a))))
+        order = np.lexsort((to_place[keep], place[keep]))
+        place, to_place = place[keep][order], to_place[keep][order]
+        if len(place):
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            end = np.append(first[1:], len(place)) - 1
+            at = place[first]
+            found += zip(at.tolist(), [kind] * len(at), to_place[first].tolist(), a[at + step].tolist(), to_place[end].tolist(), strict=True)
+    return found
 
 
 def next_run(a: Text, b: Text) -> tuple[int, int] | None:
@@ -376,7 +380,7 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch({"id": part.column("id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(map(len, own), pa.int64()), "words": pa.array([w.astype(np.uint32).tobytes() for w in own], pa.binary())})
 
 
-SPAN = "id long, to_id long, start long, end long, to_start long, to_end long"
+SPAN = "id long, to_id long, start long, end long, to_start long, to_end long, to_last long"
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,9 +394,9 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             if near or any(n >= WORDS for _, _, n in own):
                 found = outer(passages(a, b, outer(own, lambda r: (r[0], r[0] + r[2], r[1], r[1] + r[2])), i == j), lambda s: s)
-            every += [(i, j, *s) for s in found + edges(a.words, own)]
+            every += [(i, j, *s, None) for s in found] + [(i, j, *s) for s in edges(a.words, own)]
         if every:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end"])
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end", "to_last"])
 
 
 def verified(anchors: DataFrame, words: DataFrame) -> DataFrame:
@@ -443,17 +447,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = copies.select("id", "to_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.lit(0).cast("long").alias("to_start"), F.col("n").alias("to_end"))
     checked = stored(verified(anchors.join(copies.select("id"), "id", "left_anti"), words), "checked")
 
-    # where several members go on alike beyond their first occurrence
-    place = ["to_id", "end", "to_start", "to_end"]
-    ends = checked.filter(F.col("end") < 0)
-    shared = ends.groupBy(place).agg(F.min(F.struct("id", "start")).alias("least"), F.max(F.struct("id", "start")).alias("most")).filter("least <> most")
-    places = ends.join(shared.select(place), place, "left_semi").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # at most a text's words
+    # where several members go on alike beyond their first occurrence: ends before the same word, at the same place of it
+    # or, for runs of one text that end together, in overlapping stretches of places
+    group = Window.partitionBy("to_id", "end", "to_end").orderBy("to_start", "to_last", "id", "start")
+    before = F.max("to_last").over(group.rowsBetween(Window.unboundedPreceding, -1))
+    met_others = F.coalesce(before >= F.col("to_start"), F.lit(False)) | F.coalesce(F.lead("to_start").over(group) <= F.col("to_last"), F.lit(False))
+    places = checked.filter(F.col("end") < 0).withColumn("open", met_others).filter("open").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # at most a text's words
     more, met = links_of(places.join(words, "id").select("id", "places", "words").mapInArrow(across, KEYED))
     exact = more.filter(F.col("at") % 2 == 0).select("id", "to_id", F.shiftright("at", 1).alias("start"), F.shiftright("to_at", 1).alias("to_start"))
     exact = exact.select("id", "to_id", "start", (F.col("start") + WORDS).alias("end"), "to_start", (F.col("to_start") + WORDS).alias("to_end"))
     again = more.filter(F.col("at") % 2 == 1).select("id", F.shiftright("at", 1).alias("c"), "to_id", F.shiftright("to_at", 1).alias("to_c"), F.lit(True).alias("near"))
 
-    spans = checked.unionByName(verified(again, words)).filter(F.col("end") >= 0).unionByName(exact).unionByName(whole)
+    spans = checked.unionByName(verified(again, words)).filter(F.col("end") >= 0).drop("to_last").unionByName(exact).unionByName(whole)
     spans = stored(spans.distinct(), "spans", drop=(checked, anchors, words, copies, met))
     later = spans.select("id", F.lit(False).alias("kept"), "start", "end", "to_id", "to_start")
     first = spans.select(F.col("to_id").alias("id"), F.lit(True).alias("kept"), F.col("to_start").alias("start"), F.col("to_end").alias("end"), "to_id", "to_start").distinct()
