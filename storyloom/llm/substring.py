@@ -107,10 +107,15 @@ class Keyed:
     def batch(self) -> pa.RecordBatch:
         none = [np.empty(0, np.int64)]
         key, ids, at = (np.concatenate(x or none) for x in ([k.view(np.int64) for k in self.keys], self.ids, self.at))
-        order = np.lexsort((at, ids, key))
+        order = np.argsort(key, kind="stable")
         key, ids, at = key[order], ids[order], at[order]
+        again = key[1:] == key[:-1]
+        shared = np.flatnonzero(np.concatenate([again, [False]]) | np.concatenate([[False], again])) if len(key) else np.empty(0, np.int64)
+        if len(shared):  # few keys occur twice in a slice
+            inner = shared[np.lexsort((at[shared], ids[shared], key[shared]))]
+            ids[shared], at[shared] = ids[inner], at[inner]
         first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
+        first[1:] = ~again
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
         new = first | (ids != ids[lead]) | (at != at[lead])
         cols = {"key": key[new], "id": ids[new], "at": at[new]} | {name: pa.array(x[lead][new], mask=first[new]) for name, x in (("to_id", ids), ("to_at", at))}
@@ -388,8 +393,11 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every = []
         cols = [batch.column(k).to_pylist() for k in ("id", "to_id", "anchors", "near", "words", "to_words")]
+        last, b = None, None
         for i, j, anchors, near, x, y in zip(*cols, strict=True):
-            a, b = (Text(np.frombuffer(w, dtype=np.uint32)) for w in (x, y))
+            if y != last:  # pairs with one first occurrence stand together
+                last, b = y, Text(np.frombuffer(y, dtype=np.uint32))
+            a = b if x == y else Text(np.frombuffer(x, dtype=np.uint32))
             own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
             found = []
             if near or any(n >= WORDS for _, _, n in own):
