@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from storyloom.operators.filters import is_abandoned, overlaps
 from storyloom.operators.search import with_ratio
 from storyloom.plans.corpus import AS_OF
-from storyloom.schema import FACET_LIMITS
+from storyloom.schema import FACET_LIMITS, GENRES
 
 
 def live(stories: DataFrame) -> DataFrame:
@@ -159,9 +159,18 @@ def footprint(objects: DataFrame, stories: int, target: int = 8_770_708, least:
 
 def sample_statistics(values: DataFrame, column: str, population: int) -> DataFrame:
     """Median (upper), mean and maximum of a sample, and the total it predicts."""
-    ordered = F.sort_array(F.collect_list(column))
-    agg = values.agg(ordered.alias("v"), F.avg(column).alias("mean"), F.max(column).alias("largest"), F.count(column).alias("n"))
-    return agg.select(F.element_at("v", (F.floor(F.col("n") / 2) + 1).cast("int")).alias("median"), F.round("mean", 6).alias("mean"), "largest", F.round(F.col("mean") * population, 3).alias("predicted"))
+    upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast(values.schema[column].dataType)
+    agg = values.agg(upper.alias("median"), F.avg(column).alias("mean"), F.max(column).alias("largest"))
+    return agg.select("median", F.round("mean", 6).alias("mean"), "largest", F.round(F.col("mean") * population, 3).alias("predicted"))
+
+
+def anomalies(stories: DataFrame) -> DataFrame:
+    """One row of counts of live stories that break a rule of the parser, in one scan."""
+    rules = {
+        "no_rating": F.col("rating").isNull(), "no_language": F.col("language").isNull(), "no_words": F.col("word_count").isNull(), "no_date": F.col("published_at").isNull(), "dates_reversed": F.col("updated_at") < F.col("published_at"),
+        "many_genres": F.size("genres") > 2, "unknown_genre": F.exists("genres", lambda g: ~g.isin(*GENRES)), "no_title": F.coalesce(F.trim("title"), F.lit("")) == "", "markup": F.regexp_like("summary", F.lit("<[A-Za-z/]")),
+    }
+    return live(stories).agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
 
 
 def stride_sample(rows: DataFrame, order: str, stride: int, most: int = 16) -> DataFrame:
@@ -175,6 +184,12 @@ def directory_totals(fandoms: DataFrame) -> DataFrame:
     return fandoms.filter(F.col("section_slug").isNotNull()).rollup("section_slug").agg(F.count("*").alias("fandoms"), F.sum("story_count").alias("stories"))
 
 
+def duration(seconds: Column) -> Column:
+    """1d 1h from a day on, else 1.5h."""
+    hours = F.format_string("%.1fh", F.bround(seconds.cast("double") / 3600, 1))
+    return F.when(seconds >= 86400, F.format_string("%dd %dh", F.floor(seconds / 86400), F.floor(seconds % 86400 / 3600))).otherwise(hours)
+
+
 def human_duration(seconds: float) -> str:
     days, hours = int(seconds // 86400), seconds % 86400 / 3600
     return f"{days}d {int(hours)}h" if days else f"{hours:.1f}h"

@@ -28,6 +28,12 @@ def last_wins(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame
     return batch.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", order)
 
 
+def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key other rows have as well; keys are counted map-side."""
+    twice = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys)
+    return rows.join(twice, keys, "left_semi")
+
+
 def upsert_stories(stories: DataFrame, batch: DataFrame, now: str = AS_OF, order: str | None = None) -> DataFrame:
     """New snapshot of the stories. A changed summary drops the embedding; a seen story loses its tombstone. One full
     join on story_id: with both sides bucketed by it, nothing is shuffled. An empty batch changes nothing."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import text as fulltext
 from storyloom.functions import vectors
-from storyloom.operators.filters import SearchFilters, filtered, is_abandoned
+from storyloom.operators.filters import SearchFilters, filtered, is_abandoned, predicate
 from storyloom.schema import COUNT_CEILING, DEFAULT_SORT, MAX_PAGE_SIZE, SHORTLIST_FACTOR, SHORTLIST_LEAST, favorites_per_1k, sign_bits
 
 SORTS = {
@@ -84,6 +84,13 @@ def capped_count(rows: DataFrame, most: int = COUNT_CEILING) -> DataFrame:
     return rows.select(F.lit(1).alias("one")).limit(most).agg(F.count("*").alias("total"))
 
 
+def probes(stories: DataFrame, filters: dict[str, SearchFilters]) -> DataFrame:
+    """(probe, stories): how many live stories each set of filters finds, all in one scan."""
+    rows = fulltext.with_document(stories.filter(F.col("deleted_at").isNull())) if any(f.query for f in filters.values()) else stories
+    counts = [F.struct(F.lit(name).alias("probe"), F.count_if(predicate(f)).alias("stories")) for name, f in filters.items()]
+    return rows.agg(F.array(*counts).alias("all")).select(F.inline("all"))
+
+
 def envelope(stories: DataFrame, f: SearchFilters, story_fandoms: DataFrame | None = None, fandoms: DataFrame | None = None) -> dict:
     """What the search endpoint answers: the page, the capped total and flags."""
     page = projected(search(stories, f, story_fandoms, fandoms), f.as_of)

@@ -116,7 +116,7 @@ def rendered(stories: DataFrame) -> DataFrame:
         return F.when(F.col(column).isNotNull(), F.concat(F.lit(f"{label}: <span data-xutime='"), seconds, F.lit("'>x</span>")))
 
     meta = F.concat_ws(
-        " - ", F.when(F.col("is_crossover"), "Alpha + Beta Crossover"), F.concat(F.lit("Rated: "), "rating"), "language", F.when(F.size("genres") > 0, F.array_join("genres", "/")), count("Chapters", "chapter_count"), count("Words", "word_count"),
+        " - ", F.when(F.col("is_crossover"), "Alpha + Beta Crossover"), F.concat(F.lit("Rated: "), F.coalesce("rating", F.lit(""))), "language", F.when(F.size("genres") > 0, F.array_join("genres", "/")), count("Chapters", "chapter_count"), count("Words", "word_count"),
         count("Reviews", "review_count"), count("Favs", "favorite_count"), count("Follows", "follow_count"), dated("Updated", "updated_at"), dated("Published", "published_at"),
         F.when(people != "", people), F.when(F.col("status") == "complete", "Complete"),
     )
@@ -129,10 +129,10 @@ def rendered(stories: DataFrame) -> DataFrame:
 
 
 def parsed(c: Corpus) -> DataFrame:
-    return listing.listing_rows(rendered(c.stories.filter(F.col("rating").isNotNull())).select("html"))
+    return listing.listing_rows(rendered(c.stories).select("html"))
 
 
-RATED = "FROM stories_base WHERE rating IS NOT NULL"
+RATED = "FROM stories_base"
 
 
 @query("S03_listing_source", f"SELECT story_id, author_id, author_name, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, cover_image_id {RATED}")
@@ -224,7 +224,7 @@ def _(c: Corpus) -> DataFrame:
     return fulltext.with_document(c.stories).select("story_id", F.size("doc_a").alias("a"), F.size("doc_b").alias("b"), F.size("doc_c").alias("c"))
 
 
-@query("P09_context_fandoms", "SELECT story_id, CASE WHEN is_crossover THEN 'Alpha|Beta' ELSE 'Gamma' END AS fandom_names, is_crossover FROM stories_base WHERE rating IS NOT NULL")
+@query("P09_context_fandoms", "SELECT story_id, CASE WHEN is_crossover THEN 'Alpha|Beta' ELSE 'Gamma' END AS fandom_names, is_crossover FROM stories_base")
 def _(c: Corpus) -> DataFrame:
     return listing.with_context(parsed(c), F.array(F.lit("Gamma"))).select("story_id", "fandom_names", "is_crossover")
 
@@ -266,8 +266,8 @@ query("F26_stale", f"SELECT story_id FROM stories_base WHERE last_seen_at < {TS}
 query("F27_canonical_pairs", "SELECT DISTINCT l_suppkey % 40 AS fandom_id_a, l_partkey % 40 AS fandom_id_b FROM lineitem WHERE l_suppkey % 40 < l_partkey % 40")(
     lambda c: ingest.canonical_pairs(c("lineitem").select((F.col("l_suppkey") % 40).alias("fandom_id_a"), (F.col("l_partkey") % 40).alias("fandom_id_b")))
 )
-query("F28_listing_validity", "SELECT story_id FROM stories_base WHERE rating IS NOT NULL AND story_id % 3 <> 0")(
-    lambda c: listing.listing_rows(rendered(c.stories.filter(F.col("rating").isNotNull())).select(F.when(F.col("story_id") % 3 == 0, F.replace("html", F.lit('href="/u/'), F.lit('href="/v/'))).otherwise(F.col("html")).alias("html"))).select("story_id")
+query("F28_listing_validity", "SELECT story_id FROM stories_base WHERE story_id % 3 <> 0")(
+    lambda c: listing.listing_rows(rendered(c.stories).select(F.when(F.col("story_id") % 3 == 0, F.replace("html", F.lit('href="/u/'), F.lit('href="/v/'))).otherwise(F.col("html")).alias("html"))).select("story_id")
 )
 
 # --- joins
@@ -302,10 +302,9 @@ query("J10_self_semi_theta", "SELECT n_nationkey FROM nation a WHERE EXISTS (SEL
 )
 
 
-@query("J11_duplicate_ids", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 HAVING count(*) > 1)")
+@query("J11_duplicate_ids", "SELECT o_orderkey FROM orders WHERE (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1)")
 def _(c: Corpus) -> DataFrame:
-    twice = c("customer").filter("c_mktsegment = 'BUILDING'").groupBy("c_nationkey").agg(F.count("*").alias("n")).filter("n > 1").select("c_nationkey")
-    return c("customer").join(twice, "c_nationkey", "left_semi").select("c_custkey")
+    return ingest.repeated(c("orders"), ["o_custkey", "o_orderpriority"]).select("o_orderkey")
 
 
 def shared_fandoms(c: Corpus) -> DataFrame:
@@ -376,8 +375,8 @@ query("A15_pending_counts", "SELECT (SELECT count(*) FROM stories WHERE deleted_
     lambda c: analytics.live(c.embedded).agg(F.count_if(F.col("summary_embedding").isNull()).alias("unembedded")).crossJoin(c("pairs").agg(F.count("*").alias("pairs")))
 )
 REGISTRY["Q03_unembedded"] = REGISTRY["A15_pending_counts"]
-query("A17_sample_statistics", "SELECT list_sort(list(c_nationkey))[CAST(floor(count(*) / 2.0) AS INT) + 1] AS median, round(avg(c_nationkey), 6) AS mean, max(c_nationkey) AS largest, round(avg(c_nationkey) * 97348, 3) AS predicted FROM customer WHERE c_custkey % 90 = 0")(
-    lambda c: analytics.sample_statistics(c("customer").filter("c_custkey % 90 = 0"), "c_nationkey", 97348)
+query("A17_sample_statistics", "SELECT list_sort(list(c_nationkey))[CAST(floor(count(*) / 2.0) AS INT) + 1] AS median, round(avg(c_nationkey), 6) AS mean, max(c_nationkey) AS largest, round(avg(c_nationkey) * 97348, 3) AS predicted FROM customer")(
+    lambda c: analytics.sample_statistics(c("customer"), "c_nationkey", 97348)
 )
 query("A18_directory_totals", "SELECT section_slug, count(*) AS fandoms, CAST(sum(story_count) AS BIGINT) AS stories FROM fandoms WHERE section_slug IS NOT NULL GROUP BY ROLLUP (section_slug)")(lambda c: analytics.directory_totals(c("fandoms")))
 query("A19_page_count", "SELECT s_suppkey, CAST(greatest(s_suppkey, s_nationkey) AS INT) AS pages FROM supplier")(
@@ -385,6 +384,39 @@ query("A19_page_count", "SELECT s_suppkey, CAST(greatest(s_suppkey, s_nationkey)
 )
 query("A16_accumulated_rows", "SELECT user_id, count(*) AS rows_ingested FROM events GROUP BY user_id")(lambda c: c("events").groupBy("user_id").agg(F.sum(F.lit(1)).alias("rows_ingested")))
 
+query("N09_progress_line", "SELECT concat(CAST(count(*) AS VARCHAR), ' stories, ', CAST(count(summary_embedding) AS VARCHAR), ' embedded, ', (SELECT concat(CAST(count(*) FILTER (WHERE is_exhausted) AS VARCHAR), '/', CAST(count(*) AS VARCHAR)) FROM crawl_state WHERE surface_key LIKE 'browse:%'), ' surfaces') AS line FROM stories WHERE deleted_at IS NULL")(
+    lambda c: analytics.progress(c.embedded, c("crawl_state")).select(F.format_string("%d stories, %d embedded, %d/%d surfaces", "stories", "embedded", "exhausted", "surfaces").alias("line"))
+)
+query("X26_durations", "SELECT event_id, CASE WHEN s >= 86400 THEN concat(CAST(s // 86400 AS VARCHAR), 'd ', CAST(s % 86400 // 3600 AS VARCHAR), 'h') ELSE printf('%.1fh', s % 86400 / 3600.0) END AS spent FROM (SELECT event_id, CAST(event_id * 900 AS BIGINT) AS s FROM events) x")(
+    lambda c: c("events").select("event_id", analytics.duration(F.col("event_id") * 900).alias("spent"))
+)
+query(
+    "N12_anomalies",
+    "SELECT count(*) FILTER (WHERE rating IS NULL) AS no_rating, count(*) FILTER (WHERE language IS NULL) AS no_language, count(*) FILTER (WHERE word_count IS NULL) AS no_words, count(*) FILTER (WHERE published_at IS NULL) AS no_date, count(*) FILTER (WHERE updated_at < published_at) AS dates_reversed, "
+    "count(*) FILTER (WHERE len(genres) > 2) AS many_genres, count(*) FILTER (WHERE coalesce(trim(title), '') = '') AS no_title, count(*) FILTER (WHERE regexp_matches(summary, '<[A-Za-z/]')) AS markup FROM live",
+)(lambda c: analytics.anomalies(c.stories).select("no_rating", "no_language", "no_words", "no_date", "dates_reversed", "many_genres", "no_title", "markup"))
+query("S04_firehose", "SELECT story_id, concat('https://www.fanfiction.net/s/', CAST(story_id AS VARCHAR), '/1/') AS url FROM live ORDER BY updated_at DESC NULLS LAST, story_id DESC LIMIT 100")(
+    lambda c: search.search(c.stories, SearchFilters(sort="updated", page_size=surfaces.ROWS_PER_PAGE["firehose"])).select("story_id", surfaces.story_url(F.col("story_id"), F.lit(1)).alias("url"))
+)
+PROBES = {
+    "everything": ({}, "true"),
+    "complete": ({"status": "complete"}, "status = 'complete'"),
+    "abandoned": ({"only_abandoned": True}, ABANDONED),
+    "not abandoned": ({"exclude_abandoned": True}, f"NOT {ABANDONED}"),
+    "Humor": ({"genres": ["Humor"]}, "list_contains(genres, 'Humor')"),
+    "Humor, not Romance": ({"genres": ["Humor"], "excluded_genres": ["Romance"]}, "list_contains(genres, 'Humor') AND NOT list_contains(genres, 'Romance')"),
+    "Aziraphale": ({"characters": ["Aziraphale"]}, "list_contains(characters, 'Aziraphale')"),
+    "Aziraphale, not OC": ({"characters": ["Aziraphale"], "excluded_characters": ["OC"]}, "list_contains(characters, 'Aziraphale') AND NOT list_contains(characters, 'OC')"),
+    "a pair": ({"ship": ["Crowley", "Aziraphale"]}, "len(list_filter(ships, lambda g: list_contains(g, 'Crowley') AND list_contains(g, 'Aziraphale'))) > 0"),
+    "long and liked": ({"min_words": 10_000, "status": "complete", "min_favorites": 50}, "word_count >= 10000 AND status = 'complete' AND favorite_count >= 50"),
+    "French": ({"languages": ["fr"]}, "language = 'fr'"),
+    "a word": ({"query": "with"}, "regexp_matches(lower(concat(title, ' ', author_name, ' ', summary)), '(^|[^\\p{L}\\p{N}])with([^\\p{L}\\p{N}]|$)')"),
+    "an author": ({"query": "author"}, "regexp_matches(lower(concat(title, ' ', author_name, ' ', summary)), '(^|[^\\p{L}\\p{N}])author([^\\p{L}\\p{N}]|$)')"),
+}
+query("N13_smoke_probes", " UNION ALL ".join(f"SELECT '{k}' AS probe, count(*) FILTER (WHERE {w}) AS stories FROM live" for k, (_, w) in PROBES.items()))(
+    lambda c: search.probes(c.stories, {k: SearchFilters(**f) for k, (f, _) in PROBES.items()})
+)
+
 # --- order and limits
 
 for _name, _column in (("updated", "updated_at"), ("published", "published_at"), ("favorites", "favorite_count"), ("reviews", "review_count"), ("follows", "follow_count"), ("words", "word_count"), ("favorites_per_1k", RATIO)):
@@ -405,17 +437,16 @@ query("U02_set_dedupe", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders"
 # --- scalar functions
 
 
-@query("X01_strip_tags", "SELECT page_id, trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g')) AS heading FROM pages WHERE regexp_extract(html, '<h1>(.*?)</h1>', 1) NOT LIKE '%&%'")
+@query("X01_strip_tags", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g')) AS heading FROM pages")
 def _(c: Corpus) -> DataFrame:
-    heading = F.regexp_extract("html", "<h1>(.*?)</h1>", 1)
-    return c("pages").filter(~F.contains(heading, F.lit("&"))).select("page_id", listing.strip_tags(heading).alias("heading"))
+    return c("pages").select("page_id", listing.strip_tags(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("heading"))
 
 
 X_FIELDS = {
     "X02_genres": ("genres", "array_to_string(genres, '|')"),
     "X03_characters": ("characters", "array_to_string(characters, '|')"),
     "X08_counts": (("chapter_count", "word_count", "review_count", "favorite_count", "follow_count"), None),
-    "X09_rating": ("rating", "rating"),
+    "X09_rating": ("rating", "coalesce(rating, '')"),
     "X06_fandom_prefix": ("fandom_names", "CASE WHEN is_crossover THEN 'Alpha|Beta' ELSE '' END"),
     "X04_to_utc": ("published_at", "CAST(published_at AS VARCHAR)"),
     "X05_date_labels": ("updated_at", "CAST(coalesce(updated_at, published_at) AS VARCHAR)"),
@@ -446,7 +477,7 @@ query("X15_interval", f"SELECT o_orderkey, o_orderdate < TIMESTAMP '2000-02-29'
 query("X16_whole_years", f"SELECT story_id, CAST(date_part('year', age({TS}, published_at)) AS INT) AS years, CAST(CAST(date_trunc('day', published_at) AS DATE) AS VARCHAR) AS day FROM stories_base")(
     lambda c: c.stories.select("story_id", analytics.whole_years(F.lit(AS_OF).cast("timestamp"), F.col("published_at")).alias("years"), F.to_date(F.date_trunc("day", "published_at")).alias("day"))
 )
-query("X17_round_half_up", "SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DECIMAL(18,4)) / 8, 2)::DOUBLE AS r FROM lineitem WHERE l_orderkey < 500")(lambda c: c("lineitem").filter("l_orderkey < 500").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity").cast("decimal(18,4)") / 8, 2).alias("r")))
+query("X17_round_half_up", "SELECT l_orderkey, l_linenumber, round(CAST(l_quantity AS DECIMAL(18,4)) / 8, 2)::DOUBLE AS r FROM lineitem")(lambda c: c("lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity").cast("decimal(18,4)") / 8, 2).alias("r")))
 query("X18_coalesce_case", "SELECT story_id, coalesce(rating, 'none') AS rating, CASE WHEN word_count > 0 THEN 'some' ELSE 'none' END AS words FROM stories_base")(lambda c: c.stories.select("story_id", F.coalesce("rating", F.lit("none")).alias("rating"), F.when(F.col("word_count") > 0, "some").otherwise("none").alias("words")))
 query("X19_surface_keys", "SELECT concat('crossover:', CAST(fandom_id_a AS VARCHAR), '/', CAST(fandom_id_b AS VARCHAR)) AS k FROM pairs")(lambda c: c("pairs").select(F.format_string("crossover:%d/%d", "fandom_id_a", "fandom_id_b").alias("k")))
 query("X20_json_groups", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")(lambda c: c("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
@@ -508,14 +539,13 @@ query("T04_title_similarity", None)(lambda c: c.stories.select("story_id", F.rou
 
 
 def outcomes(c: Corpus) -> DataFrame:
-    """A page log out of the orders: 40 surfaces of up to 60 pages; every 13th page of some surfaces fails or is empty."""
-    o = c("orders").filter("o_orderkey < 2400")
-    page, s = (F.floor(F.col("o_orderkey") / 40) + 1).cast("int"), F.col("o_orderkey") % 40
-    return o.select(F.format_string("browse:book/s%d", s).alias("surface_key"), page.alias("page_no"), F.when((s % 5 == 1) & (page == 4), "error").otherwise("ok").alias("outcome"), F.when((s % 3 == 0) & (page == 6), 0).otherwise(25).cast("long").alias("rows"))
+    """A page log out of all orders: a surface for each 60 keys; the fourth page of some fails, the sixth of some is empty."""
+    page, s = (F.col("o_orderkey") % 60 + 1).cast("int"), F.floor(F.col("o_orderkey") / 60)
+    return c("orders").select(F.format_string("browse:book/s%d", s).alias("surface_key"), page.alias("page_no"), F.when((s % 5 == 1) & (page == 4), "error").otherwise("ok").alias("outcome"), F.when((s % 3 == 0) & (page == 6), 0).otherwise(25).cast("long").alias("rows"))
 
 
-OUTCOMES = """outcomes AS (SELECT concat('browse:book/s', CAST(o_orderkey % 40 AS VARCHAR)) AS surface_key, CAST(floor(o_orderkey / 40.0) + 1 AS INT) AS page_no,
-CASE WHEN o_orderkey % 40 % 5 = 1 AND floor(o_orderkey / 40.0) + 1 = 4 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN o_orderkey % 40 % 3 = 0 AND floor(o_orderkey / 40.0) + 1 = 6 THEN 0 ELSE 25 END AS rows FROM orders WHERE o_orderkey < 2400)"""
+OUTCOMES = """outcomes AS (SELECT concat('browse:book/s', CAST(o_orderkey // 60 AS VARCHAR)) AS surface_key, CAST(o_orderkey % 60 + 1 AS INT) AS page_no,
+CASE WHEN o_orderkey // 60 % 5 = 1 AND o_orderkey % 60 = 3 THEN 'error' ELSE 'ok' END AS outcome, CASE WHEN o_orderkey // 60 % 3 = 0 AND o_orderkey % 60 = 5 THEN 0 ELSE 25 END AS rows FROM orders)"""
 WALK = f"""WITH {OUTCOMES}, numbered AS (SELECT *, row_number() OVER (PARTITION BY surface_key ORDER BY page_no) AS n FROM outcomes),
 stops AS (SELECT surface_key, min(CASE WHEN outcome <> 'ok' OR rows = 0 OR page_no <> n THEN page_no END) AS stop FROM numbered GROUP BY 1)
 SELECT n.surface_key, CAST(coalesce(max(CASE WHEN outcome = 'ok' AND rows > 0 AND page_no = n.n THEN page_no END), 0) AS INT) AS last_page, bool_or(outcome = 'ok' AND rows = 0) AS is_exhausted, CAST(sum(CASE WHEN outcome = 'ok' AND page_no = n.n THEN rows ELSE 0 END) AS BIGINT) AS rows_ingested,
@@ -646,7 +676,7 @@ def _(c: Corpus) -> DataFrame:
     return analytics.footprint(objects, 1000).select("projected", "half_precision")
 
 
-@query("N14_probe_report", f"SELECT story_id, concat(CAST(story_id AS VARCHAR), ': ', author_name, ' [', rating, '/', language, '] ', CASE WHEN len(genres) > 0 THEN array_to_string(genres, '/') ELSE 'no genre' END) AS line {RATED} ORDER BY story_id LIMIT 5")
+@query("N14_probe_report", f"SELECT story_id, concat(CAST(story_id AS VARCHAR), ': ', author_name, ' [', coalesce(rating, ''), '/', language, '] ', CASE WHEN len(genres) > 0 THEN array_to_string(genres, '/') ELSE 'no genre' END) AS line {RATED} ORDER BY story_id LIMIT 5")
 def _(c: Corpus) -> DataFrame:
     line = F.concat(F.col("story_id").cast("string"), F.lit(": "), "author_name", F.lit(" ["), "rating", F.lit("/"), "language", F.lit("] "), F.when(F.size("genres") > 0, F.array_join("genres", "/")).otherwise("no genre"))
     return parsed(c).select("story_id", line.alias("line")).orderBy("story_id").limit(5)
