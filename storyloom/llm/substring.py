@@ -208,9 +208,8 @@ class Text:
         return Text(self.words[:place][::-1], self.shingles[: max(0, place - SHINGLE + 1)][::-1])
 
 
-def blocks_of(a: Text, b: Text, anchors: list[tuple[int, int]], same: bool) -> list[tuple[int, int, int]]:
-    """Maximal equal runs (start in a, start in b, length) through the anchors (first words of an equal shingle)."""
-    at = np.array(anchors, dtype=np.int64).reshape(-1, 2)
+def blocks_of(a: Text, b: Text, at: np.ndarray, same: bool) -> list[tuple[int, int, int]]:
+    """Maximal equal runs (start in a, start in b, length) through the anchors at, the first words of equal shingles."""
     at = at[(at[:, 0] < len(a.shingles)) & (at[:, 1] < len(b.shingles))]
     at = at[a.shingles[at[:, 0]] == b.shingles[at[:, 1]]]  # the others are of another text under the same id
     at = at[np.lexsort((at[:, 0], at[:, 0] - at[:, 1]))]
@@ -238,12 +237,12 @@ def outer(rows: list[tuple[int, ...]], ends) -> list[tuple[int, ...]]:
     return out
 
 
-def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> np.ndarray:
     """(place in a, LEFT or RIGHT, first place in b, a's next word, last place in b) of the runs' ends within a. Where one
     run holds all WORDS-word windows across such a place, they are repeated anyway, and their earliest occurrence in b has
     an end of its own."""
     if not runs_:
-        return []
+        return np.empty((0, 5), dtype=np.int64)
     x, y, n = np.array(runs_).T
     # all runs are sorted by their start
     reach = np.maximum.accumulate(x + n)
@@ -257,8 +256,8 @@ def edges(a: np.ndarray, runs_: list[tuple[int, int, int]]) -> list[tuple[int, i
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             end = np.append(first[1:], len(place)) - 1
             at = place[first]
-            found += zip(at.tolist(), [kind] * len(at), to_place[first].tolist(), a[at + step].tolist(), to_place[end].tolist(), strict=True)
-    return found
+            found.append(np.column_stack([at, np.full(len(at), kind), to_place[first], a[at + step], to_place[end]]))
+    return np.concatenate(found or [np.empty((0, 5), dtype=np.int64)])
 
 
 def next_run(a: Text, b: Text) -> tuple[int, int] | None:
@@ -291,8 +290,8 @@ def passages(a: Text, b: Text, runs_: list[tuple[int, int, int]], same: bool) ->
         if len(row) == 1:
             return True
         s = span(row)
-        x, y = np.unique(a.shingles[s[0] : s[1] - SHINGLE + 1]), np.unique(b.shingles[s[2] : s[3] - SHINGLE + 1])
-        both = len(np.intersect1d(x, y, assume_unique=True))
+        x, y = set(a.shingles[s[0] : s[1] - SHINGLE + 1].tolist()), set(b.shingles[s[2] : s[3] - SHINGLE + 1].tolist())
+        both = len(x & y)
         return both >= SIMILARITY * (len(x) + len(y) - both)
 
     def longest(row: list[tuple[int, int, int]]) -> tuple[int, int]:
@@ -391,20 +390,30 @@ SPAN = "id long, to_id long, start long, end long, to_start long, to_end long, t
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with their anchors and words to the repeated passages, and to the ends of the equal runs."""
     for batch in batches:
-        every = []
-        cols = [batch.column(k).to_pylist() for k in ("id", "to_id", "anchors", "near", "words", "to_words")]
+        every, ends, lengths = [], [], []
+        anchors = batch.column("anchors")
+        at = np.column_stack([anchors.flatten().field(k).to_numpy() for k in ("c", "to_c")])
+        bounds = np.concatenate([[0], np.cumsum(anchors.value_lengths().to_numpy())]).tolist()
+        cols = [batch.column(k).to_pylist() for k in ("id", "to_id", "near", "words", "to_words")]
         last, b = None, None
-        for i, j, anchors, near, x, y in zip(*cols, strict=True):
+        for i, j, near, x, y, start, end in zip(*cols, bounds[:-1], bounds[1:], strict=True):
             if y != last:  # pairs with one first occurrence stand together
                 last, b = y, Text(np.frombuffer(y, dtype=np.uint32))
             a = b if x == y else Text(np.frombuffer(x, dtype=np.uint32))
-            own = blocks_of(a, b, sorted((p["c"], p["to_c"]) for p in anchors), i == j)
-            found = []
+            own = blocks_of(a, b, at[start:end], i == j)
             if near or any(n >= WORDS for _, _, n in own):
-                found = outer(passages(a, b, outer(own, lambda r: (r[0], r[0] + r[2], r[1], r[1] + r[2])), i == j), lambda s: s)
-            every += [(i, j, *s, None) for s in found] + [(i, j, *s) for s in edges(a.words, own)]
-        if every:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*every, strict=True)], names=["id", "to_id", "start", "end", "to_start", "to_end", "to_last"])
+                spans = outer(passages(a, b, outer(own, lambda r: (r[0], r[0] + r[2], r[1], r[1] + r[2])), i == j), lambda s: s)
+                every += [(i, j, *s) for s in spans]
+            ends.append(edges(a.words, own))
+            lengths.append(len(ends[-1]))
+        found = np.array(every, dtype=np.int64).reshape(-1, 6)
+        places = np.concatenate([np.empty((0, 5), dtype=np.int64), *ends])
+        ids, to_ids = (np.concatenate([found[:, k], np.repeat(np.array(cols[k], dtype=np.int64), np.array(lengths, dtype=np.int64))]) for k in (0, 1))
+        if len(ids):
+            to_last = np.concatenate([np.zeros(len(found), dtype=np.int64), places[:, 4]])
+            middle = [np.concatenate([found[:, 2 + k], places[:, k]]) for k in range(4)]
+            out = [pa.array(x) for x in (ids, to_ids, *middle)] + [pa.array(to_last, mask=np.arange(len(ids)) < len(found))]
+            yield pa.record_batch(out, names=["id", "to_id", "start", "end", "to_start", "to_end", "to_last"])
 
 
 def verified(anchors: DataFrame, words: DataFrame) -> DataFrame:
