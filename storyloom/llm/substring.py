@@ -290,8 +290,13 @@ def passages(a: Text, b: Text, runs_: list[tuple[int, int, int]], same: bool) ->
         if len(row) == 1:
             return True
         s = span(row)
-        x, y = set(a.shingles[s[0] : s[1] - SHINGLE + 1].tolist()), set(b.shingles[s[2] : s[3] - SHINGLE + 1].tolist())
-        both = len(x & y)
+        x, y = a.shingles[s[0] : s[1] - SHINGLE + 1], b.shingles[s[2] : s[3] - SHINGLE + 1]
+        if len(x) + len(y) < 500:  # sets are faster for few shingles, arrays for many
+            x, y = set(x.tolist()), set(y.tolist())
+            both = len(x & y)
+        else:
+            x, y = np.unique(x), np.unique(y)
+            both = len(np.intersect1d(x, y, assume_unique=True))
         return both >= SIMILARITY * (len(x) + len(y) - both)
 
     def longest(row: list[tuple[int, int, int]]) -> tuple[int, int]:
