@@ -17,7 +17,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = get_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus, spark__driver__memory="8g", spark__ui__showConsoleProgress="false", spark__sql__adaptive__coalescePartitions__parallelismFirst="false")
     spark.sparkContext.setLogLevel("ERROR")
-    from storyloom.operators import analytics, ingest, search
+    from storyloom.operators import analytics, ingest, search, textindex
     from storyloom.operators.filters import SearchFilters, filtered
     from storyloom.schema import with_derived
 
@@ -29,6 +29,7 @@ def main() -> None:
         corpus.load(spark, sf_dir, name).write.mode("overwrite").parquet(f"{root}/{name}")
     stories, bridge, fandoms = (spark.read.parquet(f"{root}/{n}") for n in ("stories", "story_fandoms", "fandoms"))
     lineitem, orders = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("lineitem", "orders"))
+    index = textindex.write_index(stories, f"{root}/index")
     q = c.query_vector
     batch = stories.filter("story_id % 100 = 0").drop("favorites_per_1k_words", "summary_embedding_bits", "first_seen_at", "last_seen_at", "deleted_at", "summary_embedding")
     base = stories.drop("favorites_per_1k_words", "summary_embedding_bits")
@@ -36,7 +37,7 @@ def main() -> None:
     queries = {
         "search_page": lambda: search.search(stories, page),
         "fandom_search": lambda: search.search(stories, SearchFilters(fandoms=["Fandom 3"], sort="words"), bridge, fandoms),
-        "text_search": lambda: search.search(stories, SearchFilters(query="the of", sort="relevance")),
+        "text_search": lambda: textindex.search(stories, index, SearchFilters(query="the of", sort="relevance")),
         "capped_count": lambda: search.capped_count(filtered(stories, page)),
         "capped_count_lineitem": lambda: search.capped_count(lineitem.filter("l_quantity > 10")),
         "facets_rebuild": lambda: analytics.facets(stories, bridge, fandoms),

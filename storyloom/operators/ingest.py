@@ -4,6 +4,9 @@ Session-catalog Parquet has no MERGE or UPDATE; a snapshot store swaps whole sna
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -214,3 +217,65 @@ class SnapshotStore:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         self.spark.createDataFrame([(name, version, path)], "name string, version long, path string").coalesce(1).write.mode("append").parquet(f"{self.root}/_pointers")
         return self.read(name)
+
+    @contextmanager
+    def exclusive(self, name: str) -> Iterator[None]:
+        """One writer at a time: holds a lock file, whose creation is atomic in the store's file system. RuntimeError
+        while another one holds it; a writer that died leaves it, to be removed by hand."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_locks/{name}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        try:
+            files.create(path, False).close()
+        except Exception as e:
+            if "AlreadyExists" in str(e):
+                raise RuntimeError(f"another writer holds {name}") from None
+            raise
+        try:
+            yield
+        finally:
+            files.delete(path, False)
+
+
+class BucketedStore(SnapshotStore):
+    """A table in hash buckets of its key, each with a version of its own: a batch reads and rewrites only the buckets
+    that its keys fall into, and the others stay as they are. All new versions become current by one pointer write.
+
+    Choose `buckets` so that one holds about a file's worth of rows; it must stay the same for a table's life."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "story_id", buckets: int = 256):
+        super().__init__(spark, root)
+        self.key, self.buckets = key, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def read(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """The current rows, of all buckets or of some; at most `buckets` paths go through the driver."""
+        rows = self._pointers()
+        found = [] if rows is None else rows.filter(F.col("name").startswith(f"{name}/")).groupBy("name").agg(F.max_by("path", "version").alias("path")).collect()
+        if not found:
+            raise KeyError(name)
+        paths = {int(r.name.rsplit("/", 1)[1]): r.path for r in found}
+        schema = self.spark.read.parquet(next(iter(paths.values()))).schema
+        wanted = [p for b, p in paths.items() if only is None or b in only]
+        return self.spark.read.schema(schema).parquet(*wanted) if wanted else self.spark.createDataFrame([], schema)
+
+    def swap(self, name: str, new: DataFrame, only: list[int] | None = None) -> DataFrame:
+        """Writes new versions of the buckets that `new` has rows in (of a first write: all that exist)."""
+        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
+        new.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        rows = self._pointers()
+        last = (rows.filter(F.col("name").startswith(f"{name}/")).agg(F.max("version")).first()[0] if rows is not None else None) or 0
+        written = self.spark.read.parquet(path).select(F.col("_bucket").cast("int").alias("b")).distinct()
+        pointers = written.select(F.concat(F.lit(f"{name}/"), "b").alias("name"), F.lit(last + 1).cast("long").alias("version"), F.concat(F.lit(f"{path}/_bucket="), "b").alias("path"))
+        pointers.coalesce(1).write.mode("append").parquet(f"{self.root}/_pointers")
+        return self.read(name, only)
+
+    def upsert(self, name: str, batch: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+        """Applies a mutation such as upsert_stories, under which rows never go, to the batch's buckets; returns these.
+        An empty batch writes nothing."""
+        with self.exclusive(name):
+            touched = sorted(r.b for r in batch.select(self._bucket().alias("b")).distinct().collect())
+            if touched:
+                self.swap(name, apply(self.read(name, touched), batch), touched)
+        return touched

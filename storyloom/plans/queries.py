@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import listing, vectors
 from storyloom.functions import text as fulltext
-from storyloom.operators import analytics, ingest, search, walk
+from storyloom.operators import analytics, ingest, search, textindex, walk
 from storyloom.operators.filters import SearchFilters, filtered, is_abandoned, is_abandoned_by_days, overlaps
 from storyloom.plans import corpus
 from storyloom.plans.corpus import AS_OF
@@ -533,7 +533,19 @@ query("T03_rank", f"SELECT story_id, round(CAST({RANK} AS DOUBLE), 6) AS rank FR
 query("N01_text_search", f"SELECT story_id FROM (SELECT story_id, round(CAST({RANK} AS DOUBLE), 6) AS rank FROM live WHERE regexp_matches(concat(' ', array_to_string(regexp_extract_all(lower(concat(title, ' ', author_name, ' ', summary)), '[\\p{{L}}\\p{{N}}]+'), ' '), ' '), ' the ') AND regexp_matches(concat(' ', array_to_string(regexp_extract_all(lower(concat(title, ' ', author_name, ' ', summary)), '[\\p{{L}}\\p{{N}}]+'), ' '), ' '), ' of ')) x ORDER BY rank DESC, story_id DESC LIMIT 25")(
     lambda c: search.search(c.stories, SearchFilters(query="the of", sort="relevance")).select("story_id")
 )
-query("T04_title_similarity", None)(lambda c: c.stories.select("story_id", F.round(fulltext.title_similarity(F.col("title"), "the and"), 6).alias("similarity")))
+# the same searches from the inverted table
+query("N01_text_search_indexed", REGISTRY["N01_text_search"][1])(lambda c: textindex.search(c.stories, textindex.postings(c.stories), SearchFilters(query="the of", sort="relevance")).select("story_id"))
+for _name, _query in (("F03_text_or_phrase", '"of the" or und'), ("F03_text_and", "with -this")):
+    query(f"{_name}_indexed", REGISTRY[_name][1])(lambda c, q=_query: c.stories.join(textindex.matching(textindex.postings(c.stories), q), "story_id").select("story_id", "favorite_count"))
+query(
+    "T05_postings",
+    f"SELECT term, count(*) AS stories, CAST(sum(n) AS BIGINT) AS places FROM (SELECT story_id, term, count(*) AS n FROM (SELECT story_id, unnest(list_concat({TOK.format(c='title')}, {TOK.format(c='author_name')}, {TOK.format(c='summary')})) AS term FROM live) x GROUP BY ALL) y GROUP BY term",
+)(lambda c: textindex.postings(c.stories).groupBy("term").agg(F.count("*").alias("stories"), F.sum(F.size("a") + F.size("b") + F.size("c")).alias("places")))
+GRAMS = "list_distinct(list_transform(range(1, len({p}) - 1), lambda i: substr({p}, CAST(i AS BIGINT), 3)))"
+query(
+    "T04_title_similarity",
+    f"SELECT story_id, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS similarity FROM (SELECT story_id, {GRAMS.format(p='p')} AS a, {GRAMS.format(p='q')} AS b FROM (SELECT story_id, concat('  ', lower(title), ' ') AS p, '  the and ' AS q FROM stories_base) x) y",
+)(lambda c: c.stories.select("story_id", F.round(fulltext.title_similarity(F.col("title"), "the and"), 6).alias("similarity")))
 
 # --- streams and state
 

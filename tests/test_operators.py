@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from storyloom.functions import text, vectors
-from storyloom.operators import analytics, ingest, search, walk
+from storyloom.operators import analytics, ingest, search, textindex, walk
 from storyloom.operators.filters import SearchFilters, filtered, is_abandoned, is_abandoned_by_days
 from storyloom.plans import corpus
 from storyloom.schema import STORED, sign_bits, with_derived
@@ -134,6 +134,42 @@ def test_snapshots(spark, tmp_path):
     assert (old.count(), new.count(), store.version("x"), store.read("x").count()) == (3, 2, 2, 2)
 
 
+def test_buckets_are_rewritten_alone(spark, tmp_path):
+    store = ingest.BucketedStore(spark, f"file://{tmp_path}/store", buckets=8)
+    with pytest.raises(KeyError):
+        store.read("stories")
+    rows = frame(spark, *[{} for _ in range(40)])
+    store.swap("stories", rows)
+    before = {f for r in store.read("stories").select(F.input_file_name()).distinct().collect() for f in r}
+    batch = frame(spark, *[{"story_id": i, "title": "new"} for i in (3, 100)])
+    touched = store.upsert("stories", batch, ingest.upsert_stories)
+    after = {f for r in store.read("stories").select(F.input_file_name()).distinct().collect() for f in r}
+    assert 1 <= len(touched) <= 2 and len(before - after) <= 2 and len(before & after) >= 5
+    found = {r.story_id: r.title for r in store.read("stories").collect()}
+    assert len(found) == 41 and found[3] == found[100] == "new" and found[4] == "T4"
+    assert sorted(map(str, store.read("stories").drop("summary_embedding").collect())) == sorted(map(str, ingest.upsert_stories(rows, batch).drop("summary_embedding").collect()))
+    assert store.upsert("stories", batch.limit(0), ingest.upsert_stories) == []
+    with store.exclusive("stories"), pytest.raises(RuntimeError):
+        store.upsert("stories", batch, ingest.upsert_stories)
+    assert len(store.upsert("stories", batch, ingest.upsert_stories)) == len(touched)
+
+
+def test_inverted_table_equals_the_scan(spark, tmp_path):
+    words = ["the red fox", "Fox of the Red wood", "", None, "wood, wood and wood", "der Fuchs ist rot", "red the fox fox"]
+    rows = frame(spark, *[{"title": t, "author_name": words[i - 1] if i % 2 else "A", "summary": words[(3 * i + 1) % 7], "deleted_at": dt.datetime(2021, 1, 1) if i == 6 else None} for i, t in enumerate(words)])
+    for stemmed in (False, True):
+        index = textindex.write_index(rows, f"file://{tmp_path}/index{stemmed}", stemmed)
+        for q in ("fox", "red fox", '"red fox" or wood', 'fox -wood', '"fox of the" fuchs or rot', '-"the red" wood', "absent", "red red", "the"):
+            f = SearchFilters(query=q, sort="relevance", stemmed=stemmed)
+            wanted = [(r.story_id, r["rank"]) for r in search.search(rows, f).collect()]
+            assert [(r.story_id, r["rank"]) for r in textindex.search(rows, index, f).collect()] == wanted, q
+    with pytest.raises(ValueError):
+        textindex.matching(index, "fox or -wood")
+    plan = textindex.matching(index, "fox")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term,fox)]" in plan
+    assert textindex.write_index(rows.limit(0), f"file://{tmp_path}/none").count() == 0
+
+
 def test_feed_is_idempotent(spark, tmp_path):
     folder, seen = f"{tmp_path}/feed", []
     for k in range(2):
