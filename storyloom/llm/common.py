@@ -103,6 +103,38 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+#: Words of up to so many bytes are hashed by tables, longer ones one by one.
+TABLED = 32
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_TABLE = mix64(np.arange(TABLED * 256, dtype=np.uint64), 21)
+
+
+def hashed_words(texts: list[bytes], at_once: int = 100_000) -> list[np.ndarray]:
+    """A 64-bit hash of each word of each text. Simple tabulation: the sum of a random number per byte and place in the
+    word, for `at_once` words together; words over TABLED bytes are hashed whole."""
+    if not texts:
+        return []
+    raw = b"\n".join(texts)
+    data = np.frombuffer(raw, dtype=np.uint8)
+    gap = np.ones(len(data) + 2, dtype=bool)
+    gap[1:-1] = _SPACE[data]
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    sizes = ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
+    for k in np.flatnonzero(sizes > TABLED).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+    few = np.flatnonzero(sizes <= TABLED)
+    for k in range(0, len(few), at_once):
+        part = few[k : k + at_once]
+        size = sizes[part]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        values = _TABLE[(place << 8) | data[place + np.repeat(starts[part], size)]]
+        out[part] = mix64(np.add.reduceat(values, first))
+    bounds = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in texts])[:-1])
+    return np.split(out, bounds)
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of each run of `size` words (order counts); empty when there are fewer words."""
     n = len(words) - size + 1

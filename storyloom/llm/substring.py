@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix64, shingle_hashes, slices, stored, utf8
+from .common import hashed_words, mix64, shingle_hashes, slices, stored, utf8
 
 SHINGLE, WORDS, HASHES = 5, 50, 2
 #: The least width of a window in shingles.
@@ -129,12 +129,10 @@ def windows(df: DataFrame) -> DataFrame:
     """(id, text) to KEYED rows: two keys per compact window and hash function; at packs c, c - l and r - c."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, "text"):
                 found = Keyed()
-                for i, raw in zip(part.column("id").to_pylist(), utf8(part.column("text")), strict=True):
-                    words = hashes.of(raw.split())
+                for i, words in zip(part.column("id").to_pylist(), hashed_words(utf8(part.column("text"))), strict=True):
                     if len(words) < WORDS:
                         continue
                     short, longer = shingle_hashes(words, SHINGLE), long_hashes(words, KEY)
@@ -381,10 +379,9 @@ def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, text) to id, digest, n, words (32 bits of each word's hash)."""
-    hashes = WordHashes()
     for batch in batches:
         for part in slices(batch, "text"):
-            own = [hashes.of(raw.split()) for raw in utf8(part.column("text"))]
+            own = hashed_words(utf8(part.column("text")))
             digests = [xxhash.xxh3_128_digest(w.tobytes()) for w in own]
             yield pa.record_batch({"id": part.column("id"), "digest": pa.array(digests, pa.binary()), "n": pa.array(map(len, own), pa.int64()), "words": pa.array([w.astype(np.uint32).tobytes() for w in own], pa.binary())})
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from storyloom.llm import audio, bpe, neardup, packing, quality, secrets, substring, warc
+from storyloom.llm import audio, bpe, common, neardup, packing, quality, secrets, substring, warc
 from storyloom.llm import html as pages
 from storyloom.llm.common import WordHashes
 
@@ -75,6 +75,21 @@ def test_compact_windows_are_the_cartesian_tree():
         assert sorted(zip(*(x.tolist() for x in substring.compact_windows(h, least)), strict=True)) == sorted(wanted)
 
 
+def test_word_hashes_follow_the_words():
+    rng = np.random.default_rng(4)
+    alphabet = [*"abc\u00e9\u2003", " ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85"]
+    texts = ["", " ", "a", "x" * 500 + " y", *("".join(rng.choice(alphabet, rng.integers(0, 300))) for _ in range(200)), "a" * 40, ""]
+    raws = [t.encode() for t in texts]
+    found = common.hashed_words(raws, at_once=7)
+    seen, back = {}, {}
+    for raw, own in zip(raws, found, strict=True):
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        assert len(words) == len(own)
+        for w, h in zip(words, own.tolist(), strict=True):
+            assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
+    assert common.hashed_words([]) == [] and [len(x) for x in common.hashed_words([b"", b""])] == [0, 0]
+
+
 def test_cut_words():
     assert substring.cut_words("a b  c d\ne", [(1, 3)]) == "a\nd\ne"
     assert substring.cut_words(" x y ", [(0, 2)]) == "" and substring.cut_words("a b", [(1, 9)]) == "a"
