@@ -39,8 +39,8 @@ MOST = CHUNKS * (ERRORS + 1) - 1
 FAR = 25
 #: Link where PERCENT * union <= 100 * intersection.
 SHINGLE, PERCENT = 4, 80
-#: How many nodes of a key a task compares others with at once.
-BLOCK_ROWS = 1024
+#: How many nodes of a key, and how many bytes of what they carry, a task compares others with at once.
+BLOCK_ROWS, BLOCK_BYTES = 1024, 32 << 20
 #: Where a key carries the number of its chunk and left-out symbol.
 TAG = 40
 _rng = np.random.default_rng(20240229)
@@ -250,10 +250,10 @@ def cross_links(percent: int):
 def in_blocks(rows: DataFrame, compare: Callable[[Held, Held, int], list[tuple]], schema: str) -> DataFrame:
     """Compares rows (key, node, component, value) across components within each key: compare(probes, targets, key).
 
-    A key's rows are dealt to blocks of about BLOCK_ROWS targets. Its nodes outside its largest component are the probes;
+    A key's rows are dealt to blocks of about BLOCK_ROWS targets, or fewer that carry BLOCK_BYTES. Its nodes outside its largest component are the probes;
     where a key has several blocks, they go to each and stream past the targets."""
-    counted = rows.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
-    groups = counted.filter(F.col("n") > F.col("most")).select("key", "main", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
+    counted = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    groups = counted.filter(F.col("n") > F.col("most")).select("key", "main", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     met = rows.join(groups, "key")
     targets = met.withColumn("probe", F.lit(False)).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     probes = met.filter((F.col("blocks") > 1) & (F.col("component") != F.col("main"))).withColumn("probe", F.lit(True)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, html, neardup, packing, quality, secrets, substring, urls, warc
+from . import audio, bpe, centroids, html, metricjoin, neardup, packing, periodic, quality, secrets, substring, urls, warc
 
 
 def _vocab() -> str:
@@ -66,11 +68,42 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocab()).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_audio, op5_url_filter, op6_secrets, op7_html_extract, op8_quality, op9_near_dedup, op10_packing)}
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's planted repetitions: the words of a tenth of the ids repeat from some place on."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    own = words[a : a + p]
+    return words[:a] + (own * -(-(n - a) // p))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of equally long runs the first is told, then that with the smallest period."""
+    found = periodic.periodic_runs(_table(spark, sf_dir, "documents"), change=periodic_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    longest = found.withColumn("best", best).select("*", (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"))
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", F.expr("1000 * length div period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    )
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_bpe, op3_warc, op4_audio, op5_url_filter, op6_secrets, op7_html_extract, op8_quality, op9_near_dedup, op10_packing, op11_jaccard_join, op12_periodic_runs, op13_centroids)}
 
 _HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
@@ -105,6 +138,37 @@ SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN host <
 FROM p LEFT JOIN by_host h ON h.key = p.host"""
 
 
+def _components_sql(size: int, percent: int) -> str:
+    """Documents with the smallest id that links reach; the caller adds columns and _COMPONENTS_FROM."""
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i : i + {size - 1}], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
+GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(len(sa.sh)) + any_value(len(sb.sh)) - count(*))),
+r AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON p.a = r.b)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id"""
+
+
+_COMPONENTS_FROM = " FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.sh)"
+
+
+def _centroids_sql() -> str:
+    """All rounds of k-means, each assignment (a) and each set of centroids (c) as a CTE."""
+    c = centroids
+    parts = [
+        f"vec AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({c.SCALE} * x::DOUBLE) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = {c.WIDTH} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {c.WIDTH})",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS j, v FROM (SELECT sha256(concat('{c.SEED}:', CAST(vec_id AS VARCHAR))) AS h, v FROM vec ORDER BY h LIMIT {c.CLUSTERS}) x)",
+    ]
+    for r in range(c.ROUNDS + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, v, j, d FROM (SELECT vec_id, vec.v, j, CAST(list_sum(list_transform(list_zip(vec.v, c{r}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM vec, c{r}) x QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, j) = 1)")
+        if r < c.ROUNDS:
+            sums = f"SELECT j, p, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS p FROM a{r}) y GROUP BY j, p"
+            parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m.v, c{r}.v) AS v FROM c{r} LEFT JOIN (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY p) AS v FROM ({sums}) z GROUP BY j) m ON m.j = c{r}.j)")
+    last = c.ROUNDS
+    return f"""WITH {", ".join(parts)} SELECT vec_id, CAST(a{last}.j AS INT) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a{last}.j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256 FROM a{last} JOIN c{last} ON c{last}.j = a{last}.j"""
+
+
 #: The article's markup as the tables have it: b is inline, every other tag parts blocks.
 _TAGS_OUT = "regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article[^>]*>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g')"
 _WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -118,11 +182,7 @@ FROM (SELECT page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html,
     "op5_url_filter": _urls_sql(),
     "op7_html_extract": f"""SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_TAGS_OUT},
 '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '{_WHITE}+', ' ', 'g')) AS text FROM pages) x""",
-    "op9_near_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {neardup.SHINGLE} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {neardup.SHINGLE - 2}), lambda i: array_to_string(w[i : i + {neardup.SHINGLE - 1}], ' '))) END AS sh FROM w),
-e AS (SELECT doc_id, unnest(sh) AS x FROM s),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
-GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {neardup.PERCENT} * (any_value(len(sa.sh)) + any_value(len(sb.sh)) - count(*))),
-r AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM r JOIN pairs p ON p.a = r.b)
-SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS kept FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.sh)""",
+    "op9_near_dedup": _components_sql(neardup.SHINGLE, neardup.PERCENT) + ", s.doc_id = least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS kept" + _COMPONENTS_FROM,
+    "op11_jaccard_join": _components_sql(metricjoin.SHINGLE, metricjoin.PERCENT) + _COMPONENTS_FROM,
+    "op13_centroids": _centroids_sql(),
 }
