@@ -44,6 +44,8 @@ CLASS_BITS = 16
 LEAF, PIVOTS, DEPTH, RADIUS = 512, 8, 4, 0.5
 #: Members of a region that one task routes.
 ROUTED = 4096
+#: Up to so many nodes (32 bytes each) go to the texts by broadcast when their sets are wanted; more meet by a shuffle.
+FEW = 200_000
 _LOW = np.uint64((1 << (64 - CLASS_BITS)) - 1)
 
 
@@ -211,8 +213,10 @@ def member_sets(df: DataFrame, id_col: str, text_col: str, size: int, owners: Da
                         found.append(s.tobytes())
                 yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "members": pa.array(found, pa.binary())})
 
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(owners.select("node", "id", "digest"), "id")
-    return stored(texts.select("node", "digest", "text").mapInArrow(sets, "node long, members binary").dropDuplicates(["node"]), "members")
+    wanted = stored(owners.select("node", "id", "digest"), "wanted")
+    held = F.broadcast(wanted) if wanted.count() <= FEW else wanted
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(held, "id")
+    return stored(texts.select("node", "digest", "text").mapInArrow(sets, "node long, members binary").dropDuplicates(["node"]), "members", drop=(wanted,))
 
 
 def routes(own: np.ndarray, pivots: list[np.ndarray], eps: float, radius: float) -> list[int]:
@@ -314,11 +318,11 @@ def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, no
     discard(met)
     named = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    sketched = named.join(several, "key").join(nodes.select("node", F.col("parity").alias("value")), "node")
-    near = stored(in_blocks(sketched, near_nodes(percent), "key long, node long, component long").distinct(), "near")
+    sketched = nodes.select("node", F.col("parity").alias("value"))
+    near = stored(in_blocks(named.join(several, "key"), sketched, near_nodes(percent), "key long, node long, component long").distinct(), "near")
     members = sets(near.select("node").distinct())
-    whole = near.join(members.select("node", F.col("members").alias("value")), "node")
-    across = stored(in_blocks(whole, cross_links(percent), "a long, b long").distinct(), "links", drop=(near, members))
+    whole = members.select("node", F.col("members").alias("value"))
+    across = stored(in_blocks(near, whole, cross_links(percent), "a long, b long").distinct(), "links", drop=(near, members))
     return stars.unionByName(across)
 
 

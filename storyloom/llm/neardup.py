@@ -247,17 +247,19 @@ def cross_links(percent: int):
     return links
 
 
-def in_blocks(rows: DataFrame, compare: Callable[[Held, Held, int], list[tuple]], schema: str) -> DataFrame:
-    """Compares rows (key, node, component, value) across components within each key: compare(probes, targets, key).
+def in_blocks(rows: DataFrame, values: DataFrame, compare: Callable[[Held, Held, int], list[tuple]], schema: str) -> DataFrame:
+    """Compares rows (key, node, component) across components within each key: compare(probes, targets, key). values
+    (node, value) meet them after they are dealt.
 
     A key's rows are dealt to blocks of about BLOCK_ROWS targets, or fewer that carry BLOCK_BYTES. Its nodes outside its largest component are the probes;
     where a key has several blocks, they go to each and stream past the targets."""
-    counted = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("bytes")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
+    sized = rows.join(values.select("node", F.octet_length("value").alias("bytes")), "node")
+    counted = sized.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("key").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"))
     groups = counted.filter(F.col("n") > F.col("most")).select("key", "main", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     met = rows.join(groups, "key")
     targets = met.withColumn("probe", F.lit(False)).withColumn("at", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     probes = met.filter((F.col("blocks") > 1) & (F.col("component") != F.col("main"))).withColumn("probe", F.lit(True)).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = targets.unionByName(probes).withColumn("block", F.xxhash64("key", "at")).select("block", "probe", "key", "node", "component", "main", "blocks", "value")
+    dealt = targets.unionByName(probes).withColumn("block", F.xxhash64("key", "at")).select("block", "probe", "key", "node", "component", "main", "blocks").join(values, "node")
     names = [x.split()[0] for x in schema.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,11 +303,11 @@ def remaining_links(met: DataFrame, labels: DataFrame, nodes: DataFrame, sets: C
     """Links (a, b) between different components of nodes (key, node) that share a key; a stored table."""
     named = met.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter(F.col("lo") < F.col("hi")).select("key")
-    open_ = named.join(mixed, "key").join(nodes.select("node", F.col("signature").alias("value")), "node")
-    near = stored(in_blocks(open_, near_nodes, "key long, node long, component long").distinct(), "near")
+    signed = nodes.select("node", F.col("signature").alias("value"))
+    near = stored(in_blocks(named.join(mixed, "key"), signed, near_nodes, "key long, node long, component long").distinct(), "near")
     members = sets(near.select("node").distinct())
-    whole = near.join(members.select("node", F.col("members").alias("value")), "node")
-    return stored(in_blocks(whole, cross_links(percent), "a long, b long").distinct(), "links", drop=(near, members))
+    whole = members.select("node", F.col("members").alias("value"))
+    return stored(in_blocks(near, whole, cross_links(percent), "a long, b long").distinct(), "links", drop=(near, members))
 
 
 def grouped(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
