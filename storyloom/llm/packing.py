@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .bpe import PATTERN, byte_symbols
+from .bpe import PATTERN, byte_symbols, load
 from .common import slices, stored
 
 LENGTH, CLOSING, BLOCK = 2048, 0, 200_000
@@ -47,6 +47,17 @@ def load_encoder(path: str):
     return tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+def encoded(text: str, vocab: str) -> np.ndarray:
+    """The ids of a text. The encoder's pattern engine gives up on very long runs of white space; the pair index does not."""
+    encoder = load_encoder(vocab)
+    try:
+        return encoder.encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        if not vocab.endswith(".json"):
+            raise
+        return np.frombuffer(load(vocab).encode_packed([text])[0], dtype="<u4")
+
+
 def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids."""
     first = n % length or min(n, length)
@@ -58,13 +69,12 @@ def pieces(df: DataFrame, vocab: str, id_col: str = "doc_id", text_col: str = "t
     kind = df.schema[id_col].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = load_encoder(vocab)
         tail = np.array([closing], dtype=np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 at, rows = [], []
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    ids = np.concatenate([encoder.encode_to_numpy(text or "", allowed_special="all"), tail]).astype("<u4")
+                    ids = np.concatenate([encoded(text or "", vocab), tail]).astype("<u4")
                     for piece, (start, n) in enumerate(cut(len(ids), length)):
                         own = ids[start : start + n].tobytes()
                         at.append(k)

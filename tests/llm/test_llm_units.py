@@ -294,3 +294,10 @@ def test_page_articles_against_tags_out(sf_dir):
     for (page,) in duckdb.connect().execute(f"SELECT html FROM '{sf_dir}/pages.parquet'").fetchall():
         article = re.search(r"(?s)<article>(.*?)</article>", page)[1]
         assert text_of(page) == " ".join(html.unescape(re.sub("<[^>]*>", " ", article)).split())
+
+
+@pytest.mark.parametrize("run", [" ", "\n", "\u00a0", "a", " \t", "é"])
+def test_packing_takes_very_long_runs(run):
+    own = Tokenizer.from_file(VOCAB)
+    text = "before" + run * (2_000_000 // len(run)) + "after it"
+    assert packing.encoded(text, VOCAB).tolist() == own.encode(text, add_special_tokens=False).ids
