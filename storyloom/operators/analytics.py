@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.functions.listing import COUNTS
 from storyloom.operators.filters import is_abandoned, overlaps
 from storyloom.operators.search import with_ratio
 from storyloom.plans.corpus import AS_OF
@@ -40,10 +41,11 @@ def facets(stories: DataFrame, story_fandoms: DataFrame, fandoms: DataFrame) ->
 
 
 def top_facets(counts: DataFrame, limits: dict[str, int] = FACET_LIMITS) -> DataFrame:
-    """Each facet's most frequent values in one pass."""
+    """Each facet's most frequent values in one pass. The largest limit stands as a literal, by which Spark keeps no more
+    rows than that of a facet in a task before it shuffles and sorts them."""
     place = Window.partitionBy("facet").orderBy(F.col("count").desc(), F.col("value"))
     most = F.create_map(*[x for k, v in limits.items() for x in (F.lit(k), F.lit(v))])[F.col("facet")]
-    return counts.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= most).select("facet", "value", "count")
+    return counts.withColumn("place", F.row_number().over(place)).filter((F.col("place") <= max(limits.values())) & (F.col("place") <= most)).select("facet", "value", "count")
 
 
 def stats(stories: DataFrame, as_of: str = AS_OF) -> DataFrame:
@@ -75,10 +77,14 @@ def length_adjusted(stories: DataFrame, n: int = 20) -> DataFrame:
     return top(rows, F.col("favorites_per_1k_words").desc(), F.col("story_id").desc(), n=n).select("story_id", "title", "author_name", "word_count", "favorite_count", "favorites_per_1k_words")
 
 
-def ship_leaderboard(stories: DataFrame, n: int = 20) -> DataFrame:
+def ship_aggregates(stories: DataFrame) -> DataFrame:
+    """Stories, words and mean favourites of every ship."""
     rows = live(stories).filter(F.size("ships") > 0).select(F.explode("ships").alias("g"), "word_count", "favorite_count")
-    counted = rows.groupBy(ship_label(F.col("g")).alias("ship")).agg(F.count("*").alias("stories"), F.sum("word_count").alias("total_words"), F.round(F.avg("favorite_count")).alias("avg_favorites"))
-    return top(counted, F.col("stories").desc(), F.col("ship"), n=n)
+    return rows.groupBy(ship_label(F.col("g")).alias("ship")).agg(F.count("*").alias("stories"), F.sum("word_count").alias("total_words"), F.round(F.avg("favorite_count")).alias("avg_favorites"))
+
+
+def ship_leaderboard(stories: DataFrame, n: int = 20) -> DataFrame:
+    return top(ship_aggregates(stories), F.col("stories").desc(), F.col("ship"), n=n)
 
 
 def exclusions(stories: DataFrame, n: int = 20) -> DataFrame:
@@ -157,11 +163,43 @@ def footprint(objects: DataFrame, stories: int, target: int = 8_770_708, least:
     )
 
 
+#: A selection pass counts values in so many ranges; so few values of one range are sorted at last.
+RANGES, FEW_VALUES = 1024, 10_000
+
+
+def order_statistic(values: DataFrame, column: str, rank: int):
+    """The rank-th smallest number (from 0) of a column, nulls left out, or None. Each pass counts the values of what range is
+    left in RANGES equal parts, map-side, and goes on with the part that holds the rank; the last FEW_VALUES or equal
+    values are sorted. No task and no driver holds more than that, whatever the table's size."""
+    rows = values.filter(F.col(column).isNotNull()).select(F.col(column).alias("x"))
+    ends = rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    while True:
+        if not 0 <= rank < ends.n:
+            return None
+        if ends.lo == ends.hi:
+            return ends.lo
+        rows = rows.filter((F.col("x") >= F.lit(ends.lo)) & (F.col("x") <= F.lit(ends.hi)))
+        if ends.n <= FEW_VALUES or float(ends.lo) == float(ends.hi):
+            return rows.orderBy("x").offset(rank).limit(1).first().x
+        low, span = float(ends.lo), float(ends.hi) - float(ends.lo)
+        part = F.least(F.floor((F.col("x").cast("double") - low) / (span / RANGES)), F.lit(RANGES - 1))
+        counted = rows.groupBy(part.alias("part")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).orderBy("part").collect()
+        for ends in counted:
+            if rank < ends.n:
+                break
+            rank -= ends.n
+
+
 def sample_statistics(values: DataFrame, column: str, population: int) -> DataFrame:
     """Median (upper), mean and maximum of a sample, and the total it predicts."""
-    upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast(values.schema[column].dataType)
-    agg = values.agg(upper.alias("median"), F.avg(column).alias("mean"), F.max(column).alias("largest"))
-    return agg.select("median", F.round("mean", 6).alias("mean"), "largest", F.round(F.col("mean") * population, 3).alias("predicted"))
+    kind = values.schema[column].dataType
+    agg = values.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.max(column).alias("largest"))
+    median = order_statistic(values, column, agg.first().n // 2)
+    return agg.select(F.lit(median).cast(kind).alias("median"), F.round("mean", 6).alias("mean"), "largest", F.round(F.col("mean") * population, 3).alias("predicted"))
+
+
+#: A character that is a number or a count of the meta line.
+COUNT_LIKE = "^([0-9][0-9,.]*|(" + "|".join(COUNTS.values()) + "):.*)$"
 
 
 def anomalies(stories: DataFrame) -> DataFrame:
@@ -169,6 +207,7 @@ def anomalies(stories: DataFrame) -> DataFrame:
     rules = {
         "no_rating": F.col("rating").isNull(), "no_language": F.col("language").isNull(), "no_words": F.col("word_count").isNull(), "no_date": F.col("published_at").isNull(), "dates_reversed": F.col("updated_at") < F.col("published_at"),
         "many_genres": F.size("genres") > 2, "unknown_genre": F.exists("genres", lambda g: ~g.isin(*GENRES)), "no_title": F.coalesce(F.trim("title"), F.lit("")) == "", "markup": F.regexp_like("summary", F.lit("<[A-Za-z/]")),
+        "count_as_character": F.exists("characters", lambda x: F.regexp_like(x, F.lit(COUNT_LIKE))),
     }
     return live(stories).agg(*[F.count_if(rule).alias(name) for name, rule in rules.items()])
 

@@ -1,15 +1,12 @@
-"""Idempotent ingestion: each mutation is a pure function from the old snapshot and a batch to the new snapshot.
+"""Idempotent ingestion: each mutation is a pure function from the old rows and a batch to the new rows.
 
-Session-catalog Parquet has no MERGE or UPDATE; a snapshot store swaps whole snapshots, so readers keep the old one."""
+Session-catalog Parquet has no MERGE or UPDATE; VersionedTable applies these functions to the buckets of a batch."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from storyloom.plans.corpus import AS_OF
@@ -23,12 +20,21 @@ OVERWRITTEN = (
 KEPT = ("author_id", "is_crossover", "published_at", "first_seen_at")
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def last_wins(batch: DataFrame, keys: list[str], order: str | None) -> DataFrame:
     """One row per key: the last by `order` (a batch without an order must have unique keys)."""
     if order is None:
         return batch
     w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return batch.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", order)
+    place = free_name("_n", batch)
+    return batch.withColumn(place, F.row_number().over(w)).filter(F.col(place) == 1).drop(place, order)
 
 
 def repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,8 +48,9 @@ def upsert_stories(stories: DataFrame, batch: DataFrame, now: str = AS_OF, order
     join on story_id: with both sides bucketed by it, nothing is shuffled. An empty batch changes nothing."""
     new = last_wins(batch, ["story_id"], order)
     at = F.lit(now).cast("timestamp")
-    old, fresh = stories.alias("o"), new.withColumn("_seen", F.lit(True)).alias("n")
-    seen, known = F.col("n._seen").isNotNull(), F.col("o.first_seen_at").isNotNull()
+    mark = free_name("_mark", stories, new)
+    old, fresh = stories.withColumn(mark, F.lit(True)).alias("o"), new.withColumn(mark, F.lit(True)).alias("n")
+    seen, known = F.col(f"n.{mark}").isNotNull(), F.col(f"o.{mark}").isNotNull()
     out = []
     for field in stories.schema.fields:
         c = field.name
@@ -143,6 +150,25 @@ def write_back(stories: DataFrame, vectors: DataFrame) -> DataFrame:
     return stories.join(new, "story_id", "left").withColumn("summary_embedding", F.coalesce("_v", "summary_embedding")).select(*stories.columns)
 
 
+def tail_matches(left: DataFrame, text: str, right: DataFrame, slug: str, joint: str = "-and-") -> DataFrame:
+    """The pairs of rows for which `text LIKE '%' || joint || slug`. Each text's tails after a joint are keys that equal a slug, so
+    nothing is compared pair by pair; a slug with `_` meets the tails of its length, one with `%` or a backslash the
+    texts with a tail of its first letter. Columns of both sides stay; they must not clash."""
+    tail, size = free_name("_tail", left, right), free_name("_size", left, right)
+    own, n = F.col(text), len(joint)
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(own), F.lit(1))), lambda k: own.substr(k, F.lit(n)) == joint)  # joints may overlap
+    parts = left.withColumn(tail, F.explode(F.array_distinct(F.transform(places, lambda k: own.substr(k + n, F.length(own))))))
+    plain, single, open_ = (right.filter(F.regexp_like(slug, F.lit(p))) for p in (r"(?s)^[^%_\\]*$", r"(?s)^[^%\\]*_[^%\\]*$", r"[%\\]"))
+    like = F.expr(f"`{tail}` LIKE `{slug}`")
+    out = [parts.join(plain, F.col(tail) == F.col(slug)), parts.withColumn(size, F.length(tail)).join(single, (F.col(size) == F.length(slug)) & like).drop(size)]
+    first = F.transform(places, lambda k: own.substr(k + n, F.lit(1)))
+    letters = left.withColumn(tail, F.explode(F.array_union(first, F.array(F.lit("")))))
+    start = F.when(F.regexp_like(slug, F.lit(r"^[%_\\]")), F.lit("")).otherwise(F.substring(slug, 1, 1))
+    whole = F.expr(f"`{text}` LIKE concat('%{joint}', `{slug}`)")
+    found = [x.drop(tail) for x in (*out, letters.join(open_, (F.col(tail) == start) & whole))]
+    return reduce(DataFrame.unionByName, found)
+
+
 def repair_identity(fandoms: DataFrame, story_fandoms: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The six steps of the fandom identity repair; each reads the result of the one before."""
     f = fandoms
@@ -179,103 +205,3 @@ def identity_conflicts(fandoms: DataFrame) -> DataFrame:
     """Step 6: what breaks one of the three partial unique keys."""
     rules = {"slug": (["section_slug", "fandom_slug"], "fandom_slug IS NOT NULL"), "category": (["category_id"], "category_id IS NOT NULL"), "name": (["name"], "fandom_slug IS NULL")}
     return reduce(DataFrame.unionByName, [fandoms.filter(w).groupBy(F.concat_ws("/", *k).alias("value")).count().filter("count > 1").select(F.lit(n).alias("key"), "value", "count") for n, (k, w) in rules.items()])
-
-
-class SnapshotStore:
-    """Named tables as immutable Parquet snapshots, and one small pointer table that says which is current.
-
-    A swap appends a row to the pointer table, which is one atomic Spark write; readers that hold an older snapshot keep
-    it. It replaces concurrent view refreshes."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointers(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("name string, version long, path string").parquet(f"{self.root}/_pointers")
-        except Exception as e:  # the table is not there yet
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
-
-    def version(self, name: str) -> int:
-        rows = self._pointers()
-        found = rows.filter(F.col("name") == name).agg(F.max("version")).first()[0] if rows is not None else None
-        return found or 0
-
-    def read(self, name: str) -> DataFrame:
-        rows = self._pointers()
-        found = rows.filter(F.col("name") == name).orderBy(F.col("version").desc()).first() if rows is not None else None
-        if found is None:
-            raise KeyError(name)
-        return self.spark.read.parquet(found.path)
-
-    def swap(self, name: str, new: DataFrame, partition_by: str | None = None) -> DataFrame:
-        version = self.version(name) + 1
-        path = f"{self.root}/{name}/v{version}"
-        writer = new.write.mode("overwrite")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-        self.spark.createDataFrame([(name, version, path)], "name string, version long, path string").coalesce(1).write.mode("append").parquet(f"{self.root}/_pointers")
-        return self.read(name)
-
-    @contextmanager
-    def exclusive(self, name: str) -> Iterator[None]:
-        """One writer at a time: holds a lock file, whose creation is atomic in the store's file system. RuntimeError
-        while another one holds it; a writer that died leaves it, to be removed by hand."""
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_locks/{name}")
-        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        try:
-            files.create(path, False).close()
-        except Exception as e:
-            if "AlreadyExists" in str(e):
-                raise RuntimeError(f"another writer holds {name}") from None
-            raise
-        try:
-            yield
-        finally:
-            files.delete(path, False)
-
-
-class BucketedStore(SnapshotStore):
-    """A table in hash buckets of its key, each with a version of its own: a batch reads and rewrites only the buckets
-    that its keys fall into, and the others stay as they are. All new versions become current by one pointer write.
-
-    Choose `buckets` so that one holds about a file's worth of rows; it must stay the same for a table's life."""
-
-    def __init__(self, spark: SparkSession, root: str, key: str = "story_id", buckets: int = 256):
-        super().__init__(spark, root)
-        self.key, self.buckets = key, buckets
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def read(self, name: str, only: list[int] | None = None) -> DataFrame:
-        """The current rows, of all buckets or of some; at most `buckets` paths go through the driver."""
-        rows = self._pointers()
-        found = [] if rows is None else rows.filter(F.col("name").startswith(f"{name}/")).groupBy("name").agg(F.max_by("path", "version").alias("path")).collect()
-        if not found:
-            raise KeyError(name)
-        paths = {int(r.name.rsplit("/", 1)[1]): r.path for r in found}
-        schema = self.spark.read.parquet(next(iter(paths.values()))).schema
-        wanted = [p for b, p in paths.items() if only is None or b in only]
-        return self.spark.read.schema(schema).parquet(*wanted) if wanted else self.spark.createDataFrame([], schema)
-
-    def swap(self, name: str, new: DataFrame, only: list[int] | None = None) -> DataFrame:
-        """Writes new versions of the buckets that `new` has rows in (of a first write: all that exist)."""
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        new.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
-        rows = self._pointers()
-        last = (rows.filter(F.col("name").startswith(f"{name}/")).agg(F.max("version")).first()[0] if rows is not None else None) or 0
-        written = self.spark.read.parquet(path).select(F.col("_bucket").cast("int").alias("b")).distinct()
-        pointers = written.select(F.concat(F.lit(f"{name}/"), "b").alias("name"), F.lit(last + 1).cast("long").alias("version"), F.concat(F.lit(f"{path}/_bucket="), "b").alias("path"))
-        pointers.coalesce(1).write.mode("append").parquet(f"{self.root}/_pointers")
-        return self.read(name, only)
-
-    def upsert(self, name: str, batch: DataFrame, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
-        """Applies a mutation such as upsert_stories, under which rows never go, to the batch's buckets; returns these.
-        An empty batch writes nothing."""
-        with self.exclusive(name):
-            touched = sorted(r.b for r in batch.select(self._bucket().alias("b")).distinct().collect())
-            if touched:
-                self.swap(name, apply(self.read(name, touched), batch), touched)
-        return touched

@@ -6,19 +6,22 @@ engines' values compare."""
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
-from functools import cached_property
+from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from storyloom.functions import listing, vectors
 from storyloom.functions import text as fulltext
-from storyloom.operators import analytics, ingest, search, textindex, walk
+from storyloom.operators import analytics, ingest, search, textindex, versions, walk
 from storyloom.operators.filters import SearchFilters, filtered, is_abandoned, is_abandoned_by_days, overlaps
 from storyloom.plans import corpus
 from storyloom.plans.corpus import AS_OF
-from storyloom.schema import EMBEDDING_CHARS, favorites_per_1k, sign_bits
+from storyloom.schema import EMBEDDING_CHARS, GENRES, favorites_per_1k, sign_bits
+from storyloom.session import scratch_path
 from storyloom.sources import surfaces
 from storyloom.streaming import feeds
 
@@ -256,10 +259,8 @@ query("F20_between", "SELECT story_id FROM live WHERE word_count BETWEEN 1000 AN
 query("F21_has_ships", "SELECT story_id FROM live WHERE len(ships) > 0")(lambda c: analytics.live(c.stories).filter(F.size("ships") > 0).select("story_id"))
 query("F22_is_not_true", "SELECT surface_key FROM crawl_state WHERE is_exhausted IS NOT TRUE")(lambda c: c("crawl_state").filter(analytics.pending(F.col("is_exhausted"))).select("surface_key"))
 query("F23_is_distinct_from", "SELECT story_id FROM stories_base WHERE updated_at IS DISTINCT FROM published_at")(lambda c: c.stories.filter(~F.col("updated_at").eqNullSafe(F.col("published_at"))).select("story_id"))
-query("F24_like_from_column", "SELECT a.id AS a, b.id AS b FROM fandoms a JOIN fandoms b ON a.category_id % 2 = b.category_id % 2 AND a.id <> b.id AND 'x-and-' || a.fandom_slug LIKE '%-and-' || substr(b.fandom_slug, 1, 8) || '%'")(
-    lambda c: (lambda f, g: f.join(g, (F.col("ca") == F.col("cb")) & (F.col("a") != F.col("b")) & F.expr("concat('x-and-', sa) LIKE concat('%-and-', substr(sb, 1, 8), '%')")).select("a", "b"))(
-        c("fandoms").select(F.col("id").alias("a"), (F.col("category_id") % 2).alias("ca"), F.col("fandom_slug").alias("sa")), c("fandoms").select(F.col("id").alias("b"), (F.col("category_id") % 2).alias("cb"), F.col("fandom_slug").alias("sb"))
-    )
+query("F24_like_from_column", "SELECT p.fandom_id_a, p.fandom_id_b, f.id FROM pairs p JOIN fandoms f ON concat('x-and-Fandom-', CAST(p.fandom_id_a - 100 AS VARCHAR), '-and-', p.slug_b, '-and-Fandom-', CAST(p.fandom_id_b - 100 AS VARCHAR)) LIKE concat('%-and-', f.fandom_slug)")(
+    lambda c: ingest.tail_matches(c("pairs").withColumn("mangled", F.format_string("x-and-Fandom-%d-and-%s-and-Fandom-%d", F.col("fandom_id_a") - 100, "slug_b", F.col("fandom_id_b") - 100)), "mangled", c("fandoms").select("id", "fandom_slug"), "fandom_slug").select("fandom_id_a", "fandom_id_b", "id")
 )
 query("F25_prefix", "SELECT surface_key FROM crawl_state WHERE surface_key LIKE 'browse:%'")(lambda c: c("crawl_state").filter(F.col("surface_key").startswith("browse:")).select("surface_key"))
 query("F26_stale", f"SELECT story_id FROM stories_base WHERE last_seen_at < {TS} - INTERVAL '180' DAY")(lambda c: c.stories.filter(ingest.stale()).select("story_id"))
@@ -359,7 +360,7 @@ UNION ALL SELECT 'ships', {SHIP}, count(*) FROM (SELECT unnest(ships) AS g FROM
 query("A06_facet_counts", FACETS)(lambda c: analytics.facets(c.stories, c("story_fandoms"), c("fandoms")))
 REGISTRY["U01_union_of_facets"] = REGISTRY["A06_facet_counts"]
 LEADERS = f"SELECT {SHIP} AS ship, count(*) AS stories, CAST(sum(word_count) AS BIGINT) AS total_words, round(avg(favorite_count)) AS avg_favorites FROM (SELECT unnest(ships) AS g, word_count, favorite_count FROM live) x GROUP BY 1"
-query("A07_ship_aggregates", LEADERS)(lambda c: analytics.ship_leaderboard(c.stories, 1_000_000))
+query("A07_ship_aggregates", LEADERS)(lambda c: analytics.ship_aggregates(c.stories))
 query("A08_ordered_string_agg", "SELECT story_id, (SELECT string_agg(m, ' / ' ORDER BY m) FROM (SELECT unnest(ships[1]) AS m) y) AS ship FROM live WHERE len(ships) > 0")(lambda c: analytics.live(c.stories).filter(F.size("ships") > 0).select("story_id", analytics.ship_label(F.col("ships")[0]).alias("ship")))
 REGISTRY["A09_ordered_array_agg"] = REGISTRY["P03_fandom_names"]
 query("A10_capped_count", "SELECT count(*) AS total FROM (SELECT 1 FROM lineitem WHERE l_quantity > 10 LIMIT 10000) x")(lambda c: search.capped_count(c("lineitem").filter("l_quantity > 10")))
@@ -393,8 +394,9 @@ query("X26_durations", "SELECT event_id, CASE WHEN s >= 86400 THEN concat(CAST(s
 query(
     "N12_anomalies",
     "SELECT count(*) FILTER (WHERE rating IS NULL) AS no_rating, count(*) FILTER (WHERE language IS NULL) AS no_language, count(*) FILTER (WHERE word_count IS NULL) AS no_words, count(*) FILTER (WHERE published_at IS NULL) AS no_date, count(*) FILTER (WHERE updated_at < published_at) AS dates_reversed, "
-    "count(*) FILTER (WHERE len(genres) > 2) AS many_genres, count(*) FILTER (WHERE coalesce(trim(title), '') = '') AS no_title, count(*) FILTER (WHERE regexp_matches(summary, '<[A-Za-z/]')) AS markup FROM live",
-)(lambda c: analytics.anomalies(c.stories).select("no_rating", "no_language", "no_words", "no_date", "dates_reversed", "many_genres", "no_title", "markup"))
+    "count(*) FILTER (WHERE len(genres) > 2) AS many_genres, count(*) FILTER (WHERE coalesce(trim(title), '') = '') AS no_title, count(*) FILTER (WHERE regexp_matches(summary, '<[A-Za-z/]')) AS markup, "
+    f"count(*) FILTER (WHERE len(list_filter(genres, lambda g: NOT list_contains({list(GENRES)}, g))) > 0) AS unknown_genre, count(*) FILTER (WHERE len(list_filter(characters, lambda x: regexp_matches(x, '{analytics.COUNT_LIKE}'))) > 0) AS count_as_character FROM live",
+)(lambda c: analytics.anomalies(c.stories).select("no_rating", "no_language", "no_words", "no_date", "dates_reversed", "many_genres", "no_title", "markup", "unknown_genre", "count_as_character"))
 query("S04_firehose", "SELECT story_id, concat('https://www.fanfiction.net/s/', CAST(story_id AS VARCHAR), '/1/') AS url FROM live ORDER BY updated_at DESC NULLS LAST, story_id DESC LIMIT 100")(
     lambda c: search.search(c.stories, SearchFilters(sort="updated", page_size=surfaces.ROWS_PER_PAGE["firehose"])).select("story_id", surfaces.story_url(F.col("story_id"), F.lit(1)).alias("url"))
 )
@@ -620,7 +622,79 @@ UPSERT = f"""SELECT story_id, favorite_count + CASE WHEN story_id % 10 = 0 THEN
 CASE WHEN story_id % 10 = 0 THEN NULL ELSE CAST(deleted_at AS VARCHAR) END AS deleted_at FROM stories_base
 UNION ALL SELECT story_id + 1000000, favorite_count + 1, -1, CAST({TS} AS VARCHAR), NULL FROM stories_base WHERE story_id % 50 = 1"""
 query("M01_story_upsert", UPSERT)(lambda c: upserted(c).select("story_id", "favorite_count", "author_id", "last_seen_at", "deleted_at"))
-REGISTRY["S13_upsert_sink"] = REGISTRY["M01_story_upsert"]
+
+
+def kept_table(c: Corpus, rows: DataFrame, key: str = "story_id", counted: bool = False) -> versions.VersionedTable:
+    """A versioned table of its own with these rows, a bucket for about a million of them."""
+    views = versions.story_counts(c("story_fandoms"), c("fandoms")) if counted else None
+    table = versions.VersionedTable(c.spark, scratch_path(c.spark, "table"), key, min(4096, max(8, rows.count() // 1_000_000)), views)
+    table.create(rows)
+    return table
+
+
+@query("S13_upsert_sink", UPSERT)
+def _(c: Corpus) -> DataFrame:
+    table = kept_table(c, c.embedded)
+    table.upsert(batch(c), ingest.upsert_stories)
+    return table.read().select("story_id", "favorite_count", "author_id", "last_seen_at", "deleted_at")
+
+
+def changed_three_times(c: Corpus) -> versions.VersionedTable:
+    """An update with new stories, tombstones by staleness, and stories that are seen again: three commits."""
+    table = kept_table(c, c.embedded, counted=True)
+    table.upsert(batch(c), ingest.upsert_stories)
+    table.upsert(table.read().filter(ingest.stale()).select("story_id"), lambda old, _: ingest.mark_stale(old)[0])
+    again = c.embedded.filter("story_id % 7 = 0").drop("first_seen_at", "last_seen_at", "deleted_at", "summary_embedding")
+    table.upsert(again, ingest.upsert_stories)
+    return table
+
+
+CHANGED = f"""changed AS (SELECT story_id, author_id, genres, characters, ships, language, rating, status, is_crossover, word_count, published_at, updated_at FROM stories_base
+WHERE story_id % 7 = 0 OR story_id % 10 = 0 OR (deleted_at IS NULL AND last_seen_at >= {TS} - INTERVAL '180' DAY)
+UNION ALL SELECT story_id + 1000000, -1, genres, characters, ships, language, rating, status, is_crossover, word_count, published_at, updated_at FROM stories_base WHERE story_id % 50 = 1)"""
+query("S15_kept_facets", f"WITH {CHANGED} {FACETS.replace('live', 'changed')}")(lambda c: versions.kept_facets(changed_three_times(c)))
+
+
+@query("G09_concurrent_writers", "SELECT story_id, favorite_count + CASE story_id % 10 WHEN 0 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS favorite_count FROM stories_base")
+def _(c: Corpus) -> DataFrame:
+    """Two writers at once on the same buckets: the one whose number is taken starts anew, and both changes stay."""
+    table = kept_table(c, c.stories.withColumn("summary_embedding", F.lit(None).cast("array<float>")))
+
+    def write(rest: int, more: int) -> None:
+        rows = c.stories.filter(F.col("story_id") % 10 == rest).withColumn("favorite_count", F.col("favorite_count") + more)
+        table.upsert(rows.drop("first_seen_at", "last_seen_at", "deleted_at"), ingest.upsert_stories)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(write, (0, 5), (1, 2)))
+    return table.read().select("story_id", "favorite_count")
+
+
+@query("G01_exactly_once_feed", "SELECT concat('browse:book/c', CAST(o_custkey AS VARCHAR)) AS surface_key, CAST(25 * count(*) AS BIGINT) AS rows_ingested FROM orders GROUP BY 1")
+def _(c: Corpus) -> DataFrame:
+    """A feed of progress rows, whose counts add up, in micro-batches; the whole stream is then replayed."""
+    rows = c("orders").select(
+        F.format_string("browse:book/c%d", "o_custkey").alias("surface_key"), (F.col("o_orderkey") % 100).cast("int").alias("last_page"), F.lit(False).alias("is_exhausted"), F.lit(25).cast("long").alias("rows_ingested"), F.lit(None).cast("string").alias("last_error"), F.col("o_orderkey").alias("seq")
+    )
+    feed, table = scratch_path(c.spark, "feed"), kept_table(c, rows.drop("seq").limit(0), "surface_key")
+    rows.repartition(6).write.parquet(feed)
+    for attempt in ("first", "replayed"):
+        stream = feeds.file_stream(c.spark, feed, rows.schema, files_per_batch=2)
+        feeds.ingest_once(stream, f"{feed}-{attempt}", table, "walk", lambda old, new: ingest.record_progress(old, new, "seq"))
+    return table.read().select("surface_key", "rows_ingested")
+
+
+@query("G07_embedding_worker", "SELECT story_id, 64 AS dims, CAST(1 AS BIGINT) AS times FROM stories WHERE deleted_at IS NULL AND summary_embedding IS NULL")
+def _(c: Corpus) -> DataFrame:
+    """Two workers at once; every story that lacked a vector is embedded, and by one of them."""
+    table = kept_table(c, c.embedded)
+    with ThreadPoolExecutor(2) as pool:
+        folders = list(pool.map(lambda name: versions.embed_claimed(table, name, lambda rows: vectors.embed_missing(rows, dims=64), time.time), ("a", "b")))
+    told = [c.spark.read.schema("story_id long").parquet(p) for own in folders for p in own]
+    told = reduce(DataFrame.unionByName, told) if told else c.spark.createDataFrame([], "story_id long")
+    times = told.groupBy("story_id").agg(F.count("*").alias("times"))
+    return table.read().join(times, "story_id").select("story_id", F.size("summary_embedding").alias("dims"), "times")
+
+
 query("M02_embedding_invalidation", "SELECT story_id FROM stories WHERE summary_embedding IS NOT NULL AND story_id % 20 <> 0")(lambda c: upserted(c).filter(F.col("summary_embedding").isNotNull()).select("story_id"))
 query("M04_bridge_insert", "SELECT story_id, fandom_id FROM story_fandoms UNION SELECT story_id, 7 FROM story_fandoms WHERE story_id % 9 = 0")(
     lambda c: ingest.add_bridge(c("story_fandoms"), c("story_fandoms").filter("story_id % 9 = 0").select("story_id", F.lit(7).alias("fandom_id"))).select("story_id", "fandom_id")
@@ -633,7 +707,6 @@ query("M07_pair_upsert", "SELECT fandom_id_a, fandom_id_b FROM pairs UNION SELEC
 query("M08_embedding_write_back", "SELECT story_id, len(summary_embedding)::INT AS dims FROM (SELECT story_id, coalesce(summary_embedding, CASE WHEN deleted_at IS NULL THEN (SELECT embedding FROM embeddings LIMIT 1) END) AS summary_embedding FROM stories) x WHERE summary_embedding IS NOT NULL")(
     lambda c: ingest.write_back(c.embedded, vectors.embed_missing(c.embedded, dims=64)).filter("summary_embedding IS NOT NULL").select("story_id", F.size("summary_embedding").alias("dims"))
 )
-REGISTRY["G07_embedding_worker"] = REGISTRY["M08_embedding_write_back"]
 query("Q04_crawl_state_lookup", "SELECT surface_key, last_page, is_exhausted FROM crawl_state WHERE surface_key = 'browse:book/Fandom-4'")(lambda c: c("crawl_state").filter("surface_key = 'browse:book/Fandom-4'").select("surface_key", "last_page", "is_exhausted"))
 
 
@@ -652,9 +725,9 @@ def _(c: Corpus) -> DataFrame:
 
 # --- named queries
 
-query("N03_stats", f"SELECT count(*) AS stories, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE {ABANDONED}) AS abandoned, count(*) FILTER (WHERE len(ships) > 0) AS with_ships, count(*) FILTER (WHERE is_crossover) AS crossovers, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS total_words, CAST(CAST(min(published_at) AS DATE) AS VARCHAR) AS earliest, CAST(CAST(max(published_at) AS DATE) AS VARCHAR) AS latest, '{AS_OF}' AS computed_at FROM live")(
-    lambda c: analytics.stats(c.stories)
-)
+STATS = f"SELECT count(*) AS stories, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE {ABANDONED}) AS abandoned, count(*) FILTER (WHERE len(ships) > 0) AS with_ships, count(*) FILTER (WHERE is_crossover) AS crossovers, CAST(coalesce(sum(word_count), 0) AS BIGINT) AS total_words, CAST(CAST(min(published_at) AS DATE) AS VARCHAR) AS earliest, CAST(CAST(max(published_at) AS DATE) AS VARCHAR) AS latest, '{AS_OF}' AS computed_at FROM live"
+query("N03_stats", STATS)(lambda c: analytics.stats(c.stories))
+query("G08_kept_statistics", f"WITH {CHANGED} {STATS.replace('live', 'changed')}")(lambda c: versions.kept_stats(changed_three_times(c)))
 query("N04_abandonment_report", f"SELECT story_id, title, author_name, word_count, chapter_count, CAST(CAST(updated_at AS DATE) AS VARCHAR) AS last_touched, CAST(date_part('year', age({TS}, updated_at)) AS INT) AS years_stale, favorite_count FROM live WHERE {ABANDONED} AND word_count > 20000 ORDER BY favorite_count DESC, story_id DESC LIMIT 20")(
     lambda c: analytics.abandonment_report(c.stories)
 )

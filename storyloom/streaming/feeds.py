@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from storyloom.operators.versions import VersionedTable
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -27,6 +29,12 @@ def ingest_feed(feed: DataFrame, checkpoint: str, upsert: Callable[[DataFrame],
     run_available(feed, checkpoint, lambda batch, _: upsert(batch))
 
 
+def ingest_once(feed: DataFrame, checkpoint: str, table: VersionedTable, name: str, apply: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """The poll for mutations that are not idempotent: a batch's number is committed with its rows, so a batch that is
+    handed in again after a failure changes nothing. `name` must stay that of the stream."""
+    run_available(feed, checkpoint, lambda batch, number: table.upsert(batch, apply, name, number))
+
+
 def with_event_time(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
 

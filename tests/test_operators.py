@@ -125,33 +125,40 @@ def test_walk(spark):
     assert [r.surface_key for r in walk.aborts_all(log).collect()] == ["b"]
 
 
-def test_snapshots(spark, tmp_path):
-    store = ingest.SnapshotStore(spark, f"file://{tmp_path}/store")
-    with pytest.raises(KeyError):
-        store.read("x")
-    old = store.swap("x", spark.range(3))
-    new = store.swap("x", old.filter("id > 0"))
-    assert (old.count(), new.count(), store.version("x"), store.read("x").count()) == (3, 2, 2, 2)
-
-
-def test_buckets_are_rewritten_alone(spark, tmp_path):
-    store = ingest.BucketedStore(spark, f"file://{tmp_path}/store", buckets=8)
-    with pytest.raises(KeyError):
-        store.read("stories")
-    rows = frame(spark, *[{} for _ in range(40)])
-    store.swap("stories", rows)
-    before = {f for r in store.read("stories").select(F.input_file_name()).distinct().collect() for f in r}
-    batch = frame(spark, *[{"story_id": i, "title": "new"} for i in (3, 100)])
-    touched = store.upsert("stories", batch, ingest.upsert_stories)
-    after = {f for r in store.read("stories").select(F.input_file_name()).distinct().collect() for f in r}
-    assert 1 <= len(touched) <= 2 and len(before - after) <= 2 and len(before & after) >= 5
-    found = {r.story_id: r.title for r in store.read("stories").collect()}
-    assert len(found) == 41 and found[3] == found[100] == "new" and found[4] == "T4"
-    assert sorted(map(str, store.read("stories").drop("summary_embedding").collect())) == sorted(map(str, ingest.upsert_stories(rows, batch).drop("summary_embedding").collect()))
-    assert store.upsert("stories", batch.limit(0), ingest.upsert_stories) == []
-    with store.exclusive("stories"), pytest.raises(RuntimeError):
-        store.upsert("stories", batch, ingest.upsert_stories)
-    assert len(store.upsert("stories", batch, ingest.upsert_stories)) == len(touched)
+def test_an_old_row_without_a_first_sight_is_known(spark):
+    rows = frame(spark, {}, {}).withColumn("author_id", F.lit(7).cast("long")).withColumn("first_seen_at", F.lit(None).cast("timestamp")).withColumn("_mark", F.lit(1))
+    got = {r.story_id: r for r in ingest.upsert_stories(rows, frame(spark, {}).withColumn("author_id", F.lit(9).cast("long")).drop("first_seen_at")).collect()}
+    assert len(got) == 2 and all(r.author_id == 7 and r.first_seen_at is None and r._mark == 1 for r in got.values())
+    twice = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, _n string, at int")
+    assert [tuple(r) for r in ingest.last_wins(twice, ["k"], "at").collect()] == [(1, "b")]
+
+
+def test_tail_matches_equal_the_pattern_join(spark):
+    left = spark.createDataFrame([(k, t) for k, t in enumerate(["a-and-b", "a-and-b-and-c", "b", "-and-", "x-and-and-b", "q-and-a%b", "q-and-axb", "q-and-a_b", "q-and-abb-and-", "A-and-B", "q-and-a\\b", None])], "i int, t string")
+    right = spark.createDataFrame([(k, s) for k, s in enumerate(["b", "c", "b-and-c", "", "and-b", "a%b", "a_b", "%", "_", "a\\\\b", None])], "j int, s string")
+    want = left.join(right, F.expr("t LIKE concat('%-and-', s)")).select("i", "j")
+    got = ingest.tail_matches(left, "t", right, "s")
+    assert got.columns == ["i", "t", "j", "s"] and sorted(map(tuple, got.select("i", "j").collect())) == sorted(map(tuple, want.collect()))
+    plan = ingest.tail_matches(left, "t", right.filter("s = 'b'"), "s")._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("kind", ["int", "double", "decimal(12,3)", "long"])
+def test_order_statistics(spark, monkeypatch, kind):
+    monkeypatch.setattr(analytics, "FEW_VALUES", 5)
+    monkeypatch.setattr(analytics, "RANGES", 4)
+    df = spark.range(300).select(F.when(F.col("id") % 11 > 0, ((F.col("id") * 7919 % 131) * F.col("id") - 500) / (1 if kind in ("int", "long") else 8)).cast(kind).alias("v"))
+    values = sorted(r.v for r in df.filter("v IS NOT NULL").collect())
+    for rank in (0, 1, 100, len(values) // 2, len(values) - 1):
+        assert analytics.order_statistic(df, "v", rank) == values[rank]
+    assert analytics.order_statistic(df, "v", len(values)) is None and analytics.order_statistic(df.limit(0), "v", 0) is None
+
+
+def test_facet_limits_hold_before_the_sort(spark):
+    counts = spark.createDataFrame([(f, f"v{k}", k % 9) for f in ("genres", "ships") for k in range(40)], "facet string, value string, count int")
+    top = analytics.top_facets(counts, {"genres": 3, "ships": 5})
+    assert sorted((r.facet, r["count"]) for r in top.collect()) == [("genres", 8)] * 3 + [("ships", 7)] + [("ships", 8)] * 4
+    assert "WindowGroupLimit" in top._jdf.queryExecution().executedPlan().toString()
 
 
 def test_inverted_table_equals_the_scan(spark, tmp_path):
