@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import listing, vectors
 from storyloom.functions import text as fulltext
-from storyloom.operators import analytics, ingest, search, textindex, versions, walk
+from storyloom.operators import analytics, bitmaps, ingest, search, signindex, textindex, versions, walk
 from storyloom.operators.filters import SearchFilters, filtered, is_abandoned, is_abandoned_by_days, overlaps
 from storyloom.plans import corpus
 from storyloom.plans.corpus import AS_OF
@@ -549,6 +549,44 @@ query(
     f"SELECT story_id, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS similarity FROM (SELECT story_id, {GRAMS.format(p='p')} AS a, {GRAMS.format(p='q')} AS b FROM (SELECT story_id, concat('  ', lower(title), ' ') AS p, '  the and ' AS q FROM stories_base) x) y",
 )(lambda c: c.stories.select("story_id", F.round(fulltext.title_similarity(F.col("title"), "the and"), 6).alias("similarity")))
 
+# the nearest by sign bits from a stored index, whose radius grows until they are proven
+
+
+def signed_search(c: Corpus, f: SearchFilters, k: int | None = None) -> DataFrame:
+    """A search by an index of its own, with a folder of each chunk for about 100,000 vectors."""
+    slot_bits = min(signindex.SLOT_BITS, max(2, (c("embeddings").count() // 100_000).bit_length()))
+    return signindex.search(c.embedded, signindex.write_index(c.embedded, scratch_path(c.spark, "signs"), 64, slot_bits), f, k=k, slot_bits=slot_bits)
+
+
+for _name, _k, _where, _filters in (("V04_nearest_signs", 5, "true", {}), ("V04_nearest_signs_filtered", 2, "status = 'in_progress'", {"status": "in_progress"})):
+    query(_name, f"SELECT story_id, {NEAR} AS hamming FROM {QUERY_VECTOR} AND {_where}) x ORDER BY hamming ASC, story_id DESC LIMIT {_k}")(
+        lambda c, k=_k, own=_filters: signed_search(c, SearchFilters(vector=c.query_vector, sort="semantic", **own), k).select("story_id", F.col("hamming").cast("int").alias("hamming"))
+    )
+query("V04_two_phase_indexed", TWO_PHASE)(lambda c: signed_search(c, SearchFilters(vector=c.query_vector, sort="semantic", status="in_progress")).select("story_id"))
+
+# array filters from stored bitmaps
+
+
+def by_bitmap(name: str, where: str, **filters) -> None:
+    f = SearchFilters(**filters)
+    query(f"{name}_bitmaps", f"SELECT story_id FROM live WHERE {where}")(lambda c: bitmaps.narrowed(c.stories, bitmaps.write_index(c.stories, scratch_path(c.spark, "bitmaps")), f).select("story_id"))
+
+
+by_bitmap("F07_genre_overlap", "list_has_any(genres, ['Humor', 'Romance'])", genres=["Humor", "Romance"])
+by_bitmap("F08_genre_exclude", "NOT list_has_any(genres, ['Romance', 'Horror'])", excluded_genres=["Romance", "Horror"])
+by_bitmap("F09_character_overlap", "list_has_any(characters, ['OC', 'Ciel P.'])", characters=["OC", "Ciel P."])
+by_bitmap("F10_character_exclude", "NOT list_has_any(characters, ['OC'])", excluded_characters=["OC"])
+by_bitmap("F11_ship_one_group", "len(list_filter(ships, lambda g: len(list_distinct(list_intersect(g, ['Harry P.', 'Ginny W.']))) = 2)) > 0", ship=["Ginny W.", "Harry P.", "Harry P."])
+INSIDE = SearchFilters(genres=["Romance", "Humor"], excluded_characters=["OC"])
+INSIDE_SQL = "list_has_any(genres, ['Romance', 'Humor']) AND NOT list_has_any(characters, ['OC'])"
+
+
+@query("N02_facets_inside_filter", f"SELECT 'genres' AS facet, g AS value, count(*) AS count FROM (SELECT unnest(genres) AS g FROM live WHERE {INSIDE_SQL}) x GROUP BY g UNION ALL SELECT 'characters', g, count(*) FROM (SELECT unnest(characters) AS g FROM live WHERE {INSIDE_SQL}) x GROUP BY g")
+def _(c: Corpus) -> DataFrame:
+    index = bitmaps.write_index(c.stories, scratch_path(c.spark, "bitmaps"))
+    return bitmaps.facet_counts(index, bitmaps.matching(index, INSIDE))
+
+
 # --- streams and state
 
 
@@ -735,6 +773,9 @@ query("N05_length_adjusted", f"SELECT story_id, title, author_name, word_count,
 query("N06_ship_leaderboard", f"{LEADERS} ORDER BY stories DESC, ship LIMIT 20")(lambda c: analytics.ship_leaderboard(c.stories))
 N07 = "SELECT story_id, title, author_name, array_to_string(genres, '|') AS genres, array_to_string(characters, '|') AS characters, word_count, favorite_count FROM live WHERE status = 'complete' AND word_count > 10000 AND NOT list_has_any(genres, ['Romance']) AND NOT list_has_any(characters, ['OC']) ORDER BY favorite_count DESC, story_id DESC LIMIT 20"
 query("N07_exclusions", N07)(lambda c: analytics.exclusions(c.stories))
+query("N07_exclusions_bitmaps", N07)(
+    lambda c: analytics.exclusions(bitmaps.narrowed(c.stories, bitmaps.write_index(c.stories, scratch_path(c.spark, "bitmaps")), SearchFilters(excluded_genres=["Romance"], excluded_characters=["OC"])))
+)
 query("N08_corpus_shape", "SELECT count(*) AS stories, count(DISTINCT author_id) AS authors, count(*) FILTER (WHERE status = 'complete') AS complete, count(*) FILTER (WHERE len(ships) > 0) AS with_ships, count(*) FILTER (WHERE is_crossover) AS crossovers, count(DISTINCT language) AS languages, CAST(sum(strlen(summary) + strlen(title)) AS BIGINT) AS text_bytes, CAST(CAST(min(published_at) AS DATE) AS VARCHAR) AS earliest, CAST(CAST(max(published_at) AS DATE) AS VARCHAR) AS latest FROM live")(
     lambda c: analytics.corpus_shape(c.stories)
 )
