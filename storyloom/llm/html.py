@@ -8,7 +8,9 @@ carries goes on hosts of every size, while a passage that many articles share st
 serves on many pages, which counts once.
 
 Elements that are furniture by tag, role or the whole of a class or id (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) go as well. Parts of names are a hint on pages without an article only.
+forms, scripts, styles, reader comments) go as well. Inside an article only containers go by name: its headings,
+paragraphs and asides without such a name stay unless the counts call them template. Parts of names are a hint on pages
+without an article only.
 
 Null html counts as empty and gives an empty text; a null url counts as a host without a name. Pages that repeat are
 counted once per distinct html and host, and get equal texts. Broken markup never fails: unclosed elements end with
@@ -220,7 +222,7 @@ def is_main(node: Node) -> bool:
 def is_furniture(node: Node, in_article: bool, hints: bool) -> bool:
     """hints: whether a part of a name counts."""
     tag, a = node.tag, node.attributes
-    if tag in FURNITURE_TAGS or tag == "header" and not in_article:
+    if tag in FURNITURE_TAGS and not (in_article and tag == "aside") or tag == "header" and not in_article:
         return True
     names = [x.lower() for x in (*a.get("class", "").split(), *a.get("id", "").split())] if a else []
     if tag == "article":
@@ -229,8 +231,10 @@ def is_furniture(node: Node, in_article: bool, hints: bool) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or HIDDEN_STYLE.search(a.get("style", "")):
         return True
-    if a.get("role", "").lower() in FURNITURE_ROLES or not NAMES.isdisjoint(names):
+    if a.get("role", "").lower() in FURNITURE_ROLES:
         return True
+    if not NAMES.isdisjoint(names):
+        return not in_article or tag in CONTAINERS or tag == "aside"  # a heading or paragraph of the article stays
     return hints and tag in CONTAINERS and any(NAME_PART.search(x) for x in names)
 
 

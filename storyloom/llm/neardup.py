@@ -29,6 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.ingest import free_name
+
 from .common import WordHashes, discard, mix64, shingle_hashes, slices, stored, utf8
 from .components import components
 
@@ -355,9 +357,10 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Texts that nothing links stay, each once per id; rows with a null id stay."""
     rows, named = grouped(df, id_col, text_col, size, percent)
     rows = rows.filter(F.col("id").isNotNull())
+    own_id, own_mark, place = (free_name(x, df) for x in ("_near_id", "_near_mark", "_near_n"))
     best = rows.join(named, "digest").groupBy("cluster").agg(F.min(F.struct("id", "mark")).alias("x")).select("x.id", "x.mark")
-    kept = best.unionByName(rows.filter(F.col("digest").isNull()).select("id", "mark")).distinct().select(F.col("id").alias("_near_id"), F.col("mark").alias("_near_mark"))
-    once = Window.partitionBy("_near_id", "_near_mark").orderBy("_near_mark")
-    held = df.filter(F.col(id_col).isNotNull()).withColumn("_near_id", F.col(id_col).cast("long")).withColumn("_near_mark", F.xxhash64(text_col))
-    one = held.join(kept, ["_near_id", "_near_mark"], "left_semi").withColumn("_near_n", F.row_number().over(once)).filter("_near_n = 1")
+    kept = best.unionByName(rows.filter(F.col("digest").isNull()).select("id", "mark")).distinct().select(F.col("id").alias(own_id), F.col("mark").alias(own_mark))
+    once = Window.partitionBy(own_id, own_mark).orderBy(own_mark)
+    held = df.filter(F.col(id_col).isNotNull()).withColumn(own_id, F.col(id_col).cast("long")).withColumn(own_mark, F.xxhash64(text_col))
+    one = held.join(kept, [own_id, own_mark], "left_semi").withColumn(place, F.row_number().over(once)).filter(F.col(place) == 1)
     return one.select(*df.columns).unionByName(df.filter(F.col(id_col).isNull()))

@@ -5,9 +5,10 @@ version, and each (path, blob) that a scan has ever seen. A scan takes only blob
 rule version, appends what it finds, and joins the findings back to the paths: of the present table, or, by history(),
 of every version of every path.
 
-Where the ledger has nothing under the rule version yet, every blob is unseen and rows are scanned where they lie, in one
-narrow pass. Else the (id, blob) pairs meet the ledger first, and only texts of unseen blobs are read on: by a broadcast
-of their names where these are few (SMALL, counted), beyond that by a join.
+The (id, blob) pairs meet the ledger first, and of each unseen blob the row with the smallest id is scanned, whatever task
+the others lie in. Where the ledger has nothing under the rule version yet, rows are scanned where they lie, but for
+copies of such a row. The names that rows must meet go to them by broadcast where they are few (SMALL, counted), beyond
+that by a join.
 
 Null text counts as empty; an empty text has a blob and no findings. Rows that repeat share a blob, and each gets its
 findings. Extra columns stay out of the result. Spans are code points, end exclusive.
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from storyloom.operators.ingest import free_name
+
 from .common import discard, new_path, slices, stored
 
 #: (kind, pattern, group whose length counts, least length). A match that is too short is dropped but takes its text.
@@ -131,16 +134,16 @@ def take_in(df: DataFrame, ledger: Ledger, id_col: str = "doc_id", text_col: str
     """Scans the blobs of df that the ledger lacks under the rules' version; returns the stored (id, blob) of every row."""
     version, rows = rule_version(rules), _named(df, id_col, text_col)
     seen = ledger.blobs(version).select("blob")
-    if seen.isEmpty():
-        found = stored(scan_blobs(rows, rules), "scanned")
-        ledger.append(found, version)
-        paths = found.select("id", "blob")
-    else:
-        paths = stored(rows.select("id", "blob"), "paths")
-        unseen = stored(paths.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
-        few = F.broadcast(unseen) if unseen.count() <= SMALL else unseen
-        ledger.append(scan_blobs(rows.join(few, "blob", "left_semi"), rules), version)
-        discard(unseen)
+    paths = stored(rows.select("id", "blob"), "paths")
+    named = paths.groupBy("blob").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    fresh = seen.isEmpty()
+    # one row speaks for a blob. Where nothing was seen yet, only blobs of several rows need to be known for that
+    wanted = stored((named.filter("n > 1") if fresh else named.join(seen, "blob", "left_anti")).select("blob", "first"), "unseen")
+    few = F.broadcast(wanted) if wanted.count() <= SMALL else wanted
+    met = rows.join(few.withColumn("known", F.lit(True)), "blob", "left" if fresh else "inner")
+    texts = met.filter(F.col("known").isNull() | F.col("id").eqNullSafe(F.col("first")))
+    ledger.append(scan_blobs(texts, rules), version)
+    discard(wanted)
     ledger.append_paths(paths)
     return paths
 
@@ -187,8 +190,9 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledg
     what was found; else findings come from the ledger, by blob."""
     ledger, version = ledger or Ledger(df.sparkSession), rule_version(rules)
     fresh = ledger.blobs(version).isEmpty()
-    named = df.withColumn("_blob", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    schema = StructType([*named.schema.fields, StructField("_found", ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))])
+    blob, found_ = free_name("_blob", df), free_name("_found", df)
+    named = df.withColumn(blob, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    schema = StructType([*named.schema.fields, StructField(found_, ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _compiled(rules)
@@ -196,16 +200,16 @@ def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledg
             for part in slices(batch, text_col):
                 k = part.schema.get_field_index(text_col)
                 texts = part.column(k).to_pylist()
-                found = found_in(part.column("_blob").to_pylist(), texts, own) if fresh else part.column("_found").to_pylist()
+                found = found_in(part.column(blob).to_pylist(), texts, own) if fresh else part.column(found_).to_pylist()
                 texts = [redact(x, f) if f else x for x, f in zip(texts, found, strict=True)]
                 part = part.set_column(k, text_col, pa.array(texts, part.column(k).type))
-                yield part.append_column("_found", pa.array(found, KIND)) if fresh else part
+                yield part.append_column(found_, pa.array(found, KIND)) if fresh else part
 
     if fresh:
         out = stored(named.mapInArrow(work, schema), "redacted")
-        ledger.append(out.select(F.col("_blob").alias("blob"), F.col("_found").alias("findings")), version)
-        ledger.append_paths(out.select(F.col(id_col).alias("id"), F.col("_blob").alias("blob")))
+        ledger.append(out.select(F.col(blob).alias("blob"), F.col(found_).alias("findings")), version)
+        ledger.append_paths(out.select(F.col(id_col).alias("id"), F.col(blob).alias("blob")))
         return out.select(*df.columns)
     discard(take_in(df, ledger, id_col, text_col, rules))
-    known = stored(ledger.blobs(version).filter(F.size("findings") > 0).dropDuplicates(["blob"]), "findings").select(F.col("blob").alias("_blob"), F.col("findings").alias("_found"))
-    return named.join(known, "_blob", "left").select(*named.columns, "_found").mapInArrow(work, schema).select(*df.columns)
+    known = stored(ledger.blobs(version).filter(F.size("findings") > 0).dropDuplicates(["blob"]), "findings").select(F.col("blob").alias(blob), F.col("findings").alias(found_))
+    return named.join(known, blob, "left").select(*named.columns, found_).mapInArrow(work, schema).select(*df.columns)

@@ -34,6 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from storyloom.operators.ingest import free_name
+
 from .common import hashed_words, mix64, shingle_hashes, slices, stored, utf8
 
 SHINGLE, WORDS, HASHES = 5, 50, 2
@@ -503,12 +505,13 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every later occurrence of a repeated passage cut from its text; other columns and all rows stay."""
     found = repeated_passages(df, id_col, text_col).filter(~F.col("kept"))
-    lists = found.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("_spans"))
+    key, spans = free_name("_id", df), free_name("_spans", df)
+    lists = found.groupBy(F.col(id_col).cast("long").alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(spans))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index(text_col)
-            texts = [x if not s or x is None else cut_words(x, [(p["start_word"], p["end_word"]) for p in s]) for x, s in zip(batch.column(k).to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
-            yield batch.set_column(k, text_col, pa.array(texts, batch.column(k).type)).drop_columns(["_spans"])
+            texts = [x if not s or x is None else cut_words(x, [(p["start_word"], p["end_word"]) for p in s]) for x, s in zip(batch.column(k).to_pylist(), batch.column(spans).to_pylist(), strict=True)]
+            yield batch.set_column(k, text_col, pa.array(texts, batch.column(k).type)).drop_columns([spans])
 
-    return df.join(lists, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id").mapInArrow(work, df.schema)
+    return df.join(lists, F.col(id_col).cast("long") == F.col(key), "left").drop(key).mapInArrow(work, df.schema)

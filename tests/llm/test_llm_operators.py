@@ -52,6 +52,17 @@ def test_every_operator_takes_odd_and_empty_tables(spark, odd, none):
     assert neardup.one_of_each(none).count() == 0 and quality.only_kept(odd, labels).count() <= odd.count()
 
 
+def test_columns_named_like_the_operators_own_stay(spark):
+    """The operators that return the rows of their table keep its columns, whatever these are called."""
+    schema = "doc_id long, text string, _id string, _spans string, _blob string, _found string, _near_id string, _near_mark long, _near_n int"
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = docs(spark, [(1, f"one {passage}"), (2, f"two {passage} token=zzzzzzzzzzzzzzzz"), (3, "a b c d e"), (4, "A b c d e")], schema)
+    rows = rows.withColumns({c: F.lit("7").cast(t) for c, t in rows.dtypes[2:]})
+    for out, ids in ((substring.without_repeats(rows), {1, 2, 3, 4}), (secrets.redacted(rows), {1, 2, 3, 4}), (neardup.one_of_each(rows), {1, 3})):
+        found = out.collect()
+        assert out.columns == rows.columns and {r.doc_id for r in found} >= ids and all(str(x) == "7" for r in found for x in r[2:])
+
+
 def test_bpe_columns(spark):
     (r,) = bpe.encode_documents(docs(spark, [(1, "hello <|endoftext|> wörld")]), VOCAB).collect()
     assert r.n_tokens == len(r.ids) // 4 and r.decoded_sha256 == hashlib.sha256("hello <|endoftext|> wörld".encode()).hexdigest()
@@ -269,11 +280,18 @@ def test_long_texts_keep_their_places():
 def test_scan_uses_the_ledger(spark, monkeypatch, small):
     monkeypatch.setattr(secrets, "SMALL", small)
     rows = docs(spark, [(1, "token=zzzzzzzzzzzzzzzz"), (2, "token=zzzzzzzzzzzzzzzz"), (3, "clean"), (None, "AKIA" + "B" * 16)])
-    ledger, scanned = secrets.Ledger(spark), []
+    ledger, scanned, rows_scanned = secrets.Ledger(spark), [], []
     real = secrets.scan_blobs
-    monkeypatch.setattr(secrets, "scan_blobs", lambda t, r: (scanned.append({x.blob for x in t.collect()}), real(t, r))[1])
+
+    def watched(texts, rules):
+        own = texts.collect()
+        scanned.append({x.blob for x in own})
+        rows_scanned.append(len(own))
+        return real(texts, rules)
+
+    monkeypatch.setattr(secrets, "scan_blobs", watched)
     first = {r.doc_id: len(r.findings) for r in secrets.scan(rows, ledger=ledger).collect()}
-    assert first == {1: 1, 2: 1, 3: 0, None: 1} and len(scanned[-1]) == 3
+    assert first == {1: 1, 2: 1, 3: 0, None: 1} and len(scanned[-1]) == rows_scanned[-1] == 3  # a blob of two paths is scanned once, also by the first scan
     more = docs(spark, [(1, "token=zzzzzzzzzzzzzzzz"), (2, "token=yyyyyyyyyyyyyyyy"), (3, "clean"), (4, "new secret: 0123456789abcdef0")])
     assert {r.doc_id: len(r.findings) for r in secrets.scan(more, ledger=ledger).collect()} == {1: 1, 2: 1, 3: 0, 4: 2} and len(scanned[-1]) == 2
     # both versions of the second path, and the path that is gone
@@ -487,10 +505,58 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert sorted(str([r[c] for c in sorted(names)]) for r in df.collect()) == sorted(str([v for _, v in sorted(zip(names, r, strict=True))]) for r in found.fetchall())
 
 
-def test_pipeline(spark, sf_dir):
+def shared_windows(texts, size=50):
+    """Windows of `size` words that occur at two places."""
+    seen = collections.Counter(tuple(w[k : k + size]) for w in (t.split() for t in texts) for k in range(len(w) - size + 1))
+    return sum(n > 1 for n in seen.values())
+
+
+def test_pipeline_stage_by_stage(spark, sf_dir):
+    """Each stage on what its predecessor kept, against plain Python, and all together as run() has it."""
+    start = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    now, texts = start, {r.doc_id: r.text for r in start.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.stored(stage(spark, now, sf_dir), name)
+        got = {r.doc_id: r.text for r in after.collect()}
+        assert after.columns == start.columns and set(got) <= set(texts)
+        if name == "quality_rules":
+            assert got == {i: t for i, t in texts.items() if i in {r.doc_id for r in quality.judge(now, labels).filter("kept").collect()}} and len(got) < len(texts)
+            assert not any(len((t or "").split()) < 50 for t in got.values())
+        elif name == "near_dedup":
+            groups = brute_near(sorted(texts.items()))
+            assert got == {i: texts[i] for i, (_, c) in groups.items() if i == c}
+        elif name == "substring_dedup":
+            assert set(got) == set(texts) and shared_windows(texts.values()) > 0 == shared_windows(got.values())
+        else:
+            assert set(got) == set(texts) and all(len(plain_secrets(t)) and plain_secrets(t)[:3] == (0, 0, 0) for t in got.values())
+            assert {i for i in got if got[i] != texts[i]} >= {i for i, t in texts.items() if any(plain_secrets(t)[:3])}
+        now, texts = after, got
+    own = Tokenizer.from_file(VOCAB)
+    want = collections.Counter()
+    for i, text in texts.items():
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        for piece, (at, n) in enumerate(packing.cut(len(ids))):
+            want[i, piece, at, n, zlib.crc32(ids[at : at + n].tobytes())] += 1
     out = corpus_pipeline.run(spark, sf_dir)
     assert set(out.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
-    start = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    first = corpus_pipeline.STAGES[0][1](spark, start, sf_dir)
-    assert first.columns == start.columns and 0 < first.count() < start.count()
-    assert out.select("doc_id").distinct().count() <= first.count()
+    rows = out.collect()
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    held = collections.defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append((r.offset, r.length))
+    for own in held.values():
+        assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1].tolist()] and sum(n for _, n in own) <= packing.LENGTH
+
+
+def test_pipeline_takes_odd_and_empty_tables(spark, tmp_path, odd):
+    spark.createDataFrame([(5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = odd.withColumns({"n_chars": F.length("text"), "_id": F.lit("x"), "_blob": F.lit("x"), "_near_id": F.lit("x")})
+    blank = docs(spark, [(20, "word " * 60 + " " * 1_200_000 + "end")]).select(*[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(t).alias(c) for c, t in more.dtypes])
+    more.unionByName(blank).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert 4 in kept and not kept & {1, 2, 3}
+    empty = tmp_path / "empty"
+    more.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0

@@ -268,6 +268,9 @@ def test_names_inside_the_article_keep_their_text():
     kept = '<p class="side-effects">a</p><section id="related-work">b</section><h2 class="notice-title">c</h2><div class="comment-free">d</div><p id="search-for-truth">e</p>'
     assert text_of(f"<article>{kept}<div class='comments'>no</div></article>") == "a b c d e"
     assert text_of(kept) == "a c e"  # without an article names of containers are a hint
+    whole = '<h2 class="notice">a</h2><p id="search">b</p><p class="comments">c</p><p class="share">d</p><aside>e</aside>'
+    assert text_of(f'<article>{whole}<aside class="advert">no</aside><section class="comments">no</section></article>') == "a b c d e"
+    assert text_of(whole) == ""
 
 
 @pytest.mark.parametrize("piece", ['<a "', "<b>", "</i>", '<a "> "', "<a '>", "<b><p></p>", "<li>", "<td><b></i>", "<!--", "<", "<table><tr><td>", "&#x", "<p><b>"])
