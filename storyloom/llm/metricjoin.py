@@ -9,8 +9,11 @@ texts, then by hash). The window follows from the triangle inequality with x's f
 without any of them has d(y, P) = 1, x has d(x, P) = 1 - w / |x|, so d(x, y) >= w / |x|, which exceeds EPS from
 w = floor(EPS |x|) + 1 on. Each node is replicated to the regions of its w rarest shingles, and linked nodes meet in one.
 
+Shared regions are cut by size: the empty set is a pivot from which sets that link are at most EPS of the larger size apart,
+so a node goes to the band of its size on a scale of steps of 1 / (1 - EPS), and to the next one.
+
 A region first links its members to one of them (a star), which settles groups of copies. Regions that still hold several
-components join exactly. Those of more than LEAF members are cut again, with about PIVOTS of their documents as pivots:
+components join exactly, a share of the regions first, as their links leave fewer open ones. Those of more than LEAF members are cut again, with about PIVOTS of their documents as pivots:
 x belongs to the nearest pivot within RADIUS, else to the far region; by the triangle inequality it is replicated to a
 pivot p with d(x, p) <= min(RADIUS, d(x, nearest)) + EPS (+ EPS more for the nearest one's border), and to the far region
 from d(x, nearest) > RADIUS - EPS on. That recurs to DEPTH levels while it halves the pairs; what no pivot parts is compared
@@ -25,6 +28,7 @@ columns stay out of the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,6 +46,8 @@ SHINGLE, PERCENT = 3, 90
 CLASS_BITS = 16
 #: Regions over LEAF members are cut by PIVOTS of their documents (on average), at most DEPTH times.
 LEAF, PIVOTS, DEPTH, RADIUS = 512, 8, 4, 0.5
+#: One in so many regions joins in the first round.
+AHEAD = 8
 #: Members of a region that one task routes.
 ROUTED = 4096
 #: Up to so many nodes (32 bytes each) go to the texts by broadcast when their sets are wanted; more meet by a shuffle.
@@ -186,18 +192,20 @@ def features(df: DataFrame, id_col: str, text_col: str, size: int, percent: int,
     return rows.mapInArrow(work, "id long, n_shingles long, digest binary, rarest binary, parity binary")
 
 
-def first_regions(nodes: DataFrame) -> DataFrame:
-    """(node, rarest) to one row per region: key, node."""
+def first_regions(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, rarest, parity) to one row per region: key, node, band of the node's size."""
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 keys = [np.frombuffer(x, dtype=np.int64) for x in part.column("rarest").to_pylist()]
-                rows = np.repeat(part.column("node").to_numpy(), [len(k) for k in keys])
-                yield pa.record_batch({"key": pa.array(np.concatenate(keys)), "node": pa.array(rows)})
+                each = [len(k) for k in keys]
+                bands = np.floor(np.log(_sizes(part.column("parity").to_pylist())) / step).astype(np.int64)
+                yield pa.record_batch({"key": pa.array(np.concatenate(keys)), "node": pa.array(np.repeat(part.column("node").to_numpy(), each)), "band": pa.array(np.repeat(bands, each))})
 
-    return nodes.select("node", "rarest").mapInArrow(work, "key long, node long")
+    return nodes.select("node", "rarest", "parity").mapInArrow(work, "key long, node long, band long")
 
 
 def member_sets(df: DataFrame, id_col: str, text_col: str, size: int, owners: DataFrame) -> DataFrame:
@@ -305,25 +313,36 @@ def links(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, no
     def sets(wanted: DataFrame) -> DataFrame:
         return member_sets(df, id_col, text_col, size, nodes.join(wanted, "node", "left_semi"))
 
-    keys = first_regions(nodes)
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
-    met = stored(keys.join(hubs, "key"), "met")
+    keys = first_regions(nodes, percent)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    banded = keys.join(shared, "key").select(F.explode(F.array(F.xxhash64("key", "band"), F.xxhash64("key", F.col("band") + 1))).alias("key"), "node")
+    banded = stored(banded, "banded")
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
+    met = stored(banded.join(hubs, "key"), "met", drop=(banded,))
     star = met.filter(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(near_pairs(star, nodes, percent), "pairs")
     members = sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    stars = stored(confirmed(pairs, members, percent), "links", drop=(pairs, members))
-    labels = components(stars).withColumnRenamed("id", "node")
+    edges = stored(confirmed(pairs, members, percent), "links", drop=(pairs, members))
+    ahead = F.pmod("key", F.lit(AHEAD)) == 0
+    for share in (ahead, ~ahead):
+        edges = edges.unionByName(across(met.filter(share), edges, nodes, sets, percent, **how))
+    discard(met)
+    return edges
+
+
+def across(met: DataFrame, edges: DataFrame, nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, **how) -> DataFrame:
+    """Links between components of `edges` that share a region of met (key, node); a stored table."""
+    labels = stored(components(edges).withColumnRenamed("id", "node"), "labels")
     left = open_regions(met, labels)
     regions = cut(left.select("key", "node"), sets, percent, **how)
-    discard(met)
     named = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
     sketched = nodes.select("node", F.col("parity").alias("value"))
     near = stored(in_blocks(named.join(several, "key"), sketched, near_nodes(percent), "key long, node long, component long").distinct(), "near")
+    once = near.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s")).groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
     members = sets(near.select("node").distinct())
     whole = members.select("node", F.col("members").alias("value"))
-    across = stored(in_blocks(near, whole, cross_links(percent), "a long, b long").distinct(), "links", drop=(near, members))
-    return stars.unionByName(across)
+    return stored(in_blocks(near.join(once, "key"), whole, cross_links(percent), "a long, b long").distinct(), "links", drop=(near, members, labels))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, leaf: int = LEAF, pivots: int = PIVOTS, depth: int = DEPTH, radius: float = RADIUS) -> DataFrame:
