@@ -165,12 +165,13 @@ def rank(query: str, stemmed: bool = False) -> Column:
     return F.round(reduce(lambda a, b: a + b, tf), 6)
 
 
-def title_similarity(title: Column, wanted: str) -> Column:
-    """Jaccard similarity of the 3-grams of two lower-case texts."""
+def grams(x: Column) -> Column:
+    """The distinct 3-grams of a lower-case text with two spaces before and one after it."""
+    padded = F.concat(F.lit("  "), F.lower(x), F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
 
-    def grams(x: Column) -> Column:
-        padded = F.concat(F.lit("  "), F.lower(x), F.lit(" "))
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: padded.substr(i, F.lit(3))))
 
+def title_similarity(title: Column, wanted: str) -> Column:
+    """Jaccard similarity of the 3-grams of two lower-case texts."""
     a, b = grams(title), grams(F.lit(wanted))
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))

@@ -30,6 +30,11 @@ def rounded(vector: Sequence[float]) -> list[float]:
     return [round(float(x), 6) for x in vector]
 
 
+def rounded_column(vector: Column) -> Column:
+    """`rounded` for a column of vectors, as stored rows that are queries (a batch of them) need it; null stays null."""
+    return F.transform(vector, lambda x: F.round(x.cast("double"), 6))
+
+
 def hamming(bits: Column, wanted: Sequence[int]) -> Column:
     """Differing bits; one long per 64 dimensions stays inside generated code."""
     parts = [F.bit_count(bits[i].bitwiseXOR(F.lit(int(w)))) for i, w in enumerate(wanted)]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from storyloom.functions import listing, vectors
 from storyloom.functions import text as fulltext
-from storyloom.operators import analytics, bitmaps, ingest, search, signindex, textindex, versions, walk
+from storyloom.operators import analytics, bitmaps, gramindex, ingest, search, signindex, textindex, topktext, versions, walk
 from storyloom.operators.filters import SearchFilters, filtered, is_abandoned, is_abandoned_by_days, overlaps
 from storyloom.plans import corpus
 from storyloom.plans.corpus import AS_OF
@@ -158,9 +158,12 @@ def _(c: Corpus) -> DataFrame:
     return c("supplier").select("s_suppkey", surfaces.crossover_archive_url(F.lit("A"), F.col("s_suppkey"), F.lit("B"), F.col("s_nationkey").cast("long"), F.lit(1)).alias("url"))
 
 
-@query("S07_section_directories", "SELECT s AS section, concat('https://www.fanfiction.net/', s, '/') AS url FROM (SELECT unnest(['anime','book','cartoon','comic','game','misc','movie','play','tv']) AS s) x")
+@query(
+    "S07_section_directories",
+    "SELECT x.s AS section, concat('https://www.fanfiction.net/', x.s, '/') AS url, count(f.id) AS known_fandoms FROM (SELECT unnest(['anime','book','cartoon','comic','game','misc','movie','play','tv']) AS s) x LEFT JOIN fandoms f ON f.section_slug = x.s GROUP BY x.s",
+)
 def _(c: Corpus) -> DataFrame:
-    return surfaces.section_directories(c.spark).select("section", "url")
+    return surfaces.section_directories(c.spark, c("fandoms")).select("section", "url", "known_fandoms")
 
 
 @query("S08_crossover_directories", "SELECT id, concat('https://www.fanfiction.net/crossovers/', fandom_slug, '/', CAST(category_id AS VARCHAR), '/') AS url FROM fandoms WHERE fandom_slug IS NOT NULL")
@@ -525,7 +528,7 @@ def _(c: Corpus) -> DataFrame:
 REGISTRY["N01_semantic_search"] = REGISTRY["V03_two_phase"]
 query("O10_hamming_shortlist", f"SELECT story_id FROM {QUERY_VECTOR}) x ORDER BY {NEAR} ASC, story_id DESC LIMIT 500")(lambda c: search.shortlist(_near(c), SearchFilters(vector=c.query_vector)).select("story_id"))
 query("V06_width_check", "SELECT vec_id, len(embedding)::INT AS dims FROM embeddings")(lambda c: c("embeddings").select("vec_id", F.size(vectors.checked_width(F.col("embedding"), 64)).alias("dims")))
-query("V05_rounded_vector", f"SELECT i::INT AS i, round(q[i + 1]::DOUBLE, 6) AS x FROM (SELECT unnest(range(0, 64)) AS i, {Q64} AS q) y")(lambda c: c.spark.createDataFrame(list(enumerate(vectors.rounded(c.query_vector))), "i int, x double"))
+query("V05_rounded_vector", "SELECT vec_id, i::INT AS i, round(embedding[i + 1]::DOUBLE, 6) AS x FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings) y")(lambda c: c("embeddings").select("vec_id", F.posexplode(vectors.rounded_column(F.col("embedding"))).alias("i", "x")))
 query("T01_stemmed_tokens", None)(lambda c: fulltext.with_document(c.stories, stemmed=True).select("story_id", F.array_join("doc_a", " ").alias("title_tokens"), F.size("doc_c").alias("n")))
 query("T02_web_query", None)(lambda c: filtered(c.stories, SearchFilters(query='"licensed under" or released -apache', stemmed=True)).select("story_id"))
 WORD = "lambda w: w IN ('the', 'of')"
@@ -549,6 +552,33 @@ query(
     f"SELECT story_id, round(len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE), 6) AS similarity FROM (SELECT story_id, {GRAMS.format(p='p')} AS a, {GRAMS.format(p='q')} AS b FROM (SELECT story_id, concat('  ', lower(title), ' ') AS p, '  the and ' AS q FROM stories_base) x) y",
 )(lambda c: c.stories.select("story_id", F.round(fulltext.title_similarity(F.col("title"), "the and"), 6).alias("similarity")))
 
+
+# similar texts from stored gram lists, and the best page from blocks with stored maxima
+
+
+@query(
+    "T04_similar_titles",
+    f"SELECT story_id, round(s, 6) AS similarity FROM (SELECT story_id, len(list_intersect(a, b)) / CAST(len(list_distinct(list_concat(a, b))) AS DOUBLE) AS s FROM (SELECT story_id, {GRAMS.format(p='p')} AS a, {GRAMS.format(p='q')} AS b FROM (SELECT story_id, concat('  ', lower(title), ' ') AS p, (SELECT concat('  ', lower(title), ' ') FROM stories_base ORDER BY story_id LIMIT 1) AS q FROM stories_base) x) y) z WHERE s >= 0.3",
+)
+def _(c: Corpus) -> DataFrame:
+    wanted = c.stories.orderBy("story_id").select("title").first().title  # a user's query: one row
+    return gramindex.similar(gramindex.write_index(c.stories, scratch_path(c.spark, "grams")), wanted, 0.3)
+
+
+query(
+    "T04_similar_fandom_pairs",
+    f"SELECT x.id AS id_a, y.id AS id_b, round(len(list_intersect(x.g, y.g)) / CAST(len(list_distinct(list_concat(x.g, y.g))) AS DOUBLE), 6) AS similarity FROM (SELECT id, {GRAMS.format(p='p')} AS g FROM (SELECT id, concat('  ', lower(name), ' ') AS p FROM fandoms) f) x JOIN (SELECT id, {GRAMS.format(p='p')} AS g FROM (SELECT id, concat('  ', lower(name), ' ') AS p FROM fandoms) f) y ON x.id < y.id WHERE len(list_intersect(x.g, y.g)) / CAST(len(list_distinct(list_concat(x.g, y.g))) AS DOUBLE) >= 0.7",
+)(lambda c: gramindex.similar_pairs(c("fandoms"), 0.7, "id", "name"))
+
+
+def by_blocks(c: Corpus, f: SearchFilters) -> DataFrame:
+    """A search by an index of its own; small tables get ranges of fewer ids, about 64 of them."""
+    span = min(topktext.SPAN, max(16, c("documents").count() // 64))
+    return topktext.search(c.stories, topktext.write_index(c.stories, scratch_path(c.spark, "blocks"), span), f)
+
+
+query("N01_text_topk_blocks", REGISTRY["N01_text_search"][1])(lambda c: by_blocks(c, SearchFilters(query="the of", sort="relevance")).select("story_id"))
+
 # the nearest by sign bits from a stored index, whose radius grows until they are proven
 
 

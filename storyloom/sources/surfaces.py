@@ -31,10 +31,15 @@ def section_directory_url(section: str) -> str:
     return f"{ORIGIN}/{section}/"
 
 
-def section_directories(spark: SparkSession) -> DataFrame:
-    """(section, url, crossover_url) of all sections."""
+def section_directories(spark: SparkSession, fandoms: DataFrame | None = None) -> DataFrame:
+    """(section, url, crossover_url) of all sections; with known_fandoms, how many of the given ones each has, so that a
+    walk can start with the sections that it knows least of."""
     rows = spark.range(1).select(F.explode(F.array(*map(F.lit, SECTIONS))).alias("section"))
-    return rows.select("section", F.concat(F.lit(f"{ORIGIN}/"), "section", F.lit("/")).alias("url"), F.concat(F.lit(f"{ORIGIN}/crossovers/"), "section", F.lit("/")).alias("crossover_url"))
+    rows = rows.select("section", F.concat(F.lit(f"{ORIGIN}/"), "section", F.lit("/")).alias("url"), F.concat(F.lit(f"{ORIGIN}/crossovers/"), "section", F.lit("/")).alias("crossover_url"))
+    if fandoms is None:
+        return rows
+    known = fandoms.groupBy(F.col("section_slug").alias("section")).agg(F.count("*").alias("known_fandoms"))
+    return rows.join(known, "section", "left").withColumn("known_fandoms", F.coalesce("known_fandoms", F.lit(0).cast("long")))
 
 
 def browse_url(section: Column, slug: Column, page: Column, sort: str = "publish", status: str = "all", language: int = 0, rating: int = ALL_RATINGS) -> Column:
