@@ -15,7 +15,7 @@ are one span and are not compared further.
 
 Two members can share more than their first occurrence has: their equal runs with it then end at the same place, before
 the same word. There the members are compared once more, by all windows of WORDS words and by AGAIN words across that
-place. So every repeated run of WORDS words is found; with edits, what HASHES functions find.
+place; both only anchor pairs, whose words are then compared. So every repeated run of WORDS words is found; with edits, what HASHES functions find.
 
 A passage counts as repeated where an earlier (id, position) holds it. Null text counts as empty; texts under WORDS
 words have no passage. Null ids take no part. Rows that repeat with id and text count once; an id with several texts
@@ -475,11 +475,9 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met_others = F.coalesce(before >= F.col("to_start"), F.lit(False)) | F.coalesce(F.lead("to_start").over(group) <= F.col("to_last"), F.lit(False))
     places = checked.filter(F.col("end") < 0).withColumn("open", met_others).filter("open").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("places"))  # at most a text's words
     more, met = links_of(places.join(words, "id").select("id", "places", "words").mapInArrow(across, KEYED))
-    exact = more.filter(F.col("at") % 2 == 0).select("id", "to_id", F.shiftright("at", 1).alias("start"), F.shiftright("to_at", 1).alias("to_start"))
-    exact = exact.select("id", "to_id", "start", (F.col("start") + WORDS).alias("end"), "to_start", (F.col("to_start") + WORDS).alias("to_end"))
-    again = more.filter(F.col("at") % 2 == 1).select("id", F.shiftright("at", 1).alias("c"), "to_id", F.shiftright("to_at", 1).alias("to_c"), F.lit(True).alias("near"))
+    again = more.select("id", F.shiftright("at", 1).alias("c"), "to_id", F.shiftright("to_at", 1).alias("to_c"), F.lit(True).alias("near"))
 
-    spans = checked.unionByName(verified(again, words)).filter(F.col("end") >= 0).drop("to_last").unionByName(exact).unionByName(whole)
+    spans = checked.unionByName(verified(again, words)).filter(F.col("end") >= 0).drop("to_last").unionByName(whole)
     spans = stored(spans.distinct(), "spans", drop=(checked, anchors, words, copies, met))
     later = spans.select("id", F.lit(False).alias("kept"), "start", "end", "to_id", "to_start")
     first = spans.select(F.col("to_id").alias("id"), F.lit(True).alias("kept"), F.col("to_start").alias("start"), F.col("to_end").alias("end"), "to_id", "to_start").distinct()
