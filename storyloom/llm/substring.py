@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -391,8 +392,8 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SPAN = "id long, to_id long, start long, end long, to_start long, to_end long, to_last long"
 
 
-def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their anchors and words to the repeated passages, and to the ends of the equal runs."""
+def verify(batches: Iterator[pa.RecordBatch], with_ends: bool = True) -> Iterator[pa.RecordBatch]:
+    """Pairs with their anchors and words to the repeated passages and, if wanted, to the ends of the equal runs."""
     for batch in batches:
         every, ends, lengths = [], [], []
         anchors = batch.column("anchors")
@@ -408,7 +409,7 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if near or any(n >= WORDS for _, _, n in own):
                 spans = outer(passages(a, b, outer(own, lambda r: (r[0], r[0] + r[2], r[1], r[1] + r[2])), i == j), lambda s: s)
                 every += [(i, j, *s) for s in spans]
-            ends.append(edges(a.words, own))
+            ends.append(edges(a.words, own) if with_ends else np.empty((0, 5), dtype=np.int64))
             lengths.append(len(ends[-1]))
         found = np.array(every, dtype=np.int64).reshape(-1, 6)
         places = np.concatenate([np.empty((0, 5), dtype=np.int64), *ends])
@@ -420,11 +421,12 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch(out, names=["id", "to_id", "start", "end", "to_start", "to_end", "to_last"])
 
 
-def verified(anchors: DataFrame, words: DataFrame) -> DataFrame:
-    """anchors (id, c, to_id, to_c, near) per pair, against both texts; SPAN rows, those of runs' ends with a negative end."""
+def verified(anchors: DataFrame, words: DataFrame, with_ends: bool = True) -> DataFrame:
+    """anchors (id, c, to_id, to_c, near) per pair, against both texts; SPAN rows, those of runs' ends, if wanted, with a
+    negative end."""
     pairs = anchors.groupBy("id", "to_id").agg(F.collect_set(F.struct("c", "to_c")).alias("anchors"), F.max("near").alias("near"))  # at most a text's windows
     both = pairs.join(words.select("id", "words"), "id").join(words.select(F.col("id").alias("to_id"), F.col("words").alias("to_words")), "to_id")
-    return both.select("id", "to_id", "anchors", "near", "words", "to_words").mapInArrow(verify, SPAN)
+    return both.select("id", "to_id", "anchors", "near", "words", "to_words").mapInArrow(partial(verify, with_ends=with_ends), SPAN)
 
 
 def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -477,7 +479,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more, met = links_of(places.join(words, "id").select("id", "places", "words").mapInArrow(across, KEYED))
     again = more.select("id", F.shiftright("at", 1).alias("c"), "to_id", F.shiftright("to_at", 1).alias("to_c"), F.lit(True).alias("near"))
 
-    spans = checked.unionByName(verified(again, words)).filter(F.col("end") >= 0).drop("to_last").unionByName(whole)
+    spans = checked.filter(F.col("end") >= 0).unionByName(verified(again, words, with_ends=False)).drop("to_last").unionByName(whole)
     spans = stored(spans.distinct(), "spans", drop=(checked, anchors, words, copies, met))
     later = spans.select("id", F.lit(False).alias("kept"), "start", "end", "to_id", "to_start")
     first = spans.select(F.col("to_id").alias("id"), F.lit(True).alias("kept"), F.col("to_start").alias("start"), F.col("to_end").alias("end"), "to_id", "to_start").distinct()
