@@ -22,7 +22,7 @@ from storyloom.plans import corpus
 from storyloom.plans.corpus import AS_OF
 from storyloom.schema import EMBEDDING_CHARS, GENRES, favorites_per_1k, sign_bits
 from storyloom.session import scratch_path
-from storyloom.sources import surfaces
+from storyloom.sources import archives, surfaces
 from storyloom.streaming import feeds
 
 
@@ -143,6 +143,37 @@ def _(c: Corpus) -> DataFrame:
     return parsed(c).select("story_id", "author_id", "author_name", "title", "cover_image_id")
 
 
+def listed(c: Corpus) -> DataFrame:
+    """Listing pages of all stories: up to 25 rows a page by id, up to 100 pages a surface."""
+    rows = rendered(c.stories).withColumn("page", F.floor(F.col("story_id") / 25))
+    pages = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("story_id", "html"))), lambda x: x["html"]), "\n").alias("html"))
+    return pages.select(F.format_string("browse:book/s%d", F.floor(F.col("page") / 100)).alias("surface_key"), (F.col("page") % 100 + 1).cast("int").alias("page_no"), F.lit(AS_OF).cast("timestamp").alias("fetched_at"), "html")
+
+
+LISTED = "concat('browse:book/s', CAST(story_id // 2500 AS VARCHAR)) AS surface_key, CAST(story_id // 25 % 100 + 1 AS INT) AS page_no"
+
+
+@query("S03_archive_source", f"SELECT story_id, author_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS title, word_count, favorite_count, {LISTED} {RATED}")
+def _(c: Corpus) -> DataFrame:
+    """The pages are written to archives and read back through the data source."""
+    root = scratch_path(c.spark, "archives")
+    archives.write_pages(listed(c), root)
+    return archives.stories_of(archives.read_archives(c.spark, root)).select("story_id", "author_id", "title", "word_count", "favorite_count", "surface_key", "page_no")
+
+
+@query("S05_archive_stream", f"SELECT story_id, favorite_count, {LISTED}, CAST(1 AS BIGINT) AS times {RATED}")
+def _(c: Corpus) -> DataFrame:
+    """A stream follows archives that grow: it ends between two jobs of a crawl and goes on from its offset."""
+    root, taken = scratch_path(c.spark, "archives"), scratch_path(c.spark, "taken")
+    pages = listed(c)
+    for turn in (0, 1):
+        archives.write_pages(pages.filter(F.col("page_no") % 2 == turn), root)
+        rows = archives.stories_of(archives.stream_archives(c.spark, root))
+        feeds.run_available(rows, f"{taken}-mark", lambda batch, n: batch.select("story_id", "favorite_count", "surface_key", "page_no").write.mode("overwrite").parquet(f"{taken}/batch={n}"))
+    found = c.spark.read.schema("story_id long, favorite_count int, surface_key string, page_no int").parquet(taken)
+    return found.groupBy("story_id", "favorite_count", "surface_key", "page_no").agg(F.count("*").alias("times"))
+
+
 @query("S05_archive_urls", "SELECT id, concat('https://www.fanfiction.net/', section_slug, '/', fandom_slug, '/?srt=1&r=10&p=', CAST(id % 5 + 1 AS VARCHAR), '&s=2') AS url FROM fandoms WHERE section_slug IS NOT NULL")
 def _(c: Corpus) -> DataFrame:
     rows = c("fandoms").filter(F.col("section_slug").isNotNull())
@@ -652,15 +683,16 @@ query("M06_record_progress", "SELECT surface_key, last_page + 1 AS last_page, CA
 
 def streamed(c: Corpus, windowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Runs a windowed aggregate over the events as a stream that ends, and returns its final table."""
-    import uuid
-
-    name = f"w{uuid.uuid4().hex}"
-    path = f"{c.sf_dir}/events.parquet"
-    schema = c("events").schema
-    frame = c.spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if not path.endswith("events.parquet") else f"{c.sf_dir}/events.parquet*")
-    run = windowed(feeds.with_event_time(frame)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return c.spark.table(name)
+    path, taken = f"{c.sf_dir}/events.parquet", scratch_path(c.spark, "windows")
+    frame = c.spark.readStream.schema(c("events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{path}*")
+    last = [f"{taken}/batch=0"]
+
+    def write(batch: DataFrame, number: int) -> None:
+        last[0] = f"{taken}/batch={number}"
+        batch.write.mode("overwrite").parquet(last[0])
+
+    feeds.run_available(windowed(feeds.with_event_time(frame)), f"{taken}-mark", write, "complete")
+    return c.spark.read.parquet(last[0])
 
 
 query("G01_stream_tumbling_windows", "SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda c: streamed(c, feeds.tumbling).select(F.col("w.start").alias("start"), "event_type", "n", "total"))
