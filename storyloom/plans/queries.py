@@ -23,7 +23,7 @@ from storyloom.plans.corpus import AS_OF
 from storyloom.schema import EMBEDDING_CHARS, GENRES, favorites_per_1k, sign_bits
 from storyloom.session import scratch_path
 from storyloom.sources import archives, surfaces
-from storyloom.streaming import feeds
+from storyloom.streaming import crawl, feeds
 
 
 class Corpus:
@@ -671,6 +671,18 @@ def _(c: Corpus) -> DataFrame:
     return walk.walked(outcomes(c), c.spark.createDataFrame([], EMPTY_STATE)).select("surface_key", "last_page", "is_exhausted", "rows_ingested", "last_error")
 
 
+@query("G02_stateful_walk", WALK)
+def _(c: Corpus) -> DataFrame:
+    """The same log as a stream in no order, each surface's state kept by its key; the stream ends half-way and goes on."""
+    log, feed = outcomes(c).withColumn("fetched_at", F.timestamp_seconds(F.unix_timestamp(F.lit(AS_OF).cast("timestamp")) + F.col("page_no"))), scratch_path(c.spark, "outcomes")
+    table = versions.VersionedTable(c.spark, scratch_path(c.spark, "walk"), "surface_key", 8)
+    table.create(c.spark.createDataFrame([], crawl.PROGRESS))
+    for turn in (0, 1):
+        log.filter(F.pmod(F.xxhash64("surface_key", "page_no"), F.lit(2)) == turn).write.parquet(f"{feed}/turn={turn}")
+        crawl.keep_progress(feeds.file_stream(c.spark, f"{feed}/turn=*", log.schema), f"{feed}-mark", table)
+    return table.read().filter("last_page > 0").select("surface_key", "last_page", "is_exhausted", "rows_ingested", "last_error")
+
+
 query("G03_refresh_head", f"WITH {OUTCOMES} SELECT surface_key, page_no FROM outcomes o WHERE page_no <= 20 AND page_no < coalesce((SELECT min(page_no) FROM outcomes e WHERE e.surface_key = o.surface_key AND e.rows = 0), 1000000)")(lambda c: walk.head_pages(outcomes(c)).select("surface_key", "page_no"))
 query("G05_error_capture", f"WITH {OUTCOMES} SELECT surface_key, count(*) AS errors FROM outcomes WHERE outcome <> 'ok' GROUP BY 1")(lambda c: outcomes(c).filter("outcome <> 'ok'").groupBy("surface_key").agg(F.count("*").alias("errors")))
 query("G04_progress_accumulation", "SELECT surface_key, CAST(rows_ingested + 2 * last_page AS BIGINT) AS rows_ingested FROM crawl_state")(
