@@ -1,7 +1,9 @@
 """The stateful walk: any order of arrival, restarts, retries and their cap, missing pages, the stop of all surfaces."""
 
 import random
+from datetime import datetime
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from storyloom.operators.versions import VersionedTable
 from storyloom.operators.walk import walked
@@ -82,3 +84,37 @@ def test_a_blocked_surface_stops_all_others(spark, tmp_path):
     assert crawl.due(run.table.read(), later).count() == 0
     got = run.come(("b", 1, "ok", 25, 200))
     assert got["b"].rows_ingested == 25 and crawl.due(run.table.read(), later).count() == 2
+
+
+class CountedState:
+    """Stands for the handle and its value; counts the accesses."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = 0, None, set()
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.discard(at)
+
+
+def test_a_surface_reads_and_writes_its_state_once_a_batch():
+    held, own = CountedState(), crawl.Walk()
+    own.init(held)
+    come = lambda pages: list(own.handleInputRows(("a",), iter([Row(page_no=p, outcome="ok", rows=25, fetched_at=datetime.fromtimestamp(1000 + p)) for p in pages]), None))
+    assert come(range(1000, 1, -1))[0].last_page == 0 and len(held.timers) == 1
+    assert held.calls == 2
+    assert tuple(come([1])[0])[:4] == ("a", 1000, False, 25_000) and not held.timers
+    assert held.calls == 4
