@@ -81,6 +81,14 @@ def test_text_queries(spark):
     assert ids(filtered(rows, SearchFilters(query='"run fast"'))) == [1]
 
 
+def test_a_text_predicate_finds_the_tokens_of_a_part_once(spark):
+    rows = [(1, "one of the", "x", "y", None), (2, "of", "the", "und", None), (3, "of", "the", "z", None), (4, "the of", "x", "of  The end", None), (5, "of thee", "x", "fund", None)]
+    stories = spark.createDataFrame(rows, "story_id long, title string, author_name string, summary string, deleted_at timestamp")
+    found = filtered(stories, SearchFilters(query='"of the" or und'))
+    assert {r.story_id for r in found.select("story_id").collect()} == {1, 2, 4}
+    assert found.select("story_id")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
+
+
 def test_vectors(spark):
     v = [0.5, -1.0] * 40
     bits, dist, far = spark.createDataFrame([(v,)], "v array<float>").select(sign_bits(F.col("v")), F.round(vectors.cosine_distance(F.col("v"), v), 9), vectors.hamming(sign_bits(F.col("v")), vectors.query_bits([-x for x in v]))).first()
