@@ -1,7 +1,9 @@
 """Search, ingestion, identity repair, streams and state."""
 
 import datetime as dt
+import tracemalloc
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,18 @@ def test_a_text_predicate_finds_the_tokens_of_a_part_once(spark):
     assert found.select("story_id")._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 3
 
 
+def test_stemmed_texts_take_memory_like_their_texts(spark):
+    texts = pd.Series([" ".join(f"running words{k % 50}" for k in range(500))] * 1000 + [None])
+    tracemalloc.start()
+    found = text.stem_texts(texts, text.stop_words())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.iloc[0].split()[:2] == ["run", "words0"] and found.iloc[-1] == ""
+    assert peak < 2 * 1000 * len(texts.iloc[0])
+    own = spark.createDataFrame([("The cats, running",), (None,), ("the",)], "t string").select(text.stemmed_tokens(F.col("t")).alias("x")).collect()
+    assert [r.x for r in own] == [["cat", "run"], [], []]
+
+
 def test_vectors(spark):
     v = [0.5, -1.0] * 40
     bits, dist, far = spark.createDataFrame([(v,)], "v array<float>").select(sign_bits(F.col("v")), F.round(vectors.cosine_distance(F.col("v"), v), 9), vectors.hamming(sign_bits(F.col("v")), vectors.query_bits([-x for x in v]))).first()
