@@ -121,3 +121,21 @@ def test_odd_block_queries(spark, tmp_path, stories):
     f = SearchFilters(query="fox", sort="relevance", page_size=5)
     assert [r.story_id for r in topktext.search(negative, index, f).collect()] == [r.story_id for r in search.search(negative, f).collect()]
     assert textindex.answerable("fox") and fulltext.parse_query("fox")
+
+
+def test_postings_of_repeated_and_empty_stories_and_their_one_shuffle(spark, monkeypatch):
+    """Rows of one id count together, also across batches and slices; words are not shuffled."""
+    rows = [(1, "Oak elm oak", "Ann", "elm", None), (1, "elm", None, "oak ELM", None), (2, None, None, None, None), (None, "fox", "", "fox", None), (3, "", "", "", None)]
+    rows += [(4, "oak", "Bo", None, None), (5, "fox oak", None, "x y", None)]
+    own = spark.createDataFrame(rows, "story_id long, title string, author_name string, summary string, deleted_at timestamp")
+    wanted = {(None, "fox", (0,), (), (0,)), (1, "oak", (0, 2), (), (0,)), (1, "elm", (0, 1), (), (0, 1)), (1, "ann", (), (0,), ()), (4, "oak", (0,), (), ()), (4, "bo", (), (0,), ())}
+    wanted |= {(5, "fox", (0,), (), ()), (5, "oak", (1,), (), ()), (5, "x", (), (), (0,)), (5, "y", (), (), (1,))}
+    found = textindex.postings(own)
+    assert {(r.story_id, r.term, tuple(r.a), tuple(r.b), tuple(r.c)) for r in found.collect()} == wanted
+    plan = found.groupBy("term", "story_id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    arrow = fulltext.with_document(own.orderBy("story_id")).select("story_id", "doc_a", "doc_b", "doc_c").toArrow()
+    monkeypatch.setattr(textindex, "WORDS", 2)
+    for size in (1, 2, 100):
+        out = [r for b in textindex._stories_posted(iter(arrow.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert {(r["story_id"], r["term"], tuple(r["a"]), tuple(r["b"]), tuple(r["c"])) for r in out} == wanted and len(out) == len(wanted)
