@@ -23,6 +23,8 @@ from storyloom.operators.search import order_of, window_of, with_ratio
 SPAN = 4096
 #: Folders of the postings, by a hash of the range.
 SLOTS = 64
+#: Files, at most, of a folder of blocks.
+FILES = 8
 #: Ranges that the first look reads; each further look reads GROWTH times as many, and beyond MOST all postings are read.
 FIRST, GROWTH, MOST = 8, 4, 2048
 
@@ -47,15 +49,16 @@ def _slot_of(number: Column) -> Column:
 
 def write_index(stories: DataFrame, path: str, span: int = SPAN, stemmed: bool = False) -> BlockIndex:
     """Writes postings, in folders by range and sorted by (range, term), and their blocks, in folders by term."""
-    rows = textindex.postings(stories, stemmed).drop("bucket").withColumn("range", _range_of(F.col("story_id"), span))
+    rows = textindex.postings(stories, stemmed, _range_of(F.col("story_id"), span)).drop("bucket").withColumn("range", _range_of(F.col("story_id"), span))
     rows = rows.withColumn("slot", _slot_of(F.col("range")))
-    rows.repartitionByRange("slot", "range", "term").sortWithinPartitions("slot", "range", "term", "story_id").write.partitionBy("slot").parquet(f"{path}/postings")
+    # a range's texts lie in one task, so its postings do; a deal by ranges of values would make them twice, once to sample
+    rows.sortWithinPartitions("slot", "range", "term", "story_id").write.partitionBy("slot").parquet(f"{path}/postings")
     spark = stories.sparkSession
     postings = spark.read.schema("term string, story_id long, a array<int>, b array<int>, c array<int>, range long, slot int").parquet(f"{path}/postings")
     score = reduce(Column.__add__, [F.size(k) * F.lit(v) for k, v in fulltext.WEIGHTS.items()])
     blocks = postings.groupBy("term", "range").agg(F.max(score).alias("best"), F.count("*").alias("stories"))
     blocks = blocks.withColumn("bucket", textindex.bucket_of(F.col("term")))
-    blocks.repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
+    blocks.repartition("bucket", F.pmod(F.hash("term"), F.lit(FILES))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{path}/blocks")
     blocks = spark.read.schema("term string, range long, best double, stories long, bucket int").parquet(f"{path}/blocks")
     return BlockIndex(postings, blocks, span, stemmed)
 
