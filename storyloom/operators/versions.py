@@ -32,6 +32,8 @@ from storyloom.schema import ABANDONED_YEARS
 #: So many folders of view counts are summed into one.
 MOST_DELTAS = 8
 TRIES = 20
+#: Files, at most, that a write may leave by not dealing its rows by bucket.
+MOST_FILES = 4096
 
 
 class Conflict(RuntimeError):
@@ -126,10 +128,17 @@ class VersionedTable:
         paths = [p for b, p in at.buckets.items() if only is None or int(b) in only]
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """The rows with their bucket. Each task writes its own file to a bucket; only where these would be too many are
+        whole rows shuffled by bucket first."""
+        own = rows.withColumn("_bucket", self.bucket())
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return own if self.buckets * tasks <= MOST_FILES else own.repartition("_bucket")
+
     def _write(self, rows: DataFrame) -> dict[str, str]:
         """Writes rows to new folders, one per bucket; returns them."""
         path = f"{self.root}/rows/{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self.bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(path)
+        self._dealt(rows).write.partitionBy("_bucket").parquet(path)
         own, files = _place(self.spark, path)
         names = [s.getPath().getName() for s in files.listStatus(own)]
         return {n.split("=")[1]: f"{path}/{n}" for n in names if n.startswith("_bucket=")}
