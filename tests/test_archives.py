@@ -3,6 +3,7 @@
 import os
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from storyloom.sources import archives
@@ -29,6 +30,17 @@ def test_written_pages_come_back_with_nulls_and_long_texts(spark, tmp_path):
         pages.write.format(archives.NAME).mode("overwrite").save(root)
 
 
+def test_the_sink_takes_arrow_batches_of_any_size(tmp_path, monkeypatch):
+    """Pages become Python values a few at a time, in order."""
+    monkeypatch.setattr(archives.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    sink = archives.ArchiveSink({"path": str(tmp_path)}, False)
+    batches = [pa.RecordBatch.from_pylist([{"surface_key": f"s{k}", "page_no": k, "fetched_at": AT, "html": f"<p>{k}"} for k in part], archives.ARROW) for part in (range(130), range(0), range(130, 131))]
+    sink.commit([sink.write(iter(batches)), None])
+    part = archives.Pages("batch-00003", 0, 0, 131)
+    got = [r for b in archives.read_pages(str(tmp_path), part, None) for r in b.to_pylist()]
+    assert got == [r for b in batches for r in b.to_pylist()]
+
+
 def test_missing_folder_is_empty_and_other_stores_are_refused(spark, tmp_path):
     assert archives.read_archives(spark, f"{tmp_path}/none").count() == 0
     with pytest.raises(Exception, match="mounted file system"):
