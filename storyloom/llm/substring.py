@@ -46,6 +46,8 @@ LEAST = WORDS - SHINGLE + 1
 KEY, AGAIN = 15, 20
 #: Equal runs of a pair join over at most so many words on either side, while the similarity is at least SIMILARITY.
 GAP, SIMILARITY = 8, 0.8
+#: Words of the texts whose windows are sought together.
+GROUP = 1 << 15
 #: Bits of a window's sides, each cut at LEAST, below its centre.
 SIDE = 6
 #: Stand in place of a span's end in the rows of runs' ends.
@@ -68,29 +70,58 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     lows = np.minimum(behind[: n - least + 1], ahead[least - 1 : n])
     lows = lows[np.concatenate([[True], lows[1:] != lows[:-1]])]
     centres = (lows & mask).astype(np.int64)
-    left, right = [0] * len(lows), [n - 1] * len(lows)
+    left, right = bounds_of(lows.tolist(), centres.tolist(), 0, n - 1)
+    return np.array(left, dtype=np.int64), centres, np.array(right, dtype=np.int64)
+
+
+def bounds_of(values: list[int], places: list[int], first: int, last: int) -> tuple[list[int], list[int]]:
+    """How far each value, at its place from first to last, is the smallest."""
+    left, right = [first] * len(values), [last] * len(values)
     stack: list[int] = []
-    values, places = lows.tolist(), centres.tolist()
     for k, v in enumerate(values):
         while stack and values[stack[-1]] > v:
             right[stack.pop()] = places[k] - 1
         if stack:
             left[k] = places[stack[-1]] + 1
         stack.append(k)
-    return np.array(left, dtype=np.int64), centres, np.array(right, dtype=np.int64)
-
-
-def long_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of each run of `size` words, a multiple of SHINGLE, from those of SHINGLE words."""
-    short = shingle_hashes(words, SHINGLE)
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        out = short[:n].copy()
-        for k in range(SHINGLE, size, SHINGLE):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + short[k : n + k]
-            out ^= out >> np.uint64(31)
+    return left, right
+
+
+def compact_windows_of(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """compact_windows() of several stretches of hashes at once, each of at least `least` and all of under 2**20 positions:
+    stretch, l, c, r, places within the stretch."""
+    mask = np.uint64((1 << 20) - 1)
+    padded = -(-sizes // least) * least  # no block holds two stretches
+    base = np.cumsum(padded) - padded
+    inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    blocks = np.full(int(padded.sum()), np.iinfo(np.uint64).max, dtype=np.uint64)
+    blocks[inner + np.repeat(base, sizes)] = (hashes[inner + np.repeat(starts, sizes)] & ~mask) | inner.astype(np.uint64)
+    blocks = blocks.reshape(-1, least)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    counts = sizes - least + 1
+    at = np.arange(int(counts.sum())) + np.repeat(base - np.cumsum(counts) + counts, counts)
+    lows = np.minimum(behind[at], ahead[at + least - 1])
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    new = np.concatenate([[True], (lows[1:] != lows[:-1]) | (owner[1:] != owner[:-1])])
+    lows, owner = lows[new], owner[new]
+    centres = (lows & mask).astype(np.int64)
+    values, places, left, right = lows.tolist(), centres.tolist(), [], []
+    ends = np.searchsorted(owner, np.arange(len(sizes)), side="right").tolist()
+    for start, end, size in zip([0, *ends[:-1]], ends, sizes.tolist(), strict=True):
+        l, r = bounds_of(values[start:end], places[start:end], 0, size - 1)
+        left += l
+        right += r
+    return owner, np.array(left, dtype=np.int64), centres, np.array(right, dtype=np.int64)
+
+
+def long_hashes(short: np.ndarray, size: int, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of `size` words, a multiple of SHINGLE, at the starts, from those of SHINGLE words."""
+    out = short[starts]
+    for k in range(SHINGLE, size, SHINGLE):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += short[starts + k]
+        out ^= out >> np.uint64(31)
     return mix64(out, 5)
 
 
@@ -102,9 +133,9 @@ class Keyed:
         self.ids: list[np.ndarray] = []
         self.at: list[np.ndarray] = []
 
-    def add(self, keys: np.ndarray, i: int, at: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, i: int | np.ndarray, at: np.ndarray) -> None:
         self.keys.append(keys)
-        self.ids.append(np.full(len(keys), i, dtype=np.int64))
+        self.ids.append(i if isinstance(i, np.ndarray) else np.full(len(keys), i, dtype=np.int64))
         self.at.append(at.astype(np.int64))
 
     def batch(self) -> pa.RecordBatch:
@@ -128,6 +159,36 @@ class Keyed:
 KEYED = "key long, id long, at long, to_id long, to_at long"
 
 
+def together(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """The texts with a passage's length in groups of about GROUP words; a longer text is a group of its own."""
+    long_enough = np.flatnonzero(sizes >= WORDS)
+    held = np.cumsum(sizes[long_enough])
+    at = 0
+    while at < len(long_enough):
+        before = held[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(held, before + GROUP, side="right")))
+        yield long_enough[at:end]
+        at = end
+
+
+def add_windows(found: Keyed, ids: np.ndarray, texts: list[np.ndarray], sizes: np.ndarray) -> None:
+    """Both keys of all compact windows of the texts: arrays of several texts cost few calls, and fit the cache."""
+    words = np.concatenate(texts) if len(texts) > 1 else texts[0]
+    starts = np.cumsum(sizes) - sizes
+    short = shingle_hashes(words, SHINGLE)  # those across two texts are not used
+    for f in range(HASHES):
+        hashes = mix64(short, 100 + f)
+        if len(texts) > 1:
+            owner, left, c, right = compact_windows_of(hashes, starts, sizes - SHINGLE + 1, LEAST)
+        else:
+            left, c, right = compact_windows(hashes, LEAST)
+            owner = np.zeros(len(c), dtype=np.int64)
+        packed = (c << (2 * SIDE)) | (np.minimum(c - left, LEAST) << SIDE) | np.minimum(right - c, LEAST)
+        for side, start in ((0, c), (1, c + SHINGLE - KEY)):
+            fits = (start >= 0) & (start <= sizes[owner] - KEY)
+            found.add(mix64(long_hashes(short, KEY, (starts[owner] + start)[fits]), 2 * f + side), ids[owner[fits]], packed[fits])
+
+
 def windows(df: DataFrame) -> DataFrame:
     """(id, text) to KEYED rows: two keys per compact window and hash function; at packs c, c - l and r - c."""
 
@@ -135,16 +196,11 @@ def windows(df: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 found = Keyed()
-                for i, words in zip(part.column("id").to_pylist(), hashed_words(utf8(part.column("text"))), strict=True):
-                    if len(words) < WORDS:
-                        continue
-                    short, longer = shingle_hashes(words, SHINGLE), long_hashes(words, KEY)
-                    for f in range(HASHES):
-                        left, c, right = compact_windows(mix64(short, 100 + f), LEAST)
-                        packed = (c << (2 * SIDE)) | (np.minimum(c - left, LEAST) << SIDE) | np.minimum(right - c, LEAST)
-                        for side, start in ((0, c), (1, c + SHINGLE - KEY)):
-                            fits = (start >= 0) & (start < len(longer))
-                            found.add(mix64(longer[start[fits]], 2 * f + side), i, packed[fits])
+                own = hashed_words(utf8(part.column("text")))
+                sizes = np.array([len(w) for w in own], dtype=np.int64)
+                ids = np.asarray(part.column("id").to_numpy(zero_copy_only=False), dtype=np.int64)
+                for group in together(sizes):
+                    add_windows(found, ids[group], [own[k] for k in group.tolist()], sizes[group])
                 yield found.batch()
 
     return df.mapInArrow(work, KEYED)
@@ -437,15 +493,15 @@ def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, found = batch.slice(k, 500), Keyed()
             for i, places, x in zip(*(part.column(c).to_pylist() for c in ("id", "places", "words")), strict=True):
                 words = np.frombuffer(x, dtype=np.uint32).astype(np.uint64)
-                whole, few = long_hashes(words, WORDS), long_hashes(words, AGAIN)
+                short = shingle_hashes(words, SHINGLE)
                 at = np.array([p["start"] for p in places], dtype=np.int64)
                 right = np.array([p["end"] for p in places]) == RIGHT
                 starts = np.unique((at[:, None] - np.arange(1, WORDS)).ravel())
-                starts = starts[(starts >= 0) & (starts < len(whole))]
-                found.add(mix64(whole[starts], 11), i, starts * 2)
+                starts = starts[(starts >= 0) & (starts <= len(words) - WORDS)]
+                found.add(mix64(long_hashes(short, WORDS, starts), 11), i, starts * 2)
                 starts = np.unique(np.where(right, at - KEY, at - (AGAIN - KEY)))
-                starts = starts[(starts >= 0) & (starts < len(few))]
-                found.add(mix64(few[starts], 12), i, starts * 2 + 1)
+                starts = starts[(starts >= 0) & (starts <= len(words) - AGAIN)]
+                found.add(mix64(long_hashes(short, AGAIN, starts), 12), i, starts * 2 + 1)
             yield found.batch()
 
 

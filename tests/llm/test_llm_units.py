@@ -60,6 +60,32 @@ def test_best_two_fit_swaps_the_smallest():
     assert sorted(np.bincount(which, weights=[6, 3, 2, 2, 3]).tolist()) == [6, 10]
 
 
+def test_windows_of_texts_together_are_those_of_each_alone():
+    """Short, long and equal texts, texts of one word over and over, and groups of every make-up give the same keys."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, most, n, dtype=np.uint64) for n, most in ((50, 1 << 60), (51, 3), (3, 9), (1, 2), (700, 1 << 60), (96, 1), (4000, 1 << 60), (45, 5), (50, 1 << 60), (2500, 12))]
+    texts.append(texts[4].copy())
+    sizes = np.array([len(x) for x in texts])
+
+    def keys(groups):
+        found = substring.Keyed()
+        for g in groups:
+            substring.add_windows(found, g * 10, [texts[k] for k in g.tolist()], sizes[g])
+        return found.batch()
+
+    fit = np.flatnonzero(sizes >= substring.WORDS)
+    alone = keys([np.array([k]) for k in fit])
+    assert alone.num_rows > 500 and keys([fit]).equals(alone) and keys([fit[:3], fit[3:]]).equals(alone)
+
+
+def test_groups_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(substring, "GROUP", 200)
+    sizes = np.array([50, 10, 60, 100, 500, 49, 50, 150, 0, 51])
+    groups = [g.tolist() for g in substring.together(sizes)]
+    assert groups == [[0, 2], [3], [4], [6, 7], [9]]
+    assert list(substring.together(np.array([], dtype=np.int64))) == []
+
+
 def test_compact_windows_are_the_cartesian_tree():
     rng = np.random.default_rng(3)
     for _ in range(200):
